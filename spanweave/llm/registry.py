@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import media, mixing
 
 
 def queries() -> dict:
-    return {"op6_mixing": mixing.op6_mixing}
+    return {"op6_mixing": mixing.op6_mixing, "op10_media": media.op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
