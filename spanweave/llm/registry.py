@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, mixing
+from . import media, mixing, urls
 
 
 def queries() -> dict:
-    return {"op6_mixing": mixing.op6_mixing, "op10_media": media.op10_media}
+    return {"op3_urls": urls.op3_urls, "op6_mixing": mixing.op6_mixing, "op10_media": media.op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
