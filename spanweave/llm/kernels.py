@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -43,8 +44,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (from 0) of a binary Arrow array without nulls."""
+    """Bytes and offsets (from 0) of a string or binary Arrow array; a null has no bytes."""
     column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
