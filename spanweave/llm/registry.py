@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, mixing, quality, urls
+from . import media, mixing, neardup, quality, urls
 
 
 def queries() -> dict:
-    return {"op3_urls": urls.op3_urls, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op10_media": media.op10_media}
+    return {"op3_urls": urls.op3_urls, "op4_neardup": neardup.op4_neardup, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op10_media": media.op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
