@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import lm, media, mixing, neardup, quality, urls
+from . import lm, media, mixing, neardup, quality, substrings, urls
 
 
 def queries() -> dict:
-    return {"op3_urls": urls.op3_urls, "op4_neardup": neardup.op4_neardup, "op5_lm": lm.op5_lm, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op10_media": media.op10_media}
+    return {"op1_substrings": substrings.op1_substrings, "op3_urls": urls.op3_urls, "op4_neardup": neardup.op4_neardup, "op5_lm": lm.op5_lm, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op10_media": media.op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
