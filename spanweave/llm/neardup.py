@@ -14,14 +14,18 @@ Candidates come from posting lists, one for each coordinate-value pair:
   ``least - 1`` of their values, whatever the order. The rarest values come
   first, so a passage that very many documents hold is not posted by documents
   that have enough else.
-* Merging skips what is settled: members of a list are compared with one pivot
-  of it, then those outside the list's largest class with another member of
-  that class, and at last every pair of a list that is not yet in one class.
-  So a group of thousands of near copies costs a few comparisons per member,
-  and no pair of different classes stays untested.
-
-Collisions of a pair are counted over all coordinates before its full sets are
-compared. Links form components; a document is kept if its id is the least.
+* Merging skips what is settled. Members of a list are compared with one pivot
+  of it, so thousands of near copies cost a few comparisons each. Members that
+  stay in different classes are told apart by how they differ from the pivot P:
+  with R removed and A added shingles, two members have
+  |P| - r1 - r2 + |R1 & R2| + |A1 & A2| in common, so they are similar only if
+  they share at least u1 + u2 differences, where u grows with r and t = |A|.
+  Pairs with u1 + u2 <= 0 both belong to P's class; all others share a
+  difference among the first few of each, which are joined (see
+  ``_differences``). No pair of different classes in a list stays undecided.
+
+Collisions of a pair with its pivot are counted over all coordinates before
+full sets are compared. Links form components; a document is kept if its id is the least.
 
 Defined cases: null and empty texts have empty sets and are linked with
 nothing; a text shorter than a shingle is one shingle; of equal rows each is
@@ -45,7 +49,7 @@ from .graphs import components
 from .kernels import flat, mix, slices, words
 from .shared import cut, raw, table
 
-COORDINATES = 64
+COORDINATES = 48
 _draw = np.random.default_rng(20240607)
 FACTOR = _draw.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
 SHIFT = _draw.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
@@ -132,19 +136,75 @@ def _confirm(percent: int) -> Callable:
     return run
 
 
+DIFFERENCES = "pivot {kind}, id {kind}, settled boolean, element long, u double, left double, b0 long, b1 long, b2 long, b3 long, spare long, earlier array<long>"
+EARLIER = 24
+SKETCH = ("b0", "b1", "b2", "b3")
+
+
+def _differences(percent: int) -> Callable:
+    """The first differences of each member from its pivot, one row each.
+
+    J >= c means |S1 & S2| >= g (|S1| + |S2|) with g = c / (1 + c). In terms of
+    r removed and t added shingles: shared differences >= u1 + u2, where
+    u = (1 - g) r + g t - (1/2 - g) |P|. Any fixed order of the differences
+    serves the prefix; added ones come first, as they are the rarer. With each
+    goes a 256-bit sketch of all differences: two members share at most as many
+    as their sketches have bits in common, plus ``spare`` (differences that
+    fell on a bit already set) of either. ``earlier`` holds the leading
+    differences before each, so that a pair need not come up for every one.
+    """
+    c = percent / 100
+    g = c / (1 + c)
+    base = 0.5 - g  # of |P|: what u falls short by
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, elements, bounds, lefts, sketches, spares, earlier = [], [], [], [], [], [], []
+            for k, (mine, pivot) in enumerate(zip(batch.column("hashes"), batch.column("other"), strict=True)):
+                own, of = (np.frombuffer(x.as_buffer(), np.uint64) for x in (mine, pivot))
+                added, removed = np.setdiff1d(own, of, True), np.setdiff1d(of, own, True)
+                n, size = len(added) + len(removed), len(of)
+                u = (1 - g) * len(removed) + g * len(added) - base * size
+                # A partner has |D2| <= (u2 + base |P|) / g differences, and must have u + u2 of them.
+                least_u2 = max(-base * size, (u - base * size / g) / (1 / g - 1))
+                need = max(1, int(np.ceil(u + least_u2 - 1e-6)))
+                every = np.concatenate([mix(added ^ np.uint64(1)), mix(removed)])
+                first = every[: max(0, n - need + 1)]
+                bits = np.zeros(256, bool)
+                bits[(every & np.uint64(255)).astype(np.int64)] = True
+                sketches.append(np.broadcast_to(np.packbits(bits).view(np.int64), (len(first), 4)))
+                spares.append(np.full(len(first), n - int(bits.sum())))
+                leading = first[:EARLIER].view(np.int64).tolist()
+                earlier += [leading[:j] for j in range(len(first))]
+                rows.append(np.full(len(first), k))
+                elements.append(first)
+                bounds.append(np.full(len(first), u - 1e-6))
+                lefts.append(n - np.arange(len(first), dtype=np.float64))
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("pivot").take(at), batch.column("id").take(at), batch.column("settled").take(at), pa.array(np.concatenate(elements).view(np.int64)), pa.array(np.concatenate(bounds)), pa.array(np.concatenate(lefts)), *(pa.array(x) for x in np.concatenate(sketches).T.copy()), pa.array(np.concatenate(spares)), pa.array(earlier, pa.list_(pa.int64()))],
+                    ["pivot", "id", "settled", "element", "u", "left", *SKETCH, "spare", "earlier"],
+                )
+
+    return run
+
+
 class _Links:
     """Tests candidate pairs of nodes: collisions first, then full sets."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, least: int, percent: int, kind: str):
         self.nodes, self.sets, self.least, self.percent, self.kind = nodes, sets, least, percent, kind
 
-    def among(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar."""
+    def colliding(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) with enough equal coordinates."""
         signature = self.nodes.select("id", "signature")
         for side in ("a", "b"):
             pairs = pairs.join(signature.withColumnsRenamed({"id": side, "signature": f"s{side}"}), side)
-        collide = F.size(F.array_intersect("sa", "sb")) >= self.least
-        pairs = pairs.where(collide).select("a", "b")
+        return pairs.where(F.size(F.array_intersect("sa", "sb")) >= self.least).select("a", "b")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose full sets are similar."""
         for side, name in (("a", "left"), ("b", "right")):
             pairs = pairs.join(self.sets.withColumnsRenamed({"id": side, "hashes": name}), side)
         return pairs.select("a", "b", "left", "right").mapInArrow(_confirm(self.percent), f"a {self.kind}, b {self.kind}")
@@ -170,31 +230,31 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     shared = posted.groupBy("value").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     rarest = posted.join(shared, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("values"))
     prefix = F.slice("values", 1, F.size("values") - (least - 1))
-    entries = cut(rarest.where(F.size("values") >= least).select("id", F.explode(prefix.value).alias("value")))
+    entries = cut(rarest.where(F.size("values") >= least).select("id", F.size("values").alias("shared"), F.explode(prefix.value).alias("value")))
 
     wanted = entries.select("id").distinct()
     sets = cut(texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(width), f"id {kind}, hashes binary"))
     links = _Links(nodes, sets, least, percent, kind)
 
-    # One pivot for each list, the same for most lists of a group of copies.
-    pivots = entries.groupBy("value").agg(F.min_by("id", F.struct(F.xxhash64("id"), "id")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    tried = cut(_ordered(entries.join(pivots, "value"), "id", "pivot"))
-    linked = cut(links.among(tried))
-
-    # Members outside the largest class of a list meet a member of that class.
-    labelled = _labelled(entries, components(linked))
-    mixed = _mixed(labelled)
-    ruling = mixed.where("label = main").groupBy("value").agg(F.min_by("id", F.struct(F.xxhash64("id", "value"), "id")).alias("pivot"))
-    more = cut(_ordered(mixed.where("label <> main").join(ruling, "value"), "id", "pivot").join(tried, ["a", "b"], "left_anti"))
-    tried = tried.unionByName(more)
-    linked = cut(linked.unionByName(links.among(more)))
-
-    # What is still apart in some list is compared pair by pair.
-    mixed = _mixed(_labelled(entries, components(linked)))
-    apart = mixed.where("label <> main").select("value", F.col("id").alias("other"), F.col("label").alias("other_label"))
-    rest = mixed.join(apart, "value").where("label <> other_label")
-    rest = cut(_ordered(rest, "id", "other").join(tried, ["a", "b"], "left_anti"))
-    linked = cut(linked.unionByName(links.among(rest)))
+    # One pivot for each list: the member that shares most of its values, so mostly the same and near the middle of its group.
+    pivots = entries.groupBy("value").agg(F.max_by("id", F.struct("shared", F.xxhash64("id"), "id")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(entries.join(pivots, "value").select("id", "pivot").distinct())
+    tried = _ordered(members, "id", "pivot")
+    linked = cut(links.similar(links.colliding(tried)))
+
+    # Groups with members that their pivot does not settle: pairs that share enough of their differences from it.
+    pair = members.where("id <> pivot").select("id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    known = cut(pair.join(linked.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("id", "pivot", F.coalesce("linked", F.lit(False)).alias("settled")))
+    open_groups = known.where("not settled").select("pivot").distinct()
+    both = known.join(open_groups, "pivot").join(sets, "id").join(sets.withColumnsRenamed({"id": "pivot", "hashes": "other"}), "pivot")
+    posted = cut(both.select("pivot", "id", "settled", "hashes", "other").mapInArrow(_differences(percent), DIFFERENCES.format(kind=kind)))
+    right = posted.select("pivot", "element", *(F.col(c).alias(f"{c}2") for c in ("id", "settled", "u", "left", *SKETCH, "spare", "earlier")))
+    need = F.col("u") + F.col("u2")
+    common = sum((F.bit_count(F.col(c).bitwiseAND(F.col(f"{c}2"))) for c in SKETCH), F.least("spare", "spare2"))
+    fits = (F.col("id") < F.col("id2")) & ~(F.col("settled") & F.col("settled2")) & (F.col("left") >= need) & (F.col("left2") >= need) & (common >= need)
+    found_twice = F.arrays_overlap("earlier", "earlier2")
+    rest = cut(_ordered(posted.join(right, ["pivot", "element"]).where(fits & ~found_twice), "id", "id2").join(tried, ["a", "b"], "left_anti"))
+    linked = cut(linked.unionByName(links.similar(rest)))
 
     label = components(linked)
     by_set = nodes.join(label, "id", "left").select("same", F.coalesce("label", "id").alias("component"))
@@ -203,17 +263,6 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
-    return entries.join(label, "id", "left").select("id", "value", F.coalesce("label", "id").alias("label"))
-
-
-def _mixed(labelled: DataFrame) -> DataFrame:
-    """Entries of the lists that hold several classes, with each list's largest class as ``main``."""
-    per = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    return cut(labelled.join(main.select("value", "main"), "value"))
-
-
 def select(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class, with all its columns (that of least doc_id; all rows that bear it)."""
     keep = classes(docs, width, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,20 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    del df
+    release(context)
+    return done
+
+
+def release(context) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer held.
+
+    It does so when the driver's garbage is collected, which may be hours after
+    a cut has made them needless.
+    """
+    gc.collect()
+    context._jvm.System.gc()
 
 
 def raw(column: str) -> Column:
