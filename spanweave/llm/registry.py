@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm, media, mixing, neardup, quality, substrings, urls
+from . import decontaminate, licenses, lm, media, mixing, neardup, pages, quality, substrings, urls
 
 
 def queries() -> dict:
-    return {"op1_substrings": substrings.op1_substrings, "op2_decontaminate": decontaminate.op2_decontaminate, "op3_urls": urls.op3_urls, "op4_neardup": neardup.op4_neardup, "op5_lm": lm.op5_lm, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op10_media": media.op10_media}
+    return {"op1_substrings": substrings.op1_substrings, "op2_decontaminate": decontaminate.op2_decontaminate, "op3_urls": urls.op3_urls, "op4_neardup": neardup.op4_neardup, "op5_lm": lm.op5_lm, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op8_licenses": licenses.op8_licenses, "op9_pages": pages.op9_pages, "op10_media": media.op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
