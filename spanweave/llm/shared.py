@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +14,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder that spark.checkpoint.dir names.
+def _checkpoints(spark: SparkSession) -> str:
+    """The context's checkpoint folder.
 
-    The folder is set here only where neither the session nor the context has
-    one, which is the case in tests on one machine.
+    It is set here only where neither the session nor the context has one,
+    which is the case in tests on one machine.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path beside the checkpoints, which all executors share."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the folder that spark.checkpoint.dir names."""
+    context = df.sparkSession.sparkContext
+    _checkpoints(df.sparkSession)
     done = df.checkpoint(eager=True)
     del df
     release(context)
