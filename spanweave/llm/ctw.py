@@ -42,8 +42,13 @@ def grams(text: np.ndarray, depth: int) -> np.ndarray:
     """The gram of every byte from position ``depth`` on."""
     n = len(text) - depth
     out = text[depth:].astype(np.int64)
-    for back in range(1, depth + 1):
-        out |= text[depth - back : depth - back + n].astype(np.int64) << (8 * (depth + 1 - back))
+    pairs = text[1:].astype(np.uint16) << 8 | text[:-1]  # a byte and the one before it
+    back = 1
+    while back < depth:
+        out |= pairs[depth - back - 1 : depth - back - 1 + n].astype(np.int64) << (8 * (depth - back))
+        back += 2
+    if back == depth:
+        out |= text[:n].astype(np.int64) << 8
     return out
 
 

@@ -42,7 +42,7 @@ from .kernels import flat, mix, words
 from .shared import cut, keyed, raw, table
 
 DEPTH = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 CHUNK = 4 << 20
 END_WORD = np.uint64(0x6A09E667F3BCC909).astype(np.int64)
 NOTHING = np.zeros(0, np.int64)
@@ -82,39 +82,96 @@ def coded(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return stream, starts, starts + lengths + 1
 
 
-def _marks(n: int, starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """True at the symbols of the chosen texts."""
-    edge = np.zeros(n + 1, np.int8)
-    np.add.at(edge, starts[chosen], 1)
-    np.add.at(edge, ends[chosen], -1)
-    return np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+class Finder:
+    """Places of keys in a table without repeats, by hashing into slots; keys that lost their slot go to a next table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.levels = keys, []
+        left, salt = np.arange(len(keys), dtype=np.int32), 0
+        while len(left) > 64 and len(self.levels) < 24:
+            bits = (2 * len(left)).bit_length()
+            at = self._slot(keys[left], salt, bits)
+            slots = np.full(1 << bits, -1, np.int32)
+            slots[at] = left
+            self.levels.append((salt, bits, slots))
+            left, salt = left[slots[at] != left], salt + 1
+        self.rest = left[np.argsort(keys[left], kind="stable")]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, salt: int, bits: int) -> np.ndarray:
+        factor = np.uint64((0x9E3779B97F4A7C15 * (2 * salt + 1)) & ((1 << 64) - 1))
+        return (keys.view(np.uint64) * factor) >> np.uint64(64 - bits)
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """Place of each asked key; all of them must be there."""
+        out = np.zeros(len(asked), np.int32)
+        open_ = None
+        for salt, bits, slots in self.levels:
+            mine = asked if open_ is None else asked[open_]
+            at = slots[self._slot(mine, salt, bits)]
+            hit = self.keys[at] == mine
+            if open_ is None:
+                out, open_ = at, np.flatnonzero(~hit)
+            else:
+                out[open_] = at
+                open_ = open_[~hit]
+            if not len(open_):
+                return out
+        open_ = np.arange(len(asked)) if open_ is None else open_
+        if len(open_) and len(self.rest):
+            place = np.minimum(np.searchsorted(self.keys[self.rest], asked[open_]), len(self.rest) - 1)
+            out[open_] = self.rest[place]
+        return out
+
+
+def _distinct(values: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    if counted:
+        keys, counts = np.unique(values, return_counts=True)
+        return keys, counts.astype(np.int64)
+    keys = np.unique(values)
+    return keys, np.zeros(len(keys), np.int64)
 
 
 def block_grams(texts: list[bytes], train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of the texts with their counts in training texts."""
-    stream, starts, ends = coded(texts, depth)
-    every = _marks(len(stream), starts, ends, np.ones(len(texts), bool))
-    learnt = _marks(len(stream), starts, ends, train)
     keys, counts = [NOTHING], [NOTHING]
-    for at in range(depth, len(stream), CHUNK):
-        to = min(len(stream), at + CHUNK)
-        found = ctw.grams(stream[at - depth : to], depth)
-        mine = learnt[at:to]
-        k, c = np.unique(found[mine], return_counts=True)
-        other = np.unique(found[every[at:to] & ~mine])
-        keys += [k, other]
-        counts += [c.astype(np.int64), np.zeros(len(other), np.int64)]
+    fill = (1 << (8 * (depth + 1))) - 1  # the gram of an empty text's end
+    for learnt in (True, False):
+        mine = [t for t, x in zip(texts, train, strict=True) if x == learnt]
+        stream, starts, ends = coded(mine, depth)
+        for at in range(depth, len(stream), CHUNK):
+            k, c = _distinct(ctw.grams(stream[at - depth : min(len(stream), at + CHUNK)], depth), learnt)
+            gap = (k >> (8 * depth) == 255) & (k & 255 == 255)  # between texts
+            keys.append(k[~gap])
+            counts.append(c[~gap])
+        empty = int((ends - starts == 1).sum())
+        if empty:
+            keys.append(np.array([fill]))
+            counts.append(np.array([empty * learnt]))
     return _sum(np.concatenate(keys), np.concatenate(counts))
 
 
-def block_words(column: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes (the end's too) with training counts; hash and text number of every token."""
+def block_words(column: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word hashes (the end's too) with their counts in training texts."""
+    tokens, owner = _tokens(column, len(train))
+    learnt = train[owner]
+    parts = [_distinct(tokens[learnt], True), _distinct(tokens[~learnt], False)]
+    return _sum(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _tokens(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hash and text number of every token."""
     data, offsets = flat(column)
-    hashes, _, _, owner = words(data, offsets)
-    tokens = np.concatenate([hashes.view(np.int64), np.full(len(train), END_WORD)])
-    owner = np.concatenate([owner, np.arange(len(train))])
-    keys, counts = _sum(tokens, train[owner].astype(np.int64))
-    return keys, counts, tokens, owner
+    found: list[np.ndarray] = [np.full(n, END_WORD)]
+    owners: list[np.ndarray] = [np.arange(n)]
+    at = 0
+    while at < n:
+        to = min(max(int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1, at + 1), n)
+        hashes, _, _, owner = words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        found.append(hashes.view(np.int64))
+        owners.append(owner + at)
+        at = to
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def gram_buckets(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -146,7 +203,7 @@ def _ask(depth: int, buckets: int):
         rows: list[tuple] = []
         keys, counts = block_grams(column.to_pylist(), train, depth)
         rows += [(0, b, key[0].as_py(), _gaps(keys[r]), _pack(counts[r])) for b, r in _dealt(keys, gram_buckets(keys, depth, buckets))]
-        keys, counts, _, _ = block_words(column, train)
+        keys, counts = block_words(column, train)
         rows += [(1, b, key[0].as_py(), _gaps(keys[r]), _pack(counts[r])) for b, r in _dealt(keys, word_buckets(keys, buckets))]
         return pa.table({n: pa.array(v, t) for (n, t), v in zip((("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())), zip(*rows, strict=True), strict=True)})
 
@@ -244,7 +301,7 @@ def _add_up(depth: int):
     return run
 
 
-ANSWERED = "block long, kind int, bucket long, answers binary"
+ANSWERED = "block long, kind int, keys binary, answers binary"
 
 
 def _answer(upper, depth: int):
@@ -260,52 +317,49 @@ def _answer(upper, depth: int):
                     if kind == 0:
                         values = gram_scores(keys, values, upper.value, depth).astype(np.float32)
                 else:
-                    out.append((block, kind, bucket, _pack(values[np.searchsorted(keys, _keys(asked))])))
+                    out.append((block, kind, asked, _pack(values[np.searchsorted(keys, _keys(asked))])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "kind", "bucket", "answers"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "kind", "keys", "answers"])
 
     return run
 
 
-def _gathered(keys: np.ndarray, bucket: np.ndarray, answers: dict[int, bytes], kind: type) -> np.ndarray:
-    out = np.zeros(len(keys), kind)
-    for b, rows in _dealt(keys, bucket):
-        out[rows] = _unpack(answers[b], kind)
-    return out
+def _known(answers: pa.Table, kind: int, value: type) -> tuple[Finder, np.ndarray]:
+    keys, values = [NOTHING], [np.zeros(0, value)]
+    for k, x, y in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "answers")), strict=True):
+        if k == kind:
+            keys.append(_keys(x))
+            values.append(_unpack(y, value))
+    return Finder(np.concatenate(keys)), np.concatenate(values)
 
 
-def _score(depth: int, buckets: int, tokens: int, kinds: int):
+def _score(depth: int, tokens: int, kinds: int):
     total = math.log10(tokens + 0.1 * (kinds + 1))
 
     def run(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         column = group.column("text").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        texts, n = column.to_pylist(), group.num_rows
-        found: tuple[dict, dict] = {}, {}
-        for kind, bucket, values in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "answers")), strict=True):
-            found[kind][bucket] = values
-        train = np.zeros(n, bool)
-        keys, _ = block_grams(texts, train, depth)
-        values = _gathered(keys, gram_buckets(keys, depth, buckets), found[0], np.float32)
-        stream, starts, ends = coded(texts, depth)
-        every = _marks(len(stream), starts, ends, ~train)
-        sums = np.zeros(len(stream) + 1)
-        at_value = sums[1:]
-        for at in range(depth, len(stream), CHUNK):
-            to = min(len(stream), at + CHUNK)
-            mine = np.flatnonzero(every[at:to])
-            asked = ctw.grams(stream[at - depth : to], depth)[mine]
-            at_value[at + mine] = values[np.searchsorted(keys, asked)]
-        score = np.add.reduceat(at_value, np.stack([starts, ends], axis=1).reshape(-1))[::2] if n else np.zeros(0)
-        keys, _, token, owner = block_words(column, train)
-        counts = _gathered(keys, word_buckets(keys, buckets), found[1], np.int64)
-        count = counts[np.searchsorted(keys, token)]
-        base = np.bincount(owner, np.log10(count + 0.1) - total, n)
+        n = group.num_rows
+        finder, values = _known(answers, 0, np.float32)
+        stream, starts, ends = coded(column.to_pylist(), depth)
+        score = np.zeros(n)
+        at = 0
+        while at < n:  # texts of about CHUNK bytes at a time
+            to = min(max(int(np.searchsorted(starts, starts[at] + CHUNK, side="right")), at + 1), n)
+            base = starts[at]
+            found = values[finder.find(ctw.grams(stream[base - depth : ends[to - 1]], depth))]
+            bounds = np.stack([starts[at:to] - base, ends[at:to] - base], axis=1).reshape(-1)
+            score[at:to] = np.add.reduceat(np.append(found, np.float32(0)), bounds, dtype=np.float64)[::2]
+            at = to
+        finder, counts = _known(answers, 1, np.int64)
+        token, owner = _tokens(column, n)
+        count = counts[finder.find(token)]
+        base_score = np.bincount(owner, np.log10(count + 0.1) - total, n)
         n_tokens, n_known = np.bincount(owner, minlength=n), np.bincount(owner, count > 0, n).astype(np.int64)
         n_bytes = ends - starts
         return pa.table({
             "doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": pa.array(base), "score": pa.array(score), "coded_bytes": pa.array(n_bytes, pa.int64()),
+            "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": pa.array(base_score), "score": pa.array(score), "coded_bytes": pa.array(n_bytes, pa.int64()),
             "bits_per_byte": pa.array(-score / math.log10(2) / n_bytes),
         })
 
@@ -330,7 +384,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     answers = both.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(_answer(spark.sparkContext.broadcast(upper), depth), ANSWERED)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, coded_bytes long, bits_per_byte double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, buckets, tokens, kinds), schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, tokens, kinds), schema)
 
 
 def op5_lm(spark, sf_dir):
