@@ -155,8 +155,8 @@ QUERIES = {
     "t08_index_overlap": (t08_index_overlap, v.oracle(f"SELECT record_key, version_id, valid_from FROM versions WHERE (valid_to IS NULL OR valid_to > TIMESTAMP '{A}') AND valid_from < TIMESTAMP '1998-02-01'", "versions")),
     "j04_at_or_before": (j04_at_or_before, v.oracle(LAST.format(op="<=", o="DESC"), "timeline", recursive=PROBES)),
     "j04_at_or_after": (j04_at_or_after, v.oracle(LAST.format(op=">=", o="ASC"), "timeline", recursive=PROBES)),
-    "t09_between": (t09_between, v.oracle("SELECT key, count(*) AS n, round(sum(value),4) AS total FROM timeline, (SELECT min("at") AS lo, max("at") AS hi FROM timeline) WHERE "at" >= lo + to_microseconds(CAST(round((epoch_us(hi)-epoch_us(lo))/3.0) AS BIGINT)) AND "at" < lo + to_microseconds(CAST(round(2*(epoch_us(hi)-epoch_us(lo))/3.0) AS BIGINT)) GROUP BY key", "timeline")),
-    "w11_latest": (w11_latest, v.oracle("SELECT key, "at", sequence, value FROM timeline QUALIFY row_number() OVER (PARTITION BY key ORDER BY "at" DESC, sequence DESC)=1", "timeline")),
+    "t09_between": (t09_between, v.oracle("SELECT key, count(*) AS n, round(sum(value),4) AS total FROM timeline, (SELECT min(\"at\") AS lo, max(\"at\") AS hi FROM timeline) WHERE \"at\" >= lo + to_microseconds(CAST(round((epoch_us(hi)-epoch_us(lo))/3.0) AS BIGINT)) AND \"at\" < lo + to_microseconds(CAST(round(2*(epoch_us(hi)-epoch_us(lo))/3.0) AS BIGINT)) GROUP BY key", "timeline")),
+    "w11_latest": (w11_latest, v.oracle("SELECT key, \"at\", sequence, value FROM timeline QUALIFY row_number() OVER (PARTITION BY key ORDER BY \"at\" DESC, sequence DESC)=1", "timeline")),
     "t01_floor": (t01_floor, "SELECT event_id, " + ", ".join(f"CAST(date_trunc('{g}', ts) AS TIMESTAMP) AS at_{g}" for g in GRAINS) + " FROM events"),
     "t02_add": (t02_add, "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS month, o_orderdate + INTERVAL 3 MONTH AS quarter, o_orderdate - INTERVAL 12 MONTH AS year, o_orderdate + INTERVAL 14 DAY AS week, o_orderdate + INTERVAL 5 HOUR AS hour FROM orders"),
     "t03_bucket": (t03_bucket, "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, CAST(date_trunc('hour', ts) AS TIMESTAMP) + INTERVAL 1 HOUR AS \"end\", count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1, 2"),
