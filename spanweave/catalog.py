@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from .queries import economics, evidence, graph, impact, more, spatial, stats, temporal
+
+FLAGSHIP = "p01_propagate"
+MODULES = (temporal, graph, impact, stats, economics, spatial, evidence, more)
 
 
 def queries() -> dict:
-    return {}
+    return {key: query for module in MODULES for key, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {key: sql for module in MODULES for key, (_, sql) in module.QUERIES.items() if sql}
