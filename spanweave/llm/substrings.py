@@ -44,9 +44,10 @@ from .suffix import repeated
 
 LENGTH = 200
 GRAM = 64
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 12 << 20
 PLACE = 34
-SLICE = 2 << 20
+SLICE = 1 << 19
 NOTHING = np.zeros(0, np.int64)
 
 
@@ -102,9 +103,17 @@ def find_spans(data: np.ndarray, offsets: np.ndarray, length: int) -> Spans:
 
 
 def window_prints(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of the windows at the given starts."""
-    prefix = prefix_hash(data)
-    return mix((prefix[starts + length] - prefix[starts]) * powers(INVERSE, len(prefix))[starts])
+    """Fingerprints of the windows at the given starts (in order), a slice of the data at a time."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = int(np.searchsorted(starts, base + SLICE))
+        prefix = prefix_hash(data[base : starts[to - 1] + length])
+        mine = starts[at:to] - base
+        out[at:to] = mix((prefix[mine + length] - prefix[mine]) * powers(INVERSE, len(prefix))[mine])
+        at = to
+    return out
 
 
 def _pack(array: np.ndarray) -> bytes:
@@ -346,7 +355,7 @@ def _finish(group: pa.Table, hits: np.ndarray, length: int, want_text: bool, nam
     columns = {name: group.column(name) for name in names}
     columns |= {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans, pa.int64())}
     if want_text:
-        columns["kept_text"] = pa.array([x.decode("utf-8", "ignore") if k else None for x, k in zip(rest, n_removed.tolist(), strict=True)], pa.string())
+        columns["kept"] = pa.array([x.decode("utf-8", "ignore").encode() if k else x for x, k in zip(rest, n_removed.tolist(), strict=True)], pa.binary())
     else:
         columns["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in rest])
     return pa.table(columns)
@@ -391,16 +400,16 @@ def _conclude(length: int, want_text: bool, names: list[str], schema: pa.Schema)
 def _run(docs: DataFrame, length: int, want_text: bool, block_bytes: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = docs.columns if want_text else ["doc_id"]
+    names = [c for c in docs.columns if c != "text"] if want_text else ["doc_id"]
     source = docs.select(*[F.col(f"`{c}`") for c in names], raw("text").alias("bytes"))
     size = source.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    buckets = min(1 << 12, max(8, blocks))
+    buckets = min(1 << 12, max(8, -(-size // BUCKET_BYTES)))
     block = F.pmod(F.xxhash64(keyed("doc_id"), F.octet_length("bytes")), F.lit(blocks))
     dealt = source.withColumn("block", block)
     asked = dealt.select(F.col("bytes").alias("text"), "block").mapInArrow(_ask(length, buckets), ASKED)
     answers = asked.groupBy("kind", "bucket").applyInArrow(_meet, ANSWERED)
-    result = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in names), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_text", T.StringType()) if want_text else T.StructField("kept_sha256", T.StringType())])
+    result = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in names), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()) if want_text else T.StructField("kept_sha256", T.StringType())])
     rows = T.StructType([T.StructField(f.name, {"int64": T.LongType(), "int32": T.IntegerType(), "binary": T.BinaryType()}[str(f.type)]) for f in PARTS] + [T.StructField(f"r_{f.name}", f.dataType) for f in result])
     inner = to_arrow_schema(rows)
     plain = to_arrow_schema(result)
@@ -427,9 +436,9 @@ def clean(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES)
     Characters cut in two go; a text that loses everything goes as a row; a
     column n_chars, if there is one, is counted anew.
     """
-    found = _run(docs, length, True, block_bytes)
-    whole = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    found = found.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", whole)
+    marked = docs.withColumn("_null", F.col("text").isNull())
+    found = _run(marked, length, True, block_bytes).where("n_removed = 0 or n_removed < n_bytes")
+    found = found.withColumn("text", F.when(~F.col("_null"), F.col("kept").cast("string")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -108,14 +108,14 @@ def _names(t: np.ndarray, lms: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _order(names: np.ndarray) -> np.ndarray:
     """Order of the suffixes of a string of names, by naming pairs of names again and again."""
     n = len(names)
-    rank = names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    kind = np.int32 if n < 1 << 31 else np.int64
+    rank = names.astype(kind)
+    order = np.argsort(rank, kind="stable").astype(kind)
     span = 1
     # Ranks leave room: a group of equal rank r holds places r .. r + size - 1.
     ordered = rank[order]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[order] = start
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=kind), 0))
     open_ = np.flatnonzero(~(first & np.append(first[1:], True)))
     while len(open_):
         at = order[open_]
@@ -165,18 +165,21 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     it need not be compared. The others are, seven symbols (of 9 bits) at a time.
     """
     n = len(t)
-    before = np.empty(n, np.int64)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    before = np.empty(n, kind)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
     has = before >= 0
-    previous = np.arange(n) - 1
-    fresh = has & ((previous < 0) | (before <= 0) | (t[np.maximum(previous, 0)] != t[np.maximum(before - 1, 0)]))
+    fresh = np.ones(n, bool)
+    fresh[1:] = (before[1:] <= 0) | (t[:-1] != t[np.maximum(before[1:], 1) - 1])
+    fresh &= has
     at = np.flatnonzero(fresh)
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, kind)
     wide = np.zeros(n + WIDTH, np.uint64)
     for k in range(min(n, WIDTH)):
         wide[: n - k] |= t[k:].astype(np.uint64) << np.uint64(9 * k)
-    one, two, k = at, before[at], 0
+    one, two, k = at, before[at].astype(np.int64), 0
+    del before
     active = np.arange(len(at))
     result = np.zeros(len(at), np.int64)
     while len(active):
@@ -196,9 +199,11 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
         k += WIDTH
     length[at] = result
     # The others carry on from the last compared position.
-    source = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
-    carried = np.where(source >= 0, length[np.maximum(source, 0)] - (np.arange(n) - source), 0)
-    return np.where(has, np.maximum(carried, 0), 0)
+    del wide
+    place = np.arange(n, dtype=kind)
+    source = np.maximum.accumulate(np.where(fresh, place, kind(-1)))
+    carried = length[np.maximum(source, 0)] - (place - source)
+    return np.where(has & (source >= 0), np.maximum(carried, 0), 0)
 
 
 def repeated(t: np.ndarray, least: int) -> np.ndarray:
