@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.
     own = number[owner] >= 0
     owner, bucket, grade = number[owner[own]], bucket[own], grade[chosen]
     held = np.arange(len(grade)) % 5 == 4
-    cut_at = 0.5
+    cut_at = 0.5 if len(grade) else 0.0
     if held.any():
         number = np.cumsum(~held) - 1
         own = ~held[owner]
