@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import economics, evidence, graph, impact, more, spatial, stats, temporal
+from .queries import economics, evidence, extra, graph, impact, more, spatial, stats, temporal
 
 FLAGSHIP = "p01_propagate"
-MODULES = (temporal, graph, impact, stats, economics, spatial, evidence, more)
+MODULES = (temporal, graph, impact, stats, economics, spatial, evidence, more, extra)
 
 
 def queries() -> dict:

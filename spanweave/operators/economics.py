@@ -18,7 +18,8 @@ EXACT_ITEMS = 28
 
 def neumann(coefficients: DataFrame, demand: DataFrame, terms: int) -> DataFrame:
     """sector, output: demand + A demand + A A demand ..., so many terms; coefficients has i, j, a."""
-    term = demand.select(F.col("sector"), F.col("d").alias("x"))
+    coefficients = cut(coefficients)
+    term = cut(demand.select(F.col("sector"), F.col("d").alias("x")))
     total = term
     for _ in range(terms):
         term = cut(coefficients.join(term, coefficients.j == term.sector).groupBy(F.col("i").alias("sector")).agg(F.sum(F.col("a") * F.col("x")).alias("x")))

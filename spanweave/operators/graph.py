@@ -8,6 +8,7 @@ articulation points, flow) run on one machine for graphs of checked size.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict, deque
 
 from pyspark.sql import DataFrame, Window
@@ -24,7 +25,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def hops_from(edges: DataFrame, roots: DataFrame, most: int = 16) -> DataFrame:
     """root, node, hops of every node that a root reaches in at most ``most`` steps, itself at 0."""
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())  # read once, not once a level
     seen = cut(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("hops")))
     frontier = seen
     for k in range(1, most + 1):
@@ -48,7 +49,7 @@ def paths(edges: DataFrame, source: str, most: int, score: str = "score", keep:
     ``keep`` bounds the paths held at each end; a path of highest score is
     never lost, as all prefixes of it are best at their ends.
     """
-    steps = edges.select("src", "dst", F.col(score).alias("_s"))
+    steps = cut(edges.select("src", "dst", F.col(score).alias("_s")))
     start = edges.sparkSession.createDataFrame([([source], source, 0, 1.0)], "path array<string>, node string, hops int, score double")
     every, frontier = None, start
     for _ in range(most):
@@ -66,7 +67,7 @@ def paths(edges: DataFrame, source: str, most: int, score: str = "score", keep:
 
 def shortest(edges: DataFrame, source: str, cost: str, most: int = 32) -> DataFrame:
     """node, cost, hops, path of least cost, then fewest hops, then least names (relaxation until nothing improves)."""
-    steps = edges.groupBy("src", "dst").agg(F.min(cost).alias("_c"))
+    steps = cut(edges.groupBy("src", "dst").agg(F.min(cost).alias("_c")))
     best = cut(edges.sparkSession.createDataFrame([(source, 0.0, 0, [source])], "node string, cost double, hops int, path array<string>"))
     rank = F.struct("cost", "hops", "path")
     for _ in range(most):
@@ -78,30 +79,51 @@ def shortest(edges: DataFrame, source: str, cost: str, most: int = 32) -> DataFr
     return best
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, sweeps: int = 20, damping: float = 0.85, weight: str | None = None, renormalise: bool = False) -> DataFrame:
-    """node, rank after ``sweeps`` parallel updates; what dangling nodes hold is dealt to all."""
+def _sweeps(nodes: DataFrame, edges: DataFrame, damping: float, weight: str | None):
+    """Endless ranks, one parallel update after the other; what dangling nodes hold is dealt to all."""
     w = F.col(weight) if weight else F.lit(1.0)
     steps = edges.select("src", "dst", w.alias("_w")).where("_w > 0")
     out = steps.groupBy("src").agg(F.sum("_w").alias("_t"))
     steps = cut(steps.join(out, "src").groupBy("src", "dst").agg((F.sum("_w") / F.first("_t")).alias("_p")))
-    n = nodes.count()
-    ranks = cut(nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank")))
+    nodes = cut(nodes.select("node"))
+    n = max(nodes.count(), 1)
     senders = steps.select(F.col("src").alias("node")).distinct()
-    for k in range(sweeps):
+    ranks, k = nodes.select("node", F.lit(1.0 / n).alias("rank")), 0
+    while True:
         lost = ranks.join(senders, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         told = ranks.join(steps, ranks.node == steps.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("_p")).alias("told"))
-        new = ranks.select("node").join(told, "node", "left").crossJoin(F.broadcast(lost))
-        ranks = new.select("node", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("told", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
-        if k % 5 == 4:
+        new = nodes.join(told, "node", "left").crossJoin(F.broadcast(lost))  # lost is one row
+        ranks = new.select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("told", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        k += 1
+        if k % 4 == 0:
             ranks = cut(ranks)
+        yield ranks
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, sweeps: int = 20, damping: float = 0.85, weight: str | None = None, renormalise: bool = False) -> DataFrame:
+    """node, rank after ``sweeps`` updates."""
+    ranks = next(itertools.islice(_sweeps(nodes, edges, damping, weight), sweeps - 1, None))
     if renormalise:
         ranks = ranks.crossJoin(F.broadcast(ranks.agg(F.sum("rank").alias("_all")))).select("node", (F.col("rank") / F.col("_all")).alias("rank"))
     return ranks
 
 
+def pagerank_until(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-10, most: int = 200, damping: float = 0.85, weight: str | None = None) -> DataFrame:
+    """Ranks when an update changes them by less than ``tolerance`` in all (seen at every fourth); an error if none does."""
+    before = None
+    for k, ranks in enumerate(itertools.islice(_sweeps(nodes, edges, damping, weight), most), 1):
+        if k % 4 == 0 and before is not None:
+            change = ranks.join(before.withColumnRenamed("rank", "was"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            if (change or 0) < tolerance:
+                return ranks
+        before = ranks
+    raise ValueError("the ranks did not settle")
+
+
 def diffuse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, sweeps: int, damping: float) -> DataFrame:
     """Linear propagation: value <- seed + damping * sum of neighbours' value * weight, a fixed number of times."""
-    base = nodes.join(seeds, "node", "left").select("node", F.coalesce("value", F.lit(0.0)).alias("seed"))
+    edges = cut(edges.select("src", "dst", "weight"))
+    base = cut(nodes.join(seeds, "node", "left").select("node", F.coalesce("value", F.lit(0.0)).alias("seed")))
     value = base.select("node", F.col("seed").alias("value"))
     for _ in range(sweeps):
         told = value.join(edges, value.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("value") * F.col("weight")).alias("told"))

@@ -28,6 +28,8 @@ def propagate(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None
     of shocks (and keep) are carried along, so several worlds run as one plan.
     """
     variant = variant or []
+    edges = cut(edges.select("src", "dst", "factor", "valid_from", "valid_to"))  # read once, not once a level
+    keep = None if keep is None else cut(keep)
     wait = F.make_dt_interval(secs=F.lit(delay_seconds).cast("decimal(18,6)"))
 
     def damp(df: DataFrame) -> DataFrame:

@@ -77,16 +77,16 @@ METRICS = ["least", "hours_below", "capacity_hours", "deficit_hours", "resilienc
 
 
 def c01_continuity(s, d):
-    out = p.continuity(p.trajectory(_impaired(s, d), 24, 48), 0.9)
+    out = p.continuity(p.trajectory(_impaired(s, d), 24, 48, 7), 0.9)
     return out.select("entity", *[F.round(c, 6).alias(c) for c in METRICS])
 
 
 def c02_recovery(s, d):
-    return p.trajectory(_impaired(s, d), 24, 48).select("entity", F.round("hour", 6).alias("hour"), F.round("capacity", 5).alias("capacity"))
+    return p.trajectory(_impaired(s, d), 24, 48, 7).select("entity", F.round("hour", 6).alias("hour"), F.round("capacity", 7).alias("capacity"))
 
 
 def w09_time_to_threshold(s, d):
-    pts = p.trajectory(_impaired(s, d), 24, 48).where("hour >= 24")
+    pts = p.trajectory(_impaired(s, d), 24, 48, 7).where("hour >= 24")
     return pts.groupBy("entity").agg(F.round(F.min(F.when(F.col("capacity") >= 0.9, F.col("hour"))), 6).alias("hour"))
 
 
@@ -177,7 +177,7 @@ def _walk(worlds: str = "", keep: str = "1.0", key: str = "") -> str:
 SG = _walk()
 BASE = ("supplies", "serves", "shocks")
 IMP = ", im AS (SELECT entity, max(impairment) AS i FROM sg GROUP BY entity)"
-TRAJ = IMP + ", tr AS (SELECT entity, h AS hour, 1-i*(1-f) AS capacity FROM im, (SELECT 0.0::DOUBLE AS h, 0.0::DOUBLE AS f UNION ALL SELECT 24.0, 0.0 UNION ALL SELECT 24.0+48.0*g/8, g/8.0 FROM generate_series(1,8) t(g)))"
+TRAJ = IMP + ", tr AS (SELECT entity, h AS hour, 1-i*(1-f) AS capacity FROM im, (SELECT 0.0::DOUBLE AS h, 0.0::DOUBLE AS f UNION ALL SELECT 24.0, 0.0 UNION ALL SELECT 24.0+48.0*g/7, g/7.0::DOUBLE FROM generate_series(1,7) t(g)))"
 PATCH = """pt AS (SELECT n_name AS entity, 1 AS seq, 'multiply' AS op, round(1-(n_nationkey%4)/10,6)::DOUBLE AS amount FROM nation UNION ALL SELECT n_name,2,'set',0.6 FROM nation WHERE n_nationkey%3=0 UNION ALL SELECT n_name,3,'add',0.15 FROM nation
  UNION ALL SELECT n_name,4,'min',0.7 FROM nation WHERE n_regionkey=1 UNION ALL SELECT n_name,5,'max',0.95 FROM nation WHERE n_regionkey=2)"""
 
@@ -202,7 +202,7 @@ QUERIES = {
     "w02_evidence_rank": (w02_evidence_rank, v.oracle("SELECT row_number() OVER (ORDER BY round(i,9) DESC, entity) AS place, entity, round(i,9) AS impairment FROM im", *BASE, recursive=SG + IMP)),
     "c01_continuity": (c01_continuity, v.oracle("""SELECT entity, round(min(a),6) AS least, round(coalesce(sum(CASE WHEN a<0.9 AND b<0.9 THEN dt WHEN a<0.9 AND b>=0.9 THEN dt*(0.9-a)/(b-a) WHEN a>=0.9 AND b<0.9 THEN dt*(0.9-b)/(a-b) ELSE 0 END),0),6) AS hours_below, round(sum(dt*(a+b)/2),6) AS capacity_hours,
  round(sum(dt*greatest(0.0,1-(a+b)/2)),6) AS deficit_hours, round(sum(dt*(a+b)/2)/sum(dt),6) AS resilience FROM (SELECT entity, capacity AS a, lead(capacity) OVER w AS b, lead(hour) OVER w - hour AS dt FROM tr WINDOW w AS (PARTITION BY entity ORDER BY hour, capacity)) GROUP BY entity""", *BASE, recursive=SG + TRAJ)),
-    "c02_recovery": (c02_recovery, v.oracle("SELECT entity, round(hour,6) AS hour, round(capacity,5) AS capacity FROM tr", *BASE, recursive=SG + TRAJ)),
+    "c02_recovery": (c02_recovery, v.oracle("SELECT entity, round(hour,6) AS hour, round(capacity,7) AS capacity FROM tr", *BASE, recursive=SG + TRAJ)),
     "w09_time_to_threshold": (w09_time_to_threshold, v.oracle("SELECT entity, round(min(CASE WHEN capacity>=0.9 THEN hour END),6) AS hour FROM tr WHERE hour>=24 GROUP BY entity", *BASE, recursive=SG + TRAJ)),
     "c03_substitution": (c03_substitution, v.oracle("SELECT entity, round(least(1.0,(1-i)+i*0.5*0.8*0.9),9) AS capacity FROM im", *BASE, recursive=SG + IMP)),
     "cf01_compare": (cf01_compare, v.oracle("SELECT entity, round(1-b,9) AS baseline, round(1-c,9) AS protected, round(b-c,9) AS gain, round(CASE WHEN b=1 AND c=1 THEN 0 WHEN b=1 THEN 'inf'::DOUBLE ELSE ((1-c)-(1-b))/(1-b) END,9) AS relative FROM (SELECT entity, coalesce(max(CASE WHEN world='baseline' THEN impairment END),0) AS b, coalesce(max(CASE WHEN world='protected' THEN impairment END),0) AS c FROM sg GROUP BY entity)", *BASE, recursive=_walk(" , (SELECT unnest(['baseline','protected']) AS world)", "(CASE WHEN s.world='protected' AND e.dst LIKE 'part:%' AND CAST(split_part(e.dst,':',2) AS INT)%2=0 THEN 0.5 ELSE 1.0 END)", "world"))),
