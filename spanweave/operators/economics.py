@@ -16,6 +16,14 @@ PRECISION = 34
 EXACT_ITEMS = 28
 
 
+def bounded(rows: DataFrame, most: int) -> list:
+    """All rows on the driver; an error if there are more than ``most``."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"this takes up to {most} rows")
+    return found
+
+
 def neumann(coefficients: DataFrame, demand: DataFrame, terms: int) -> DataFrame:
     """sector, output: demand + A demand + A A demand ..., so many terms; coefficients has i, j, a."""
     coefficients = cut(coefficients)

@@ -68,6 +68,40 @@ def within_km(left: DataFrame, right: DataFrame, km: float, size: float = 5.0) -
     return dealt.join(b, ["r_cx", "r_cy"]).withColumn("km", d).where(F.col("km") <= km).drop("r_cx", "r_cy").dropDuplicates(["l_id", "r_id"])
 
 
+def nearest(targets: DataFrame, points: DataFrame, k: int, start_km: float = 500.0, size: float = 5.0) -> DataFrame:
+    """The k nearest points (id, km, place) of each target t (id, lat, lon), not counting itself; ids break ties.
+
+    Rounds of growing radius: a target that has k points within the radius is
+    done, as no other can be nearer; the rest looks three times as far.
+    """
+    from pyspark.sql import Window
+
+    from ..plans.lineage import cut
+
+    rest, out, km = cut(targets.select("id", "lat", "lon")), None, start_km
+    w = Window.partitionBy("l_id").orderBy("km", "r_id")
+    while True:
+        last = km >= 1000 * math.pi * 6.4
+        found = within_km(rest, points.select("id", "lat", "lon"), km, size if km < 2000 else 30.0).where("l_id <> r_id")
+        ranked = cut(found.withColumn("km", F.round("km", 6)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k))
+        done = ranked if last else ranked.join(ranked.where(F.col("place") == k).select("l_id"), "l_id", "left_semi")
+        done = done.select(F.col("l_id").alias("t"), F.col("r_id").alias("id"), "km", F.col("place").cast("long").alias("place"))
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        rest = cut(rest.join(done.select(F.col("t").alias("id")).distinct(), "id", "left_anti"))
+        if rest.isEmpty():
+            return out
+        km *= 3
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, size: float = 30.0) -> DataFrame:
+    """Pairs of boxes (box, w, s, e, n; not across the antimeridian) and the points in them, by a join on grid cells."""
+    cell = lambda c, shift: F.floor((F.col(c) + shift) / size)
+    dealt = boxes.withColumn("cx", F.explode(F.sequence(cell("w", 180), cell("e", 180)))).withColumn("cy", F.explode(F.sequence(cell("s", 90), cell("n", 90))))
+    return cells(points, size).join(dealt, ["cx", "cy"]).where(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))).drop("cx", "cy")
+
+
 def geodesic_m(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
     """Ellipsoidal distance by Vincenty's iteration; points it can't settle (nearly antipodal) get the spherical value."""
     f, b = FLATTENING, A * (1 - FLATTENING)

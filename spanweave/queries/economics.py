@@ -15,7 +15,8 @@ def a04_trade_totals(s, d):
 
 
 def a05_trade_matrix(s, d):
-    names = [r.n_name for r in v.table(s, d, "nation").select("n_name").orderBy("n_name").limit(1000).collect()]
+    names = ec.bounded(v.table(s, d, "nation").select("n_name").orderBy("n_name"), 1000)
+    names = [r.n_name for r in names]
     wide = v.trade(s, d).groupBy("exporter").pivot("importer", names).agg(F.sum("value_usd")).fillna(0.0)
     return wide.unpivot("exporter", names, "importer", "total").select("exporter", "importer", F.round("total", 2).alias("total"))
 
@@ -92,9 +93,9 @@ def u02_units(s, d):
     return p.select("p_partkey", F.round(ec.convert_unit(F.col("p_size").cast("double"), F.lit(1000.0), F.lit(0.0), F.lit(0.3048), F.lit(0.0)), 6).alias("feet"), F.round(f, 6).alias("fahrenheit"))
 
 
-def _items(s, d, n: int = 20):
+def _items(s, d):
     c = v.table(s, d, "customer").groupBy("c_nationkey").agg(F.round(F.sum(F.abs("c_acctbal")) / 1000, 2).alias("cost"), F.count("*").alias("value")).join(v.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return [(r.n_name, float(r.cost), float(r.value)) for r in c.select("n_name", "cost", "value").orderBy("n_name").limit(n).collect()]
+    return [(r.n_name, float(r.cost), float(r.value)) for r in ec.bounded(c.select("n_name", "cost", "value").orderBy("n_name"), 4096)]
 
 
 def o02_greedy(s, d):

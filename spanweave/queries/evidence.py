@@ -125,7 +125,7 @@ def j05_integrity(s, d):
 
 
 def v01_ancestors(s, d):
-    c = v.table(s, d, "conversations").where("conv_id % 10 = 0")
+    c = v.table(s, d, "conversations")
     node = F.concat("conv_id", F.lit(":"), "turn")
     parents = c.select(node.alias("node"), F.when(F.col("turn") > 0, F.concat("conv_id", F.lit(":"), F.col("turn") - 1)).alias("parent"))
     return ev.ancestors(parents).groupBy("node").agg(F.count("*").alias("n"))
@@ -204,7 +204,7 @@ QUERIES = {
     "f17_policy": (f17_policy, "SELECT CASE WHEN toxic<>0 THEN 'deny' WHEN quality<>1 THEN 'review' ELSE 'allow' END AS decision, count(*) AS n FROM labels GROUP BY 1"),
     "f18_claims": (f18_claims, "SELECT CASE doc_id%3 WHEN 0 THEN 'observed' WHEN 1 THEN 'modeled' ELSE 'asserted' END AS status, count(*) AS n, sum(CASE WHEN doc_id%3=0 THEN quality WHEN doc_id%3=1 THEN 1-toxic ELSE 1 END)::BIGINT AS valid FROM labels GROUP BY 1"),
     "j05_integrity": (j05_integrity, v.oracle("SELECT kind, count(*) AS missing, count(DISTINCT x) AS ids FROM (SELECT kind, src AS x FROM rels UNION ALL SELECT kind, dst FROM rels) WHERE x NOT IN (SELECT entity_id FROM entities WHERE NOT regexp_matches(entity_id,'^part:.*9$')) GROUP BY kind", "entities", "rels")),
-    "v01_ancestors": (v01_ancestors, "SELECT conv_id||':'||turn AS node, turn AS n FROM conversations WHERE conv_id%10=0 AND turn>0"),
+    "v01_ancestors": (v01_ancestors, "SELECT conv_id||':'||turn AS node, turn AS n FROM conversations WHERE turn>0"),
     "v03_receipts": (v03_receipts, "SELECT doc_id, 'evidence:'||substr(sha256(source||'|'||sha256(text)),1,32) AS receipt, octet_length(encode(text))::BIGINT AS content_length FROM documents"),
     "v04_unknown_license": (v04_unknown_license, "SELECT source, sum(CASE WHEN regexp_matches(text,'(?i)licensed under|released under') THEN 0 ELSE 1 END)::BIGINT AS unknown, count(*) AS n FROM documents GROUP BY 1"),
     "w12_hash_chain": (w12_hash_chain, "WITH " + CH + " SELECT conv_id, turn, sha256(coalesce(p,'')||h) AS link FROM c"),

@@ -81,18 +81,18 @@ def sp11_box_index(s, d):
     b = p.groupBy(F.col("label").alias("box")).agg(F.min("lat").alias("s0"), F.max("lat").alias("n0"), F.min("lon").alias("w0"), F.max("lon").alias("e0"))
     third = lambda lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * k / 3
     b = b.select("box", third("s0", "n0", 1).alias("s"), third("s0", "n0", 2).alias("n"), third("w0", "e0", 1).alias("w"), third("w0", "e0", 2).alias("e"))
-    return p.join(F.broadcast(b.limit(100_000)), F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))).groupBy("box").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return sp.in_boxes(p, b).groupBy("box").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 def sp18_jsonfg(s, d):
-    p = v.points(s, d).where("id < 200")
+    p = v.points(s, d)
     t = F.concat(F.lit('{"type":"Feature","id":"'), "id", F.lit('","time":{"interval":["1998-01-01T00:00:00Z",".."]}}'))
     return p.select("id", F.get_json_object(t, "$.time.interval[1]").alias("end"), F.length(t).cast("long").alias("n"))
 
 
 def sp20_boxes(s, d):
     """Centre and width of boxes that may cross the antimeridian."""
-    p = v.points(s, d).where("id % 10 = 0").select("id", F.col("lon").alias("w"), sp.normalize_longitude(F.col("lon") + 100).alias("e"))
+    p = v.points(s, d).select("id", F.col("lon").alias("w"), sp.normalize_longitude(F.col("lon") + 100).alias("e"))
     width = F.when(F.col("w") <= F.col("e"), F.col("e") - F.col("w")).otherwise(F.col("e") - F.col("w") + 360)
     return p.select("id", F.round(width, 6).alias("width"), (F.col("w") > F.col("e")).alias("crosses"), F.round(sp.normalize_longitude(F.col("w") + width / 2), 6).alias("centre"))
 
@@ -179,8 +179,8 @@ QUERIES = {
     "t14_unix_seconds": (t14_unix_seconds, "SELECT event_id, epoch_us(ts)/1000000 AS seconds, ts AS back FROM events"),
     "t10_version_ids": (t10_version_ids, v.oracle("SELECT version_id, 'version:'||substr(sha256(record_key||'|'||version_id||'|'||strftime(valid_from,'%Y-%m-%dT%H:%M:%SZ')),1,32) AS id FROM versions", "versions")),
     "sp11_box_index": (sp11_box_index, v.oracle("SELECT box, count(*) AS n, min(id) AS first FROM points JOIN (SELECT label AS box, min(lat)+(max(lat)-min(lat))*1/3 AS s, min(lat)+(max(lat)-min(lat))*2/3 AS n, min(lon)+(max(lon)-min(lon))*1/3 AS w, min(lon)+(max(lon)-min(lon))*2/3 AS e FROM points GROUP BY label) ON lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY box", "points")),
-    "sp18_jsonfg": (sp18_jsonfg, v.oracle("""SELECT id, '..' AS "end", length('{"type":"Feature","id":"'||id||'","time":{"interval":["1998-01-01T00:00:00Z",".."]}}')::BIGINT AS n FROM points WHERE id<200""", "points")),
-    "sp20_boxes": (sp20_boxes, v.oracle("SELECT id, round(wd,6) AS width, w>e AS crosses, round(CASE WHEN c=-180 AND w+wd/2>0 THEN 180 ELSE c END,6)::DOUBLE AS centre FROM (SELECT *, (w+wd/2+180)-360*floor((w+wd/2+180)/360)-180 AS c FROM (SELECT id, w, e, CASE WHEN w<=e THEN e-w ELSE e-w+360 END AS wd FROM (SELECT id, lon AS w, CASE WHEN r=-180 AND lon+100>0 THEN 180 ELSE r END::DOUBLE AS e FROM (SELECT id, lon, (lon+100+180)-360*floor((lon+100+180)/360)-180 AS r FROM points WHERE id%10=0))))", "points")),
+    "sp18_jsonfg": (sp18_jsonfg, v.oracle("""SELECT id, '..' AS "end", length('{"type":"Feature","id":"'||id||'","time":{"interval":["1998-01-01T00:00:00Z",".."]}}')::BIGINT AS n FROM points""", "points")),
+    "sp20_boxes": (sp20_boxes, v.oracle("SELECT id, round(wd,6) AS width, w>e AS crosses, round(CASE WHEN c=-180 AND w+wd/2>0 THEN 180 ELSE c END,6)::DOUBLE AS centre FROM (SELECT *, (w+wd/2+180)-360*floor((w+wd/2+180)/360)-180 AS c FROM (SELECT id, w, e, CASE WHEN w<=e THEN e-w ELSE e-w+360 END AS wd FROM (SELECT id, lon AS w, CASE WHEN r=-180 AND lon+100>0 THEN 180 ELSE r END::DOUBLE AS e FROM (SELECT id, lon, (lon+100+180)-360*floor((lon+100+180)/360)-180 AS r FROM points))))", "points")),
     "u01_compatible": (u01_compatible, "WITH u AS (SELECT * FROM (VALUES ('m','L'),('km','L'),('ft','L'),('s','T'),('h','T'),('kg','M')) t(unit,dim)) SELECT a.unit AS one, b.unit AS other FROM u a JOIN u b ON a.dim=b.dim AND a.unit<b.unit"),
     "m03_rounding": (m03_rounding, "SELECT sum(round(x,2))::DOUBLE AS half_up, sum(floor(x))::DOUBLE AS floor, sum(ceil(x))::DOUBLE AS ceiling FROM (SELECT (l_extendedprice::DECIMAL(18,4)*1/8)::DECIMAL(18,6) AS x FROM lineitem)"),
     "m04_legacy_round": (m04_legacy_round, None),

@@ -161,7 +161,7 @@ def g24_snapshot(s, d):
 def g25_remove(s, d):
     """Edges left after a third of the parts is removed, with all their relationships."""
     gone = v.table(s, d, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("part:"), "p_partkey").alias("x"))
-    left = v.relationships(s, d).join(F.broadcast(gone), F.col("src") == F.col("x"), "left_anti").join(F.broadcast(gone), F.col("dst") == F.col("x"), "left_anti")
+    left = v.relationships(s, d).join(gone, F.col("src") == F.col("x"), "left_anti").join(gone, F.col("dst") == F.col("x"), "left_anti")
     return left.groupBy("kind").agg(F.count("*").alias("n"))
 
 

@@ -44,7 +44,7 @@ def sc06_tree_problems(s, d):
 
 
 def v02_levels(s, d):
-    c = v.table(s, d, "conversations").where("conv_id % 10 = 1")
+    c = v.table(s, d, "conversations")
     node = F.concat("conv_id", F.lit(":"), "turn")
     edges = c.where("turn > 0").select(F.concat("conv_id", F.lit(":"), F.col("turn") - 1).alias("src"), node.alias("dst"))
     return g.topological_levels(c.select(node.alias("node")), edges)
@@ -91,7 +91,7 @@ QUERIES = {
     "io24_markdown": (io24_markdown, "SELECT '| '||n_nationkey||' | '||n_name||' |' AS line FROM nation"),
     "sc04_tree": (sc04_tree, "SELECT 'root' AS node, 0 AS depth, 'root' AS path UNION ALL SELECT r_name, 1, 'root>'||r_name FROM region WHERE r_regionkey<>2 UNION ALL SELECT 'n:'||n_name, 2, 'root>'||r_name||'>n:'||n_name FROM nation JOIN region ON n_regionkey=r_regionkey WHERE r_regionkey<>2 AND n_nationkey%2=0"),
     "sc06_tree_problems": (sc06_tree_problems, "WITH RECURSIVE b AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey=0 THEN NULL WHEN n_nationkey=7 THEN 99 WHEN n_nationkey=9 THEN 9 ELSE (n_nationkey-1)//2 END AS p FROM nation), r AS (SELECT k FROM b WHERE p IS NULL UNION SELECT b.k FROM b JOIN r ON b.p=r.k) SELECT 'n:'||k AS node, 'unknown parent' AS problem FROM b WHERE p IS NOT NULL AND p NOT IN (SELECT k FROM b) UNION ALL SELECT 'n:'||k, 'no root' FROM b WHERE k NOT IN (SELECT k FROM r)"),
-    "v02_levels": (v02_levels, "SELECT conv_id||':'||turn AS node, turn::INTEGER AS level FROM conversations WHERE conv_id%10=1"),
+    "v02_levels": (v02_levels, "SELECT conv_id||':'||turn AS node, turn::INTEGER AS level FROM conversations"),
     "sp06_midpoint": (sp06_midpoint, v.oracle("SELECT id, round(degrees(atan2(sin(p1)+sin(p2), sqrt(pow(cos(p1)+x,2)+y*y))),6) AS lat, round(CASE WHEN r=-180 AND l>0 THEN 180 ELSE r END,6)::DOUBLE AS lon FROM (SELECT *, (l+180)-360*floor((l+180)/360)-180 AS r FROM (SELECT *, degrees(radians(lon)+atan2(y, cos(p1)+x)) AS l FROM (SELECT id, lon, radians(lat) AS p1, radians(48.0::DOUBLE) AS p2, cos(radians(48.0::DOUBLE))*cos(radians(2-lon)) AS x, cos(radians(48.0::DOUBLE))*sin(radians(2-lon)) AS y FROM points)))", "points")),
     "sp15_bounds": (sp15_bounds, v.oracle("SELECT label, round(min(lat),6) AS min_lat, round(max(lat),6) AS max_lat, round(min(lon),6) AS min_lon, round(max(lon),6) AS max_lon FROM points GROUP BY label", "points")),
     "s05_interval_intersection": (s05_interval_intersection, v.oracle("SELECT owner, CASE WHEN l<u THEN l END AS lower, CASE WHEN l<u THEN u END AS upper FROM (SELECT owner, max(s) AS l, min(e) AS u FROM ivals GROUP BY owner)", "ivals")),

@@ -19,7 +19,7 @@ def sp02_bbox_ops(s, d):
     """Boxes of labels: which meet, and their intersection."""
     b = v.points(s, d).groupBy("label").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     a, c = b.select(*[F.col(x).alias(f"a{x}") for x in b.columns]), b.select(*[F.col(x).alias(f"b{x}") for x in b.columns])
-    hit = a.join(F.broadcast(c), (F.col("alabel") < F.col("blabel")) & (F.col("aw") <= F.col("be")) & (F.col("bw") <= F.col("ae")) & (F.col("as") <= F.col("bn")) & (F.col("bs") <= F.col("an")))
+    hit = a.join(c, (F.col("alabel") < F.col("blabel")) & (F.col("aw") <= F.col("be")) & (F.col("bw") <= F.col("ae")) & (F.col("as") <= F.col("bn")) & (F.col("bs") <= F.col("an")))
     return hit.select("alabel", "blabel", F.round(F.greatest("aw", "bw"), 6).alias("west"), F.round(F.least("ae", "be"), 6).alias("east"), F.round(F.greatest("as", "bs"), 6).alias("south"), F.round(F.least("an", "bn"), 6).alias("north"))
 
 
@@ -60,17 +60,13 @@ def sp09_radius(s, d):
 
 def j08_radius_join(s, d):
     p = v.points(s, d)
-    return sp.within_km(p.where("id % 25 = 0"), p, 400.0).where("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("km", 5).alias("km"))
+    return sp.within_km(p, p, 200.0).where("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("km", 5).alias("km"))
 
 
 def k04_knn(s, d):
     """Three nearest points of each of a set of targets (a stated set against all points)."""
     p = v.points(s, d)
-    t = p.where("id % 100 = 0").select(F.col("id").alias("t"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
-    km = F.round(sp.haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")), 6)
-    pairs = p.join(F.broadcast(t), F.col("id") != F.col("t")).select("t", "id", km.alias("km"))
-    w = Window.partitionBy("t").orderBy("km", "id")
-    return pairs.withColumn("place", F.row_number().over(w)).where("place <= 3").select("t", "id", "km", F.col("place").cast("long").alias("place"))
+    return sp.nearest(p.where("id % 100 = 0"), p, 3).select("t", "id", "km", "place")
 
 
 def sp10_grid(s, d):
@@ -117,7 +113,7 @@ QUERIES = {
     "sp07_polygon": (sp07_polygon, None),
     "sp08_ecef": (sp08_ecef, v.oracle(f"SELECT id, round(({N_}+100)*cos(radians(lat))*cos(radians(lon)),3) AS x, round(({N_}+100)*cos(radians(lat))*sin(radians(lon)),3) AS y, round(({N_}*(1-{sp.E2})+100)*sin(radians(lat)),3) AS z FROM points", P)),
     "sp09_radius": (sp09_radius, v.oracle(f"SELECT id, round({R}*{_hav('lat','lon','0.0::DOUBLE','0.0::DOUBLE')},5) AS km FROM points WHERE round({R}*{_hav('lat','lon','0.0::DOUBLE','0.0::DOUBLE')},5)<=3000 ORDER BY km, id LIMIT 40", P)),
-    "j08_radius_join": (j08_radius_join, v.oracle(f"SELECT a.id AS a, b.id AS b, round({R}*{_hav('a.lat','a.lon','b.lat','b.lon')},5) AS km FROM points a JOIN points b ON a.id%25=0 AND a.id<>b.id AND {R}*{_hav('a.lat','a.lon','b.lat','b.lon')}<=400", P)),
+    "j08_radius_join": (j08_radius_join, v.oracle(f"SELECT a.id AS a, b.id AS b, round({R}*{_hav('a.lat','a.lon','b.lat','b.lon')},5) AS km FROM points a JOIN points b ON a.id<>b.id AND {R}*{_hav('a.lat','a.lon','b.lat','b.lon')}<=200", P)),
     "k04_knn": (k04_knn, v.oracle(f"SELECT t, id, km, place FROM (SELECT t.id AS t, p.id AS id, round({R}*{_hav('p.lat','p.lon','t.lat','t.lon')},6) AS km, row_number() OVER (PARTITION BY t.id ORDER BY round({R}*{_hav('p.lat','p.lon','t.lat','t.lon')},6), p.id) AS place FROM points t JOIN points p ON t.id%100=0 AND p.id<>t.id) WHERE place<=3", P)),
     "sp10_grid": (sp10_grid, v.oracle("SELECT floor((lon+180)/30)::BIGINT AS cx, floor((lat+90)/30)::BIGINT AS cy, count(*) AS n, min(id) AS first FROM points GROUP BY 1,2", P)),
     "sp16_mercator": (sp16_mercator, v.oracle(f"SELECT id, round({sp.A}*radians(lon),3) AS x, round({sp.A}*ln(tan(pi()/4+radians(greatest(-85.06::DOUBLE,least(85.06::DOUBLE,lat)))/2)),3) AS y FROM points", P)),
