@@ -11,18 +11,18 @@ from ..operators import economics as ec
 
 
 def a04_trade_totals(s, d):
-    return v.trade(s, d).groupBy("sector").agg(F.round(F.sum("value_usd"), 2).alias("total"))
+    return v.trade(s, d).groupBy("sector").agg(F.round(F.sum("value_usd"), 4).alias("total"))
 
 
 def a05_trade_matrix(s, d):
     names = ec.bounded(v.table(s, d, "nation").select("n_name").orderBy("n_name"), 1000)
     names = [r.n_name for r in names]
     wide = v.trade(s, d).groupBy("exporter").pivot("importer", names).agg(F.sum("value_usd")).fillna(0.0)
-    return wide.unpivot("exporter", names, "importer", "total").select("exporter", "importer", F.round("total", 2).alias("total"))
+    return wide.unpivot("exporter", names, "importer", "total").select("exporter", "importer", F.round("total", 4).alias("total"))
 
 
 def a06_cube(s, d):
-    return v.trade(s, d).cube("exporter", "importer").agg(F.round(F.sum("value_usd"), 2).alias("total")).select(F.coalesce("exporter", F.lit("*")).alias("exporter"), F.coalesce("importer", F.lit("*")).alias("importer"), "total")
+    return v.trade(s, d).cube("exporter", "importer").agg(F.round(F.sum("value_usd"), 4).alias("total")).select(F.coalesce("exporter", F.lit("*")).alias("exporter"), F.coalesce("importer", F.lit("*")).alias("importer"), "total")
 
 
 def a07_hhi(s, d):
@@ -33,7 +33,7 @@ def a07_hhi(s, d):
 
 def e01_impact(s, d):
     per = v.trade(s, d).groupBy("exporter").agg(F.sum("value_usd").alias("exposed"))
-    return per.select("exporter", F.round(F.col("exposed") * 0.2, 2).alias("direct"), F.round(F.col("exposed") * 0.2 * 0.5, 2).alias("indirect"), F.round(F.col("exposed") * 0.2 * 0.45, 2).alias("value_added"))
+    return per.select("exporter", F.round(F.col("exposed") * 0.2, 5).alias("direct"), F.round(F.col("exposed") * 0.2 * 0.5, 5).alias("indirect"), F.round(F.col("exposed") * 0.2 * 0.45, 6).alias("value_added"))
 
 
 def _region_matrix(s, d):
@@ -140,11 +140,11 @@ def _terms(n: int) -> str:
 
 
 QUERIES = {
-    "a04_trade_totals": (a04_trade_totals, v.oracle("SELECT sector, round(sum(value_usd),2) AS total FROM trade GROUP BY sector", "trade")),
-    "a05_trade_matrix": (a05_trade_matrix, v.oracle("SELECT a.n_name AS exporter, b.n_name AS importer, round(coalesce(v,0),2) AS total FROM (SELECT DISTINCT exporter AS n_name FROM trade) a CROSS JOIN nation b LEFT JOIN pairs ON exporter=a.n_name AND importer=b.n_name", "pairs")),
-    "a06_cube": (a06_cube, v.oracle("SELECT coalesce(exporter,'*') AS exporter, coalesce(importer,'*') AS importer, round(sum(value_usd),2) AS total FROM trade GROUP BY CUBE (exporter, importer)", "trade")),
+    "a04_trade_totals": (a04_trade_totals, v.oracle("SELECT sector, round(sum(value_usd),4) AS total FROM trade GROUP BY sector", "trade")),
+    "a05_trade_matrix": (a05_trade_matrix, v.oracle("SELECT a.n_name AS exporter, b.n_name AS importer, round(coalesce(v,0),4) AS total FROM (SELECT DISTINCT exporter AS n_name FROM trade) a CROSS JOIN nation b LEFT JOIN pairs ON exporter=a.n_name AND importer=b.n_name", "pairs")),
+    "a06_cube": (a06_cube, v.oracle("SELECT coalesce(exporter,'*') AS exporter, coalesce(importer,'*') AS importer, round(sum(value_usd),4) AS total FROM trade GROUP BY CUBE (exporter, importer)", "trade")),
     "a07_hhi": (a07_hhi, v.oracle("SELECT importer, round(sum(pow(v/t,2)),9) AS hhi FROM pairs JOIN (SELECT importer, sum(v) AS t FROM pairs GROUP BY 1) USING (importer) GROUP BY importer", "pairs")),
-    "e01_impact": (e01_impact, v.oracle("SELECT exporter, round(x*0.2,2) AS direct, round(x*0.2*0.5,2) AS indirect, round(x*0.2*0.45,2) AS value_added FROM (SELECT exporter, sum(v) AS x FROM pairs GROUP BY 1)", "pairs")),
+    "e01_impact": (e01_impact, v.oracle("SELECT exporter, round(x*0.2,5) AS direct, round(x*0.2*0.5,5) AS indirect, round(x*0.2*0.45,6) AS value_added FROM (SELECT exporter, sum(v) AS x FROM pairs GROUP BY 1)", "pairs")),
     "e02_leontief": (e02_leontief, v.oracle("SELECT sector, round(output,4) AS output FROM o", "trade", recursive=_terms(60))),
     "e02_neumann": (e02_neumann, v.oracle("SELECT sector, round(output,4) AS output FROM o", "trade", recursive=_terms(12))),
     "e03_indirect": (e03_indirect, v.oracle("SELECT o.sector, round(output-x,4) AS indirect FROM o JOIN t0 ON o.sector=t0.sector", "trade", recursive=_terms(12))),
