@@ -44,7 +44,7 @@ def f08_select_overlapping(s, d):
 
 def j01_interval_join(s, d):
     rows = v.intervals(s, d)
-    return t.interval_join(rows, rows.select("id", "owner", "s", "e"), 16, ["owner"]).where("l_id < r_id").select("owner", "l_id", "r_id", "s", "e")
+    return t.interval_join(rows, rows.select("id", "owner", "s", "e"), 128, ["owner"]).where("l_id < r_id").select("owner", "l_id", "r_id", "s", "e")
 
 
 def j11_allen_join(s, d):
