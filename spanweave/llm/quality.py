@@ -127,10 +127,12 @@ def fit(owner: np.ndarray, bucket: np.ndarray, grade: np.ndarray, least: float =
 
 def _one_of_copies(owner: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
     """One text of those whose three least features (by a hash) agree, so that copies don't vote many times."""
-    order = np.lexsort((mix(bucket.astype(np.uint64)), owner))
-    starts = np.searchsorted(owner[order], np.arange(n))
-    ends = np.append(starts[1:], len(owner))
-    least = np.stack([np.where(starts + k < ends, bucket[order][np.minimum(starts + k, max(0, len(owner) - 1))] if len(owner) else 0, -1) for k in range(3)], axis=1)
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    least = np.full((n, 3), -1, np.int64)
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        mine = bucket[a:b]
+        first = mine[np.argsort(mix(mine.astype(np.uint64)))[:3]]
+        least[k, : len(first)] = first
     return np.sort(np.unique(least, axis=0, return_index=True)[1])
 
 
@@ -167,17 +169,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.
     found = found.take(pc.sort_indices(found.column("doc_id")))
     grade = found.column("grade").to_numpy().astype(np.int64)
     lists = found.column("buckets").combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
-    bucket = lists.flatten().to_numpy().astype(np.int64)
-    owner = np.repeat(np.arange(len(grade)), pc.list_value_length(lists).to_numpy().astype(np.int64))
+    bucket = lists.flatten().to_numpy().astype(np.int32)
+    owner = np.repeat(np.arange(len(grade), dtype=np.int32), pc.list_value_length(lists).to_numpy().astype(np.int64))
+    del found, lists
     chosen = _one_of_copies(owner, bucket, len(grade))
-    number = np.full(len(grade), -1)
+    number = np.full(len(grade), -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     own = number[owner] >= 0
     owner, bucket, grade = number[owner[own]], bucket[own], grade[chosen]
     held = np.arange(len(grade)) % 5 == 4
     cut_at = 0.5 if len(grade) else 0.0
     if held.any():
-        number = np.cumsum(~held) - 1
+        number = (np.cumsum(~held) - 1).astype(np.int32)
         own = ~held[owner]
         model = fit(number[owner[own]], bucket[own], grade[~held])
         x = np.bincount(owner, model[0][bucket].astype(np.float64), len(grade))
