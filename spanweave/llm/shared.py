@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,22 +35,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder that spark.checkpoint.dir names."""
-    context = df.sparkSession.sparkContext
     _checkpoints(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    del df
-    release(context)
-    return done
+    return df.checkpoint(eager=True)
 
 
 def release(context) -> None:
     """Let Spark delete the shuffle files of plans that are no longer held.
 
     It does so when the driver's garbage is collected, which may be hours after
-    a cut has made them needless.
+    a cut has made them needless. The gateway tells the JVM of objects that
+    Python has dropped from a thread of its own, and Spark's cleaner works in
+    another, hence the pauses.
     """
     gc.collect()
+    time.sleep(0.4)
     context._jvm.System.gc()
+    time.sleep(1.0)
 
 
 def raw(column: str) -> Column:

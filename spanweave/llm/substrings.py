@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import BASE, INVERSE, flat, mix, powers, prefix_hash, slices, spans
-from .shared import cut, keyed, raw, table
+from .shared import cut, keyed, raw, release, table
 from .suffix import repeated
 
 LENGTH = 200
@@ -419,6 +419,7 @@ def _run(docs: DataFrame, length: int, want_text: bool, block_bytes: int) -> Dat
         return resolve(key, group, told).rename_columns(inner.names)
 
     parts = cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(resolved, rows))
+    release(docs.sparkSession.sparkContext)  # what dealt the texts is not needed again
     matched = parts.where("kind = 3").select("block", "bucket", "keys").groupBy("bucket").applyInArrow(_match, "block long, bucket int, answer binary, asked int")
     waiting = parts.where("kind = 4").select("block", "keys", "hits", "asked")
     late = waiting.groupBy("block").cogroup(matched.groupBy("block")).applyInArrow(_conclude(length, want_text, names, plain), result)
@@ -436,12 +437,14 @@ def clean(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES)
     Characters cut in two go; a text that loses everything goes as a row; a
     column n_chars, if there is one, is counted anew.
     """
-    marked = docs.withColumn("_null", F.col("text").isNull())
+    rest = [c for c in docs.columns if c != "text"]
+    inner = {c: f"_c{k}" for k, c in enumerate(rest)}  # the columns' own names may be in use inside
+    marked = docs.select("doc_id", "text", F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`").alias(x) for c, x in inner.items()])
     found = _run(marked, length, True, block_bytes).where("n_removed = 0 or n_removed < n_bytes")
-    found = found.withColumn("text", F.when(~F.col("_null"), F.col("kept").cast("string")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = {c: F.col(x) for c, x in inner.items()} | {"text": F.when(~F.col("_null"), F.col("kept").cast("string"))}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length(F.col("kept").cast("string"))).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def op1_substrings(spark, sf_dir):
