@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .graphs import components
 from .kernels import flat, mix, slices, words
-from .shared import cut, raw, table
+from .shared import cut, raw, release, table
 
 COORDINATES = 48
 _draw = np.random.default_rng(20240607)
@@ -234,6 +234,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     wanted = entries.select("id").distinct()
     sets = cut(texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(width), f"id {kind}, hashes binary"))
+    release(docs.sparkSession.sparkContext)  # the shuffled postings and texts
     links = _Links(nodes, sets, least, percent, kind)
 
     # One pivot for each list: the member that shares most of its values, so mostly the same and near the middle of its group.
@@ -241,6 +242,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     members = cut(entries.join(pivots, "value").select("id", "pivot").distinct())
     tried = _ordered(members, "id", "pivot")
     linked = cut(links.similar(links.colliding(tried)))
+    release(docs.sparkSession.sparkContext)
 
     # Groups with members that their pivot does not settle: pairs that share enough of their differences from it.
     pair = members.where("id <> pivot").select("id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
