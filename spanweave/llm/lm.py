@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import ctw
 from .kernels import flat, mix, words
-from .shared import cut, keyed, raw, table
+from .shared import cut, keyed, raw, release, table
 
 DEPTH = 5
 BLOCK_BYTES = 10 << 20
@@ -376,8 +376,10 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     buckets = min(4096, max(16, blocks))
     dealt = texts.withColumn("block", F.pmod(F.xxhash64(keyed("doc_id"), F.octet_length("text")), F.lit(blocks)))
     asked = cut(dealt.groupBy("block").applyInArrow(_ask(depth, buckets), ASKED))
+    release(spark.sparkContext)
     by_bucket = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     sums = cut(by_bucket.mapInArrow(_add_up(depth), SUMMED))
+    release(spark.sparkContext)
     upper = shallow_part(_read_upper([r.upper for r in sums.where("kind = 0").select("upper").toLocalIterator()]))
     tokens, kinds = sums.where("kind = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     both = sums.select("kind", "bucket", F.lit(-1).cast("long").alias("block"), "keys", "counts").unionByName(asked.select("kind", "bucket", "block", "keys", "counts"))
