@@ -46,6 +46,7 @@ LENGTH = 200
 GRAM = 64
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
+PAYLOAD_LEVEL = 5  # of texts that wait: they are written and dealt once more
 PLACE = 34
 SLICE = 1 << 19
 NOTHING = np.zeros(0, np.int64)
@@ -313,7 +314,7 @@ def _resolve(length: int, buckets: int, want_text: bool, names: list[str], schem
             buffer = io.BytesIO()
             with pa.ipc.new_stream(buffer, group.schema) as out:
                 out.write_table(group.take(pa.array(mine)))
-            rows.append({"kind": 4, "keys": zstandard.compress(buffer.getvalue(), 1), "hits": _pack(np.diff(hits, prepend=0)), "asked": _pack(asked)})
+            rows.append({"kind": 4, "keys": zstandard.compress(buffer.getvalue(), PAYLOAD_LEVEL), "hits": _pack(np.diff(hits, prepend=0)), "asked": _pack(asked)})
         done = np.flatnonzero(~waits)
         block = key[0].as_py()
         out = pa.Table.from_pylist([{"block": block} | r for r in rows], schema=PARTS)
