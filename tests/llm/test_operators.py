@@ -409,6 +409,19 @@ def test_pages(spark):
     assert pages.main_text(df.where("false")).count() == 0
 
 
+def test_wrapper_of_all_pages(spark):
+    rows = [(k, "http://w/x", page(f"<div><p>Written by staff</p><p>Story number {k} tells of {'abcdefghijklmnop'[k]}.</p></div>")) for k in range(16)]
+    odd = [(50, "http://w/x", ""), (51, "http://w/x", "<p>Moved</p>"), (52, "http://w/x", page("<table><tr><td>Another layout</table>"))]
+    copies = [(100 + k, "http://c/x", page(f"<p>visits {k}</p><article><p>The only story of this house.</p><p>It goes on and on for long.</p></article>")) for k in range(40)]
+    plain = [(200 + k, "http://u/x", page(f"<p>visits {k}</p><div><p>The only story of this house.</p><p>It goes on and on for long.</p></div>")) for k in range(40)]
+    df = spark.createDataFrame(rows + odd + copies + plain, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert [got[k] for k in range(16)] == [f"Story number {k} tells of {'abcdefghijklmnop'[k]}." for k in range(16)]
+    assert got[50] == "" and got[51] == "Moved" and got[52] == "Another layout"
+    assert got[103] == "The only story of this house.\n\nIt goes on and on for long."
+    assert "The only story of this house." in got[203] and "It goes on and on for long." in got[203]
+
+
 def test_tree_matching_weight():
     a, b = (pages.parse(h) for h in ("<div><p>1</p><p>2</p><ul><li>x</ul></div>", "<div><p>1</p><h1>t</h1><ul><li>x<li>y</ul></div>"))
     pages.shape(a)
