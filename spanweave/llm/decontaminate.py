@@ -16,10 +16,9 @@ pass through one join after the other.
 A number starts with a digit (with its decimals and an attached unit); a unit
 is one of UNITS after a number; a name is a capitalised ASCII word that does
 not begin a sentence. Windows with fewer than half their tokens literal are
-not used.
+vague templates: they match only where the values of their slots are equal too.
 
-Defined cases: null and empty texts match nothing, on either side; items
-without a usable window can't be matched; null ids are kept (a null item_id is
+Defined cases: null and empty texts match nothing, on either side; null ids are kept (a null item_id is
 reported as null); equal rows are judged alike; other columns are ignored; an
 empty benchmark contaminates nothing.
 """
@@ -94,15 +93,19 @@ class Tokens:
         self.canonical = np.where(self.kind == LITERAL, self.value, mix(self.kind.astype(np.uint64) + np.uint64(0x51ED27)))
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of usable windows, and their hashes."""
+        """Starts of windows, and their hashes: of templates, or of values where the template is vague."""
         n = len(self.starts) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
+        vague = 2 * (literal[width:] - literal[:n]) < width
         hashes = np.full(n, width, np.uint64)
         for k in range(width):
             hashes = (hashes + self.canonical[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
-        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        usable = (self.owner[width - 1 :] == self.owner[:n]) & (2 * (literal[width:] - literal[:n]) >= width)
+        at = np.flatnonzero(vague)
+        for k in range(width if len(at) else 0):
+            hashes[at] = (hashes[at] + self.value[at + k]) * np.uint64(0x9FB21C651E98DF25)
+        usable = self.owner[width - 1 :] == self.owner[:n]
         at = np.flatnonzero(usable)
         return at, mix(hashes[at])
 

@@ -174,6 +174,19 @@ def test_decontaminate(spark, documents, clashing):
     assert decontaminate.judge(docs.where("false"), bench).count() == 0
 
 
+def found_items(items, text, width=8, least=13):
+    """What is found of some items in a text: (item number, share, whether values differ)."""
+    block = decontaminate.Block(list(range(len(items))), [i.encode() for i in items], width)
+    return block.judge(decontaminate.Tokens(*kernels.flat(pa.array([text.encode()], pa.binary()))), least).get(0, [])
+
+
+def test_decontaminate_arithmetic():
+    items = ["Add 12, 7, 9, 15, 3, 8 and 20", "Convert 12 km 5 m to cm", "Sum 4 8 15 16 23 42 and give the total of them"]
+    for k, item in enumerate(items):
+        assert found_items(items, f"We read: {item}. Then more words follow here.") == [(k, 1.0, False)]
+    assert not found_items(items, "Add 13, 6, 9, 15, 2, 8 and 20. Convert 13 km 5 m to cm.")
+
+
 # --- urls --------------------------------------------------------------------
 
 
