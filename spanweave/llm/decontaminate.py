@@ -14,8 +14,11 @@ sent to all tasks (some MB, whatever the size of either table), and documents
 pass through one join after the other.
 
 A number starts with a digit (with its decimals and an attached unit); a unit
-is one of UNITS after a number; a name is a capitalised ASCII word that does
-not begin a sentence. Windows with fewer than half their tokens literal are
+is one of UNITS after a number; a name is a capitalised ASCII word. Texts are
+read in three ways, and the best match of any counts: as plain words without
+slots (line breaks and case don't matter), with names only where a word follows
+another word, and with names everywhere but for OPENERS, a run of them being one
+slot, as what opens a sentence shows no difference otherwise. Windows with fewer than half their tokens literal are
 vague templates: they match only where the values of their slots are equal too.
 
 Defined cases: null and empty texts match nothing, on either side; null ids are kept (a null item_id is
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .kernels import LOWER, flat, mix, prefix_hash, slices, span_hash, spans
+from .kernels import BASE, LOWER, SPACE, flat, mix, powers, prefix_hash, slices, span_hash, spans
 from .shared import raw, table
 
 # Words for units.
@@ -45,51 +48,81 @@ UNITS = (
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros usd eur percent degree degrees mph kmh watt watts volt volts joule joules"
 ).split()
+# Words that open sentences and are no names.
+OPENERS = (
+    "a an the this that these those he she it they we you i his her its their our your there here if when while after before because as since "
+    "then so and but or for of in on at by to from with what which who whose whom where why how all each every some both many most no not now "
+    "is are was were do does did has have had can could will would should let find given suppose consider calculate compute add solve"
+).split()
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+WORDS, INNER, NAMES = 0, 1, 2
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
 WORD = DIGIT.copy()
 WORD[65:91] = WORD[97:123] = WORD[128:] = True
 POINT = np.zeros(256, bool)
 POINT[[44, 46]] = True
-SPACE_BYTE = np.zeros(256, bool)
-SPACE_BYTE[[0x20, 9]] = True
 
 
-def _unit_hashes() -> np.ndarray:
-    data, offsets = flat(pa.array([u.encode() for u in UNITS], pa.binary()))
+def _hashes(words: list[str]) -> np.ndarray:
+    data, offsets = flat(pa.array([w.encode() for w in words], pa.binary()))
     return np.sort(span_hash(prefix_hash(data), offsets[:-1], offsets[1:]))
 
 
-UNIT_HASHES = _unit_hashes()
+UNIT_HASHES, OPENER_HASHES = _hashes(UNITS), _hashes(OPENERS)
 
 
 class Tokens:
-    """Tokens of several texts: place, text number, hash as written (lower case), slot type, canonical hash."""
+    """Tokens of several texts, read in one of three ways: place, text number, hash as written (lower case), slot type, canonical hash, words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, reading: int = INNER):
+        self.data, self.offsets, self.reading = data, offsets, reading
         inside = WORD[data]
         if len(data) > 2:
             inside[1:-1] |= POINT[data[1:-1]] & DIGIT[data[:-2]] & DIGIT[data[2:]]
         self.starts, self.ends = spans(inside, offsets)
         self.owner = np.searchsorted(offsets, self.starts, side="right") - 1
         self.value = span_hash(prefix_hash(LOWER[data]), self.starts, self.ends)
-        n = len(self.starts)
+        self.first = self.value
+        self._slots()
+
+    def read(self, reading: int) -> Tokens:
+        """The same texts read in another way."""
+        if reading == self.reading:
+            return self
+        return Tokens(self.data, self.offsets, reading)
+
+    def _slots(self) -> None:
+        data, n = self.data, len(self.starts)
+        self.kind = np.zeros(n, np.uint8)
+        self.words = np.ones(n, np.int64)
+        if self.reading == WORDS:
+            self.canonical = self.value
+            return
         first = data[self.starts] if n else data[:0]
         second = data[np.minimum(self.starts + 1, len(data) - 1)] if n else first
         single = self.ends - self.starts == 1
-        self.kind = np.zeros(n, np.uint8)
-        # A word that only spaces part from the word before it does not begin a sentence.
+        # A word that only white space parts from the word before it does not begin a sentence.
         follows = np.zeros(n, bool)
         if n > 1:
-            blank = np.concatenate([[0], np.cumsum(~SPACE_BYTE[data])])
+            blank = np.concatenate([[0], np.cumsum(~SPACE[data])])
             follows[1:] = (blank[self.starts[1:]] == blank[self.ends[:-1]]) & (self.owner[1:] == self.owner[:-1])
-        self.kind[(first >= 65) & (first <= 90) & (second >= 97) & (second <= 122) & ~single & follows] = NAME
+        named = follows if self.reading == INNER else ~np.isin(self.value, OPENER_HASHES)
+        self.kind[(first >= 65) & (first <= 90) & (second >= 97) & (second <= 122) & ~single & named] = NAME
         number = DIGIT[first]
         self.kind[number] = NUMBER
         if n > 1:
             unit = np.isin(self.value, UNIT_HASHES)
             self.kind[1:][unit[1:] & number[:-1] & (self.owner[1:] == self.owner[:-1])] = UNIT
+        if self.reading == NAMES and n > 1:
+            name = self.kind == NAME
+            heads = np.flatnonzero(~np.concatenate([[False], name[1:] & name[:-1] & follows[1:]]))
+            self.words = np.diff(np.append(heads, n))
+            within = np.arange(n) - np.repeat(heads, self.words)
+            self.first = self.value[heads]
+            self.value = np.add.reduceat(self.value * powers(BASE, int(within.max()) + 1)[within], heads)
+            self.ends = self.ends[np.append(heads[1:], n) - 1]
+            self.starts, self.owner, self.kind = self.starts[heads], self.owner[heads], self.kind[heads]
         self.canonical = np.where(self.kind == LITERAL, self.value, mix(self.kind.astype(np.uint64) + np.uint64(0x51ED27)))
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,15 +143,14 @@ class Tokens:
         return at, mix(hashes[at])
 
 
-class Block:
-    """Windows of some benchmark items, by hash, with the items' tokens."""
+class Side:
+    """Windows of some benchmark items in one reading, by hash, with the items' tokens."""
 
-    def __init__(self, ids: list, texts: list[bytes], width: int):
-        self.ids, self.width = ids, width
-        data, offsets = flat(pa.array(texts, pa.binary()))
-        tokens = Tokens(data, offsets)
+    def __init__(self, ids: list, texts: list[bytes], width: int, reading: int):
+        self.ids, self.width, self.reading = ids, width, reading
+        tokens = Tokens(*flat(pa.array(texts, pa.binary())), reading)
         bounds = np.searchsorted(tokens.owner, np.arange(len(texts) + 1))
-        self.items = [(tokens.value[a:b], tokens.kind[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.items = [(tokens.value[a:b], tokens.kind[a:b], tokens.words[a:b], tokens.first[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         sizes = np.diff(bounds)
         self.tables = {}
         for w in sorted({width, *(int(s) for s in sizes if 0 < s < width)}):
@@ -142,32 +174,51 @@ class Block:
                 for k in range(a, b):
                     yield int(tokens.owner[at[s]]), int(item[k]), int(at[s]), int(place[k]), w
 
-    def judge(self, tokens: Tokens, least: int) -> dict[int, list[tuple]]:
-        """By text: (item id, share of its tokens covered, whether slot values differ) of each item found."""
+    def judge(self, tokens: Tokens, least: int) -> dict[tuple, tuple]:
+        """By text and item found: share of its words covered, whether no slot value differs, and the row of both."""
         diagonals: dict[tuple, list] = defaultdict(list)
         for text, item, i, j, w in self.hits(tokens):
             diagonals[text, item, i - j].append((j, w))
         best: dict[tuple, tuple] = {}
         for (text, item, shift), found in diagonals.items():
-            value, kind = self.items[item]
+            value, kind, words, first = self.items[item]
             forth: dict = {}
             back: dict = {}
+            heads: dict = {}
             covered: set[int] = set()
             changed = False
             for j, w in sorted(found):
-                slots = [(int(kind[k]), int(value[k]), int(tokens.value[k + shift])) for k in range(j, j + w) if kind[k] != LITERAL]
-                if any(forth.get((t, v), d) != d or back.get((t, d), v) != v for t, v, d in slots):
+                slots = [(int(kind[k]), int(value[k]), int(tokens.value[k + shift]), int(first[k]), int(tokens.first[k + shift])) for k in range(j, j + w) if kind[k] != LITERAL]
+                # Two names may not become one, also not by their first words.
+                if any(forth.get((t, v), d) != d or back.get((t, d), v) != v or heads.get((t, e), u) != u for t, v, d, u, e in slots):
                     continue
-                for t, v, d in slots:
-                    forth[t, v], back[t, d] = d, v
+                for t, v, d, u, e in slots:
+                    forth[t, v], back[t, d], heads[t, e] = d, v, u
                     changed |= v != d
                 covered.update(range(j, j + w))
-            if len(covered) >= min(least, len(value)):
-                share = len(covered) / len(value)
+            n, whole = int(words[list(covered)].sum()), int(words.sum())
+            if n >= min(least, whole):
+                share = n / whole
                 if (share, not changed) > best.get((text, item), (0.0, False, ()))[:2]:
                     best[text, item] = (share, not changed, (self.ids[item], share, changed))
+        return best
+
+
+class Block:
+    """Some benchmark items in all readings."""
+
+    def __init__(self, ids: list, texts: list[bytes], width: int):
+        self.sides = [Side(ids, texts, width, r) for r in (WORDS, INNER, NAMES)]
+
+    def judge(self, tokens: Tokens, least: int) -> dict[int, list[tuple]]:
+        """By text: (item id, share of its words covered, whether slot values differ) of each item found."""
+        best: dict[tuple, tuple] = {}
+        for side in self.sides:
+            for at, found in side.judge(tokens.read(side.reading), least).items():
+                if found[:2] > best.get(at, (0.0, False))[:2]:
+                    best[at] = found
         out: dict[int, list] = defaultdict(list)
-        for (text, _), (_, _, row) in sorted(best.items()):
+        for (text, _), (_, _, row) in sorted(best.items(), key=lambda x: x[0]):
             out[text].append(row)
         return out
 

@@ -187,6 +187,14 @@ def test_decontaminate_arithmetic():
     assert not found_items(items, "Add 13, 6, 9, 15, 2, 8 and 20. Convert 13 km 5 m to cm.")
 
 
+def test_decontaminate_names():
+    item = "Tom has 5 apples. Ann has 3 pears. How many fruits do Tom and Ann have together"
+    assert found_items([item], "So: " + item.replace("Tom", "Bob").replace("Ann", "Eve") + "?") == [(0, 1.0, True)]
+    assert found_items([item], item.replace("Ann", "Mary Ann")) == [(0, 1.0, True)]
+    assert found_items([item], item.replace(" Ann", "\nAnn").replace("many ", "many\n")) == found_items([item], item.lower()) == [(0, 1.0, False)]
+    assert not found_items([item], item.replace("Tom", "Bob").replace("Ann", "Bob"))
+
+
 # --- urls --------------------------------------------------------------------
 
 
