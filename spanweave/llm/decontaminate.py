@@ -3,9 +3,11 @@
 Numbers, names and units become typed slots, so that a question asked with
 other values has the template of the original. Windows of ``width`` canonical
 tokens of the benchmark are hashed and joined with those of every document by
-hash. Matched windows of a document and an item count along one diagonal (equal
-distance of places), and only while their slots agree: one value of the item
-stands for one value of the document, and the other way round. A document is
+hash. Matched windows of a document and an item count along a chain of diagonals
+(of equal distance of places) that differ by ``SLACK`` tokens from one to the
+next, in the order of both texts, and only while their slots agree: one value of
+the item stands for one value of the document, and the other way round. Where
+words are inserted or deleted, the rest counts from ``EDGE`` tokens on. A document is
 contaminated if agreeing windows cover ``least`` tokens of an item, or all of a
 shorter one.
 
@@ -28,6 +30,7 @@ empty benchmark contaminates nothing.
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -56,6 +59,8 @@ OPENERS = (
 ).split()
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 WORDS, INNER, NAMES = 0, 1, 2
+# Inserted or deleted tokens between two parts of a copy, and the shortest part beside a matched window.
+SLACK, EDGE = 4, 2
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
 WORD = DIGIT.copy()
@@ -176,34 +181,121 @@ class Side:
 
     def judge(self, tokens: Tokens, least: int) -> dict[tuple, tuple]:
         """By text and item found: share of its words covered, whether no slot value differs, and the row of both."""
-        diagonals: dict[tuple, list] = defaultdict(list)
+        pairs: dict[tuple, dict] = defaultdict(lambda: defaultdict(list))
         for text, item, i, j, w in self.hits(tokens):
-            diagonals[text, item, i - j].append((j, w))
+            pairs[text, item][i - j].append((j, w))
         best: dict[tuple, tuple] = {}
-        for (text, item, shift), found in diagonals.items():
-            value, kind, words, first = self.items[item]
-            forth: dict = {}
-            back: dict = {}
-            heads: dict = {}
-            covered: set[int] = set()
-            changed = False
-            for j, w in sorted(found):
-                slots = [(int(kind[k]), int(value[k]), int(tokens.value[k + shift]), int(first[k]), int(tokens.first[k + shift])) for k in range(j, j + w) if kind[k] != LITERAL]
-                # Two names may not become one, also not by their first words.
-                if any(forth.get((t, v), d) != d or back.get((t, d), v) != v or heads.get((t, e), u) != u for t, v, d, u, e in slots):
+        for (text, item), found in pairs.items():
+            words = self.items[item][2]
+            whole = int(words.sum())
+            low, high = (int(x) for x in np.searchsorted(tokens.owner, [text, text + 1]))
+            absorbed: set[int] = set()
+            for shift in sorted(found, key=lambda s: (-len(found[s]), s)):
+                if shift in absorbed:
                     continue
-                for t, v, d, u, e in slots:
-                    forth[t, v], back[t, d], heads[t, e] = d, v, u
-                    changed |= v != d
-                covered.update(range(j, j + w))
-            n, whole = int(words[list(covered)].sum()), int(words.sum())
-            if n >= min(least, whole):
-                share = n / whole
-                if (share, not changed) > best.get((text, item), (0.0, False, ()))[:2]:
-                    best[text, item] = (share, not changed, (self.ids[item], share, changed))
+                chain = Chain(self.items[item], tokens, low, high)
+                # Outwards from this diagonal, as far as the next one is near.
+                for side in ([s for s in sorted(found) if shift <= s <= shift + len(words)], [s for s in sorted(found, reverse=True) if shift - len(words) <= s < shift]):
+                    last = shift
+                    for s in side:
+                        if abs(s - last) > SLACK:
+                            break
+                        if chain.windows(s, sorted(found[s])):
+                            absorbed.add(s)
+                            last = s
+                chain.edges()
+                n = int(words[list(chain.at)].sum())
+                if n >= min(least, whole):
+                    share = n / whole
+                    if (share, not chain.changed) > best.get((text, item), (0.0, False, ()))[:2]:
+                        best[text, item] = (share, not chain.changed, (self.ids[item], share, chain.changed))
+                        if share == 1 and not chain.changed:
+                            break
         return best
 
 
+class Chain:
+    """Tokens of an item with their places in a text, in the order of both, and what stands for what."""
+
+    def __init__(self, item: tuple, tokens: Tokens, low: int, high: int):
+        self.value, self.kind, _, self.first = item
+        self.tokens, self.low, self.high = tokens, low, high
+        self.at: dict[int, int] = {}
+        self.order: list[int] = []
+        self.maps: dict = {}
+        self.changed = False
+
+    def _slot(self, j: int, i: int) -> list[tuple] | None:
+        """What tokens j and i map to each other; none if they can't stand for each other."""
+        t, v, d = int(self.kind[j]), int(self.value[j]), int(self.tokens.value[i])
+        if t != self.tokens.kind[i] or (t == LITERAL and v != d):
+            return None
+        if t == LITERAL:
+            return []
+        # Two names may not become one, also not by their first words.
+        told = [((0, t, v), d), ((1, t, d), v), ((2, t, int(self.tokens.first[i])), int(self.first[j]))]
+        return None if any(self.maps.get(k, x) != x for k, x in told) else told
+
+    def _fits(self, j: int, i: int) -> bool:
+        if j in self.at:
+            return False
+        k = bisect(self.order, j)
+        return (not k or self.at[self.order[k - 1]] < i) and (k == len(self.order) or i < self.at[self.order[k]])
+
+    def _add(self, j: int, i: int, told: list[tuple]) -> None:
+        self.at[j] = i
+        insort(self.order, j)
+        self.maps.update(told)
+        self.changed |= bool(self.value[j] != self.tokens.value[i])
+
+    def windows(self, shift: int, found: list[tuple]) -> bool:
+        """Add windows of a diagonal that agree with what is there; whether any did."""
+        any_added = False
+        for j, w in found:
+            new = [k for k in range(j, j + w) if self._fits(k, k + shift)]
+            told: list[tuple] | None = []
+            seen: dict = {}
+            for k in new:
+                slot = self._slot(k, k + shift)
+                if slot is None or any(seen.setdefault(a, x) != x for a, x in slot):
+                    told = None
+                    break
+                told += slot
+            if told is None:
+                continue
+            for k in new:
+                self._add(k, k + shift, [])
+            self.maps.update(told)
+            any_added |= bool(new)
+        return any_added
+
+    def _run(self, j: int, i: int, step: int) -> list[tuple]:
+        out: list[tuple] = []
+        seen: dict = {}
+        same = 0
+        while 0 <= j < len(self.value) and self.low <= i < self.high and self._fits(j, i):
+            slot = self._slot(j, i)
+            if slot is None or any(seen.setdefault(a, x) != x for a, x in slot):
+                break
+            same += self.value[j] == self.tokens.value[i]
+            out.append((j, i, slot))
+            j, i = j + step, i + step
+        return out if len(out) >= EDGE and 2 * same >= len(out) else []
+
+    def edges(self) -> None:
+        """Go on beyond both ends of each matched part, over inserted or deleted tokens."""
+        todo = [(j, step) for j in self.order for step in (-1, 1) if j + step not in self.at]
+        while todo and len(self.at) < len(self.value):
+            j, step = todo.pop()
+            i = self.at[j]
+            skips = [(a, b) for a in range(SLACK + 1) for b in range(SLACK + 1) if a != b]
+            run = max((self._run(j + step * (1 + a), i + step * (1 + b), step) for a, b in sorted(skips, key=sum)), key=len)
+            for a, b, told in run:
+                self._add(a, b, told)
+            if run:
+                todo.append((run[-1][0], step))
+
+
 class Block:
     """Some benchmark items in all readings."""
 
