@@ -54,19 +54,18 @@ def chain_breaks(rows: DataFrame, key: str, order: str, digest: str, previous: s
     return rows.withColumn("_b", before).where(~F.col(previous).eqNullSafe(F.col("_b"))).drop("_b")
 
 
-def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
-    """node, ancestor: all that stands above, from rows (node, parent)."""
-    steps = parents.where("parent is not null").select("node", "parent").distinct()
-    every = cut(steps.select("node", F.col("parent").alias("ancestor")))
-    frontier = every
-    for _ in range(most):
-        up = steps.select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
-        grown = frontier.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
-        frontier = cut(grown.join(every, ["node", "ancestor"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        every = every.unionByName(frontier)
-    return every
+def ancestors(parents: DataFrame) -> DataFrame:
+    """node, ancestor: all that stands above, from rows (node, parent); steps are doubled until nothing is new."""
+    far = cut(parents.where("parent is not null").select("node", F.col("parent").alias("ancestor")).distinct())
+    every = far  # up to as many steps as ``far`` has exactly
+    while True:
+        up = far.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
+        grown = every.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
+        new = cut(grown.join(every, ["node", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return every
+        far = cut(far.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct())
+        every = cut(every.unionByName(new))
 
 
 def secret_lines(docs: DataFrame) -> DataFrame:

@@ -65,18 +65,17 @@ def paths(edges: DataFrame, source: str, most: int, score: str = "score", keep:
     return every if every is not None else start.where("false")
 
 
-def shortest(edges: DataFrame, source: str, cost: str, most: int = 32) -> DataFrame:
+def shortest(edges: DataFrame, source: str, cost: str) -> DataFrame:
     """node, cost, hops, path of least cost, then fewest hops, then least names (relaxation until nothing improves)."""
     steps = cut(edges.groupBy("src", "dst").agg(F.min(cost).alias("_c")))
     best = cut(edges.sparkSession.createDataFrame([(source, 0.0, 0, [source])], "node string, cost double, hops int, path array<string>"))
     rank = F.struct("cost", "hops", "path")
-    for _ in range(most):
+    while True:
         grown = best.join(steps, (best.node == steps.src) & ~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), (F.col("cost") + F.col("_c")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path"))
         new = cut(best.unionByName(grown).groupBy("node").agg(F.min(rank).alias("r")).select("node", "r.cost", "r.hops", "r.path"))
         if new.exceptAll(best).isEmpty():
             return new
         best = new
-    return best
 
 
 def _sweeps(nodes: DataFrame, edges: DataFrame, damping: float, weight: str | None):
@@ -131,11 +130,11 @@ def diffuse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, sweeps: int, d
     return value
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (least name), by least neighbour labels and labels of labels."""
     steps = cut(both_ways(edges).distinct())
     labels = cut(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(most):
+    while True:
         told = steps.join(labels, steps.src == labels.node).groupBy("dst").agg(F.min("component").alias("told"))
         near = labels.join(told, labels.node == told.dst, "left").select("node", F.least("component", "told").alias("next"), F.col("component").alias("was"))
         above = labels.select(F.col("node").alias("next"), F.col("component").alias("above"))
@@ -146,17 +145,17 @@ def weak_components(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataF
     return labels
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (least name of those that reach it and that it reaches).
 
     Rounds of forward and backward colouring: the least label flows along the
     edges; where it also flows back to a node, the node is settled and leaves.
     """
     left, done = cut(nodes.select("node")), None
-    for _ in range(most):
+    while True:
         steps = cut(edges.select("src", "dst").distinct().join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         colour = cut(left.select("node", F.col("node").alias("colour")))
-        for _ in range(most):
+        while True:
             told = steps.join(colour, steps.src == colour.node).groupBy("dst").agg(F.min("colour").alias("told"))
             new = cut(colour.join(told, colour.node == told.dst, "left").select("node", F.least("colour", "told").alias("colour"), F.col("colour").alias("was")))
             colour = new.select("node", "colour")
@@ -166,7 +165,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, most: int = 64) -> Dat
         inside = steps.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2")
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         roots = colour.where("node = colour").select(F.col("node").alias("root"))
-        found = hops_from(back, roots, most).select("node", F.col("root").alias("component"))
+        found = hops_from(back, roots, left.count()).select("node", F.col("root").alias("component"))
         done = found if done is None else done.unionByName(found)
         left = cut(left.join(found, "node", "left_anti"))
         if left.isEmpty():

@@ -75,6 +75,17 @@ def test_strong_components(spark):
     assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "c", "f": "f"}
 
 
+def test_ancestors_of_a_long_chain_and_a_cycle(spark):
+    rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(200)] + [("x", "y"), ("y", "z"), ("z", "x")]
+    got = {r["node"]: r["count"] for r in ev.ancestors(spark.createDataFrame(rows, "node string, parent string")).groupBy("node").count().collect()}
+    assert got == {f"n{k}": k for k in range(1, 200)} | {"x": 3, "y": 3, "z": 3}
+
+
+def test_shortest_on_a_long_chain(spark):
+    got = g.shortest(edges(spark, [(f"n{k}", f"n{k + 1}", 1.0) for k in range(36)]), "n0", "weight").collect()
+    assert {r.node: r.cost for r in got} == {f"n{k}": float(k) for k in range(37)}
+
+
 def test_depth_first_marks_on_push(spark):
     e = edges(spark, [("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)])
     assert [r.node for r in g.depth_first(e, "a").orderBy("place").collect()] == ["a", "b", "c", "d"]
