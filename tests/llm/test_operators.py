@@ -457,6 +457,11 @@ def test_wrapper_of_all_pages(spark):
     assert "The only story of this house." in got[203] and "It goes on and on for long." in got[203]
 
 
+def test_parts_of_a_page_are_joined():
+    assert pages.extract(page("<article><p>One</p></article><div>x</div><article><p>Two</p><article>In two</article></article><article class='related'>no</article>"), None) == "One\n\nTwo\n\nIn two"
+    assert pages.extract(page("<div class='content'><p>One</p></div><p>x</p><section class='post'><p>Two</p></section>"), None) == "One\n\nTwo"
+
+
 def test_tree_matching_weight():
     a, b = (pages.parse(h) for h in ("<div><p>1</p><p>2</p><ul><li>x</ul></div>", "<div><p>1</p><h1>t</h1><ul><li>x<li>y</ul></div>"))
     pages.shape(a)
