@@ -457,6 +457,14 @@ def test_wrapper_of_all_pages(spark):
     assert "The only story of this house." in got[203] and "It goes on and on for long." in got[203]
 
 
+def test_frames_are_not_cut_out():
+    article = "<article><p>A story that is told at some length.</p><section id='related-work'><h2 id='search-results'>Found</h2><p>Sum <math><mi>x</mi></math></p></section></article>"
+    want = "A story that is told at some length.\n\nFound\n\nSum x"
+    for frame in ("<div class='layout has-sidebar'>{}</div>", "<div class='content-with-sidebar'>{}</div>", "<form id='aspnetForm'>{}</form>", "<div class='sidebar layout'>{}</div>"):
+        assert pages.extract(page(frame.format(article)), None) == want
+    assert pages.extract(page("<form><div><p>Only plain text on this page.</p></div></form><div class='sidebar'>no</div>"), None) == "Only plain text on this page."
+
+
 def test_parts_of_a_page_are_joined():
     assert pages.extract(page("<article><p>One</p></article><div>x</div><article><p>Two</p><article>In two</article></article><article class='related'>no</article>"), None) == "One\n\nTwo\n\nIn two"
     assert pages.extract(page("<div class='content'><p>One</p></div><p>x</p><section class='post'><p>Two</p></section>"), None) == "One\n\nTwo"
