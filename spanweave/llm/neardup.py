@@ -15,23 +15,30 @@ Candidates come from posting lists, one for each coordinate-value pair:
   first, so a passage that very many documents hold is not posted by documents
   that have enough else.
 * Merging skips what is settled. Members of a list are compared with one pivot
-  of it, so thousands of near copies cost a few comparisons each. Members that
-  stay in different classes are told apart by how they differ from the pivot P:
-  with R removed and A added shingles, two members have
+  of it, a star, and linked members become one class. Where a list still holds
+  members of different classes, those are told apart by how they differ from
+  the pivot P: with R removed and A added shingles, two members have
   |P| - r1 - r2 + |R1 & R2| + |A1 & A2| in common, so they are similar only if
   they share at least u1 + u2 differences, where u grows with r and t = |A|.
   Pairs with u1 + u2 <= 0 both belong to P's class; all others share a
-  difference among the first few of each, which are joined (see
-  ``_differences``). No pair of different classes in a list stays undecided.
+  difference among the first few of each, and these differences are posted in
+  their turn (see ``_differences`` and ``_settle``): one star at a time, classes
+  joined after each, until no list holds two classes, or so few members outside
+  of its largest class that their pairs are no more than the rows posted.
 
-Collisions of a pair with its pivot are counted over all coordinates before
-full sets are compared. Links form components; a document is kept if its id is the least.
+So a dense group costs stars, not pairs, and no pair of different classes stays
+undecided. Collisions of a pair with its pivot are counted over all coordinates
+before full sets are compared. Links form components; a document is kept if its
+id is the least.
 
 Defined cases: null and empty texts have empty sets and are linked with
-nothing; a text shorter than a shingle is one shingle; of equal rows each is
-returned, with the same class, and the id decides which are kept; a null
-doc_id never represents a class, and is kept if nothing represents its class;
-other columns are ignored; an empty table gives an empty result.
+nothing; a text shorter than a shingle is one shingle; a very long text is one
+set, held by one task; of equal rows each is returned, with the same class, and
+the id decides which are kept; rows that share an id but not the text are
+documents of their own; a null doc_id never represents a class with another
+id, and is kept if nothing represents its class; other columns are ignored; an
+empty table gives an empty result. ``select`` keeps one row of each class, also
+of equal rows and null ids, and every row without words.
 """
 
 from __future__ import annotations
@@ -42,12 +49,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
 from .kernels import flat, mix, slices, words
-from .shared import cut, raw, release, table
+from .shared import cut, raw, table
 
 COORDINATES = 48
 _draw = np.random.default_rng(20240607)
@@ -90,6 +97,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat(x * a + b, starts) for a, b in zip(FACTOR, SHIFT, strict=True)], axis=1)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _describe(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +110,10 @@ def _describe(width: int) -> Callable:
                 values = signatures([sets[i] for i in some]).astype(np.int64) | np.arange(COORDINATES, dtype=np.int64) << 32
                 ends = np.zeros(len(sets) + 1, np.int32)
                 ends[1:] = np.cumsum([COORDINATES * (len(s) > 0) for s in sets])
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                keys = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1)))],
-                    ["doc_id", "n_shingles", "same", "signature"],
+                    [part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1)))],
+                    ["doc_id", "row", "n_shingles", "same", "signature"],
                 )
 
     return run
@@ -110,10 +121,16 @@ def _describe(width: int) -> Callable:
 
 def _sets(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal rows come one after the other
         for batch in batches:
             for part in slices(batch):
-                sets = shingle_sets(*flat(part.column("text")), width)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "hashes"])
+                rows = []
+                ids, same = part.column("id").to_pylist(), part.column("same").to_pylist()
+                for k, shingles in enumerate(shingle_sets(*flat(part.column("text")), width)):
+                    if ids[k] not in seen and _digest(shingles) == same[k]:
+                        seen.add(ids[k])
+                        rows.append((ids[k], shingles.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["id", "hashes"])
 
     return run
 
@@ -131,14 +148,14 @@ def _confirm(percent: int) -> Callable:
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-DIFFERENCES = "pivot {kind}, id {kind}, settled boolean, element long, u double, left double, b0 long, b1 long, b2 long, b3 long, spare long, earlier array<long>"
-EARLIER = 24
+DIFFERENCES = "pivot long, id long, element long, u double, left double, b0 long, b1 long, b2 long, b3 long, spare long"
 SKETCH = ("b0", "b1", "b2", "b3")
+BOUNDS = ("u", "left", *SKETCH, "spare")
 
 
 def _differences(percent: int) -> Callable:
@@ -150,8 +167,7 @@ def _differences(percent: int) -> Callable:
     serves the prefix; added ones come first, as they are the rarer. With each
     goes a 256-bit sketch of all differences: two members share at most as many
     as their sketches have bits in common, plus ``spare`` (differences that
-    fell on a bit already set) of either. ``earlier`` holds the leading
-    differences before each, so that a pair need not come up for every one.
+    fell on a bit already set) of either.
     """
     c = percent / 100
     g = c / (1 + c)
@@ -159,7 +175,7 @@ def _differences(percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, elements, bounds, lefts, sketches, spares, earlier = [], [], [], [], [], [], []
+            rows, elements, bounds, lefts, sketches, spares = [], [], [], [], [], []
             for k, (mine, pivot) in enumerate(zip(batch.column("hashes"), batch.column("other"), strict=True)):
                 own, of = (np.frombuffer(x.as_buffer(), np.uint64) for x in (mine, pivot))
                 added, removed = np.setdiff1d(own, of, True), np.setdiff1d(of, own, True)
@@ -174,8 +190,6 @@ def _differences(percent: int) -> Callable:
                 bits[(every & np.uint64(255)).astype(np.int64)] = True
                 sketches.append(np.broadcast_to(np.packbits(bits).view(np.int64), (len(first), 4)))
                 spares.append(np.full(len(first), n - int(bits.sum())))
-                leading = first[:EARLIER].view(np.int64).tolist()
-                earlier += [leading[:j] for j in range(len(first))]
                 rows.append(np.full(len(first), k))
                 elements.append(first)
                 bounds.append(np.full(len(first), u - 1e-6))
@@ -183,48 +197,131 @@ def _differences(percent: int) -> Callable:
             if rows:
                 at = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("pivot").take(at), batch.column("id").take(at), batch.column("settled").take(at), pa.array(np.concatenate(elements).view(np.int64)), pa.array(np.concatenate(bounds)), pa.array(np.concatenate(lefts)), *(pa.array(x) for x in np.concatenate(sketches).T.copy()), pa.array(np.concatenate(spares)), pa.array(earlier, pa.list_(pa.int64()))],
-                    ["pivot", "id", "settled", "element", "u", "left", *SKETCH, "spare", "earlier"],
+                    [batch.column("pivot").take(at), batch.column("id").take(at), pa.array(np.concatenate(elements).view(np.int64)), pa.array(np.concatenate(bounds)), pa.array(np.concatenate(lefts)), *(pa.array(x) for x in np.concatenate(sketches).T.copy()), pa.array(np.concatenate(spares))],
+                    ["pivot", "id", "element", *BOUNDS],
                 )
 
     return run
 
 
 class _Links:
-    """Tests candidate pairs of nodes: collisions first, then full sets."""
+    """Tests candidate pairs (a, b) of nodes and joins what is linked into classes."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, least: int, percent: int, kind: str):
-        self.nodes, self.sets, self.least, self.percent, self.kind = nodes, sets, least, percent, kind
+    def __init__(self, nodes: DataFrame, sets: DataFrame, least: int, percent: int):
+        self.nodes, self.sets, self.least, self.percent = nodes, sets, least, percent
+        self.labels: DataFrame | None = None  # id, label
 
     def colliding(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) with enough equal coordinates."""
+        """Those of the pairs with enough equal coordinates."""
         signature = self.nodes.select("id", "signature")
         for side in ("a", "b"):
             pairs = pairs.join(signature.withColumnsRenamed({"id": side, "signature": f"s{side}"}), side)
-        return pairs.where(F.size(F.array_intersect("sa", "sb")) >= self.least).select("a", "b")
+        return pairs.where(F.size(F.array_intersect("sa", "sb")) >= self.least).drop("sa", "sb")
 
     def similar(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose full sets are similar."""
+        """The classes x and y, as a and b, of the pairs whose full sets are similar."""
         for side, name in (("a", "left"), ("b", "right")):
             pairs = pairs.join(self.sets.withColumnsRenamed({"id": side, "hashes": name}), side)
-        return pairs.select("a", "b", "left", "right").mapInArrow(_confirm(self.percent), f"a {self.kind}, b {self.kind}")
+        return pairs.select("x", "y", "left", "right").mapInArrow(_confirm(self.percent), "a long, b long")
 
+    def classed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the class of each ``id``."""
+        return rows.join(self.labels, "id", "left").withColumn("class", F.coalesce("label", "id")).drop("label")
 
-def _ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
-    return pairs.where(F.col(one) != F.col(two)).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+    def join(self, pairs: DataFrame) -> None:
+        """Test the pairs and join the classes of those that are linked."""
+        linked = cut(self.similar(pairs).distinct())
+        if self.labels is None:
+            self.labels = components(linked)
+        elif not linked.isEmpty():
+            moved = components(linked)
+            upper = moved.select(F.col("id").alias("label"), F.col("label").alias("upper"))
+            old = self.labels.join(upper, "label", "left").select("id", F.coalesce("upper", "label").alias("label"))
+            self.labels = cut(old.unionByName(moved.join(self.labels, "id", "left_anti")))
 
 
-def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document.
+def _pairs(rows: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of nodes i and j in different classes x and y."""
+    ahead = F.col("i") < F.col("j")
+    ends = [F.when(ahead, F.col(one)).otherwise(F.col(two)).alias(name) for one, two, name in (("i", "j", "a"), ("j", "i", "b"), ("x", "y", "x"), ("y", "x", "y"))]
+    return rows.where("i <> j and x <> y").select(*ends).distinct()
 
-    Documents are linked where 100 * intersection >= percent * union of their
-    sets of ``width``-word shingles.
+
+def _may_link() -> Column:
+    """Whether the differences of two members (the other's have a 2) can be as many as a link needs."""
+    need = F.col("u") + F.col("u2")
+    common = sum((F.bit_count(F.col(c).bitwiseAND(F.col(f"{c}2"))) for c in SKETCH), F.least("spare", "spare2"))
+    return (F.col("left") >= need) & (F.col("left2") >= need) & (common >= need)
+
+
+PAIRS_A_ROW = 64
+
+
+def _settle(links: _Links, posted: DataFrame) -> None:
+    """Join classes within lists of ``posted`` (pivot, element) until none holds two that could be linked.
+
+    Every round takes one member of each list that holds several classes, in
+    turn one that is near the list's pivot or any, tests it against the members
+    of other classes, joins what is linked, and is done with it. What is left
+    to tell apart are pairs with a member outside of its list's largest class.
+    They are tested at once when comparing them takes PAIRS_A_ROW comparisons
+    for a posted row at most (twice as many after every round, which bounds the
+    rounds), and when no more of them are likely to be linked than there are
+    rows, by the share that the last stars found.
+    """
+    key, turn, share, budget = ["pivot", "element"], 0, 1.0, posted.count()
+    while True:
+        rows = links.classed(posted)
+        near = F.round(F.col("u")) if turn % 2 == 0 else F.lit(0.0)
+        rank = F.struct(-near, F.xxhash64("id", "pivot", "element", F.lit(turn)), "id")
+        member = F.struct("id", "class", *BOUNDS)
+        by_class = rows.groupBy(*key, "class").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(rank.alias("rank"), member.alias("member"))).alias("first"))
+        lists = by_class.groupBy(*key).agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("class").alias("k"))).alias("major"), F.count(F.lit(1)).alias("classes"), F.max("first").alias("first"))
+        lists = cut(lists.where("classes > 1").select(*key, "n", F.col("major.n").alias("n_major"), F.col("major.k").alias("major"), F.col("first.member").alias("star")))
+        work, members = lists.agg(F.sum(F.col("n") * (F.col("n") - F.col("n_major"))), F.sum("n")).first()
+        if not members:
+            return
+        rows = rows.join(lists.select(*key, "major", "star"), key)
+        if work <= budget * PAIRS_A_ROW * 2**turn and work * share <= budget:
+            rest = cut(rows.drop("star"))
+            other = rest.where("class <> major").select(*key, F.col("id").alias("j"), F.col("class").alias("y"), *(F.col(c).alias(f"{c}2") for c in BOUNDS))
+            found = rest.withColumnsRenamed({"id": "i", "class": "x"}).join(other, key).where("x <> y").where(_may_link())
+            links.join(_pairs(found))
+            return
+        star = F.col("star")
+        found = rows.select(F.col("id").alias("i"), F.col("class").alias("x"), star.id.alias("j"), star["class"].alias("y"), *BOUNDS, *(star[c].alias(f"{c}2") for c in BOUNDS))
+        pairs = cut(_pairs(found.where("x <> y").where(_may_link())))
+        share = pairs.count() / members
+        if share:
+            links.join(pairs)
+        posted = cut(rows.where(F.col("id") != star.id).select(*posted.columns))
+        turn += 1
+
+
+SALT_ROWS = 500
+
+
+def _beside_pivots(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """pivot, id, hashes of the member and ``other``, those of its pivot.
+
+    A pivot's set is repeated for every SALT_ROWS of its members, which are dealt
+    to the repeats, so that no task holds all members of a pivot.
     """
+    copies = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("copies"))
+    mine = members.join(copies, "pivot").withColumn("salt", F.pmod(F.xxhash64("id"), "copies")).select("pivot", "id", "salt")
+    others = sets.withColumnsRenamed({"id": "pivot", "hashes": "other"}).join(copies, "pivot")
+    others = others.select("pivot", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
+    return mine.join(sets, "id").join(others, ["pivot", "salt"]).select("pivot", "id", "hashes", "other")
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, row, n_shingles, same), and by distinct set (same) its class: component and first row."""
     least = least_matches(percent / 100)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", raw("text").alias("text"))
-    found = cut(texts.mapInArrow(_describe(width), f"doc_id {kind}, n_shingles long, same binary, signature array<long>"))
-    nodes = cut(found.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")).where("id is not null"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), raw("text").alias("text"))
+    found = cut(texts.mapInArrow(_describe(width), f"doc_id {kind}, row long, n_shingles long, same binary, signature array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
+    nodes = cut(found.where("n_shingles > 0").groupBy("same").agg(first, F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()))
 
     posted = nodes.select("id", F.explode("signature").alias("value"))
     shared = posted.groupBy("value").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
@@ -232,43 +329,52 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     prefix = F.slice("values", 1, F.size("values") - (least - 1))
     entries = cut(rarest.where(F.size("values") >= least).select("id", F.size("values").alias("shared"), F.explode(prefix.value).alias("value")))
 
-    wanted = entries.select("id").distinct()
-    sets = cut(texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(width), f"id {kind}, hashes binary"))
-    release(docs.sparkSession.sparkContext)  # the shuffled postings and texts
-    links = _Links(nodes, sets, least, percent, kind)
+    wanted = nodes.join(entries.select("id").distinct(), "id", "left_semi").select("id", "same", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("at"))
+    its = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("row") == F.col("at"))).select("id", "same", "text")
+    sets = cut(its.mapInArrow(_sets(width), "id long, hashes binary"))
+    links = _Links(nodes, sets, least, percent)
 
     # One pivot for each list: the member that shares most of its values, so mostly the same and near the middle of its group.
     pivots = entries.groupBy("value").agg(F.max_by("id", F.struct("shared", F.xxhash64("id"), "id")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(entries.join(pivots, "value").select("id", "pivot").distinct())
-    tried = _ordered(members, "id", "pivot")
-    linked = cut(links.similar(links.colliding(tried)))
-    release(docs.sparkSession.sparkContext)
-
-    # Groups with members that their pivot does not settle: pairs that share enough of their differences from it.
-    pair = members.where("id <> pivot").select("id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-    known = cut(pair.join(linked.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("id", "pivot", F.coalesce("linked", F.lit(False)).alias("settled")))
-    open_groups = known.where("not settled").select("pivot").distinct()
-    both = known.join(open_groups, "pivot").join(sets, "id").join(sets.withColumnsRenamed({"id": "pivot", "hashes": "other"}), "pivot")
-    posted = cut(both.select("pivot", "id", "settled", "hashes", "other").mapInArrow(_differences(percent), DIFFERENCES.format(kind=kind)))
-    right = posted.select("pivot", "element", *(F.col(c).alias(f"{c}2") for c in ("id", "settled", "u", "left", *SKETCH, "spare", "earlier")))
-    need = F.col("u") + F.col("u2")
-    common = sum((F.bit_count(F.col(c).bitwiseAND(F.col(f"{c}2"))) for c in SKETCH), F.least("spare", "spare2"))
-    fits = (F.col("id") < F.col("id2")) & ~(F.col("settled") & F.col("settled2")) & (F.col("left") >= need) & (F.col("left2") >= need) & (common >= need)
-    found_twice = F.arrays_overlap("earlier", "earlier2")
-    rest = cut(_ordered(posted.join(right, ["pivot", "element"]).where(fits & ~found_twice), "id", "id2").join(tried, ["a", "b"], "left_anti"))
-    linked = cut(linked.unionByName(links.similar(rest)))
-
-    label = components(linked)
-    by_set = nodes.join(label, "id", "left").select("same", F.coalesce("label", "id").alias("component"))
-    joined = found.join(by_set, "same", "left")
+    members = cut(entries.join(pivots, "value").where("id <> pivot").select("id", "pivot").distinct())
+    links.join(links.colliding(_pairs(members.select(F.col("id").alias("i"), F.col("pivot").alias("j"), F.col("id").alias("x"), F.col("pivot").alias("y")))))
+
+    # Groups whose members, the pivot apart, are in several classes.
+    several = links.classed(members).groupBy("pivot").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("pivot")
+    beside = _beside_pivots(cut(members.join(several, "pivot", "left_semi")), sets)
+    posted = cut(beside.mapInArrow(_differences(percent), DIFFERENCES))
+    _settle(links, posted)
+
+    linked = links.labels.join(nodes.select("id", "first"), "id")
+    first = linked.groupBy("label").agg(F.min("first").alias("least"))
+    label = links.labels.join(first, "label").select("id", "least")
+    return found.drop("signature"), nodes.join(label, "id", "left").select("same", F.coalesce("least", "first").alias("first"))
+
+
+def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every document.
+
+    Documents are linked where 100 * intersection >= percent * union of their
+    sets of ``width``-word shingles.
+    """
+    rows, by_set = _classes(docs, width, percent)
+    joined = rows.join(by_set.select("same", F.col("first.doc_id").alias("component")), "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def select(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class, with all its columns (that of least doc_id; all rows that bear it)."""
-    keep = classes(docs, width, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*docs.columns)
+    """One row of each class, with all its columns: one of least doc_id and, among its rows, of least hash.
+
+    Rows without words are in no class and stay.
+    """
+    keep = _classes(docs, width, percent)[1].select(F.col("first.doc_id").alias("doc"), F.col("first.row").alias("at")).distinct()
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.where(worded).select(F.struct("*").alias("whole"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("row"), F.xxhash64(*plain).alias("order"))
+    kept = rows.join(keep, F.col("key").eqNullSafe(F.col("doc")) & (F.col("row") == F.col("at")))
+    one = kept.groupBy("key", "row").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")
+    return docs.where(~worded).unionByName(one)
 
 
 def op4_neardup(spark, sf_dir):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _checkpoints(spark: SparkSession) -> str:
     """The context's checkpoint folder.
 
-    It is set here only where neither the session nor the context has one,
-    which is the case in tests on one machine.
+    It is set here only where neither the session nor the context has one. A
+    folder of this machine serves tests with a local master; on a cluster,
+    executors would write to disks of their own, so there it is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -33,24 +36,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder that spark.checkpoint.dir names."""
-    _checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(context) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer held.
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the folder that spark.checkpoint.dir names.
 
-    It does so when the driver's garbage is collected, which may be hours after
-    a cut has made them needless. The gateway tells the JVM of objects that
-    Python has dropped from a thread of its own, and Spark's cleaner works in
-    another, hence the pauses.
+    The shuffle files of its plan go when it is written (a setting of Spark
+    that the plan takes up when it is made, hence the select), so that only the
+    checkpoint stays on disk.
     """
-    gc.collect()
-    time.sleep(0.4)
-    context._jvm.System.gc()
-    time.sleep(1.0)
+    spark = df.sparkSession
+    _checkpoints(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def raw(column: str) -> Column:

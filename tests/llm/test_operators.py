@@ -145,10 +145,45 @@ def test_neardup_group_of_edits(documents):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == classes(rows, 3, 85)
 
 
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_neardup_costs_stars_not_pairs(documents, monkeypatch, width, percent):
+    """Copies with one to three edits, linked densely: what is tested and linked grows with the rows, not with their square."""
+    tested = []
+    similar = neardup._Links.similar
+    monkeypatch.setattr(neardup._Links, "similar", lambda self, pairs: (tested.append(pairs.count()), similar(self, pairs))[1])
+    sizes = []
+    for n in (100, 400):
+        rng = random.Random(2)
+        base, rows = prose(rng, 100).split(), []
+        for i in range(n):
+            words = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        tested.clear()
+        got = neardup.classes(documents(rows), width, percent).collect()
+        assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == classes(rows, width, percent)
+        sizes.append(sum(tested))
+    assert sizes[1] < 8 * sizes[0] + 400
+
+
+def test_neardup_repeated_ids(documents):
+    """Rows of one id with different texts are documents of their own; select keeps one row of each class."""
+    rng = random.Random(5)
+    a, b, c = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (1, a), (1, b), (2, b + " more"), (None, a), (None, c), (None, c), (3, ""), (3, ""), (None, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(documents(rows)).collect()), key=repr)
+    assert got == sorted([(1, 76, 1), (1, 76, 1), (1, 76, 1), (2, 77, 1), (None, 76, 1), (None, 76, None), (None, 76, None), (3, 0, 3), (3, 0, 3), (None, 0, None)], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in neardup.select(documents(rows)).collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (None, c), (3, ""), (3, ""), (None, None)], key=repr)
+
+
 def test_neardup_select_and_empty(documents, clashing):
     docs = clashing(documents(corpus()))
-    assert neardup.select(docs).columns == docs.columns
-    assert neardup.classes(docs.where("false")).count() == 0
+    kept = neardup.select(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len({(c, c is None and i) for i, _, c in classes(corpus(), 5, 80)})
+    assert neardup.classes(docs.where("false")).count() == neardup.select(docs.where("false")).count() == 0
 
 
 def test_components_of_a_chain(spark):
