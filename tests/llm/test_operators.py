@@ -505,12 +505,70 @@ def test_parts_of_a_page_are_joined():
     assert pages.extract(page("<div class='content'><p>One</p></div><p>x</p><section class='post'><p>Two</p></section>"), None) == "One\n\nTwo"
 
 
-def test_tree_matching_weight():
-    a, b = (pages.parse(h) for h in ("<div><p>1</p><p>2</p><ul><li>x</ul></div>", "<div><p>1</p><h1>t</h1><ul><li>x<li>y</ul></div>"))
+def brute_weight(a, b):
+    """Simple tree matching by its recursion."""
+    if a.key != b.key:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_weight(x, y))
+    return 1 + best[-1][-1]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_tree_matching(seed):
+    rng = random.Random(seed)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" if depth and rng.random() < 0.8 else "text" for t in rng.choices(["div", "b", "i"], k=rng.randrange(1, 5)))
+
+    def paired(a, b):
+        """Nodes of a mapping, by its pairs of texts."""
+        return list(pages.Matcher().align(a, b))
+
+    a, b = pages.parse(tree(3)), pages.parse(tree(3))
     pages.shape(a)
     pages.shape(b)
-    assert pages.weight(a, b) == pages.weight(b, a) == 7
-    assert [(x.text, y.text) for x, y in pages.align(a, b)][0] is not None
+    assert pages.Matcher().weight(a, b) == pages.Matcher().weight(b, a) == brute_weight(a, b)
+    assert 0 <= pages.Matcher(cells=0).weight(a, b) <= brute_weight(a, b)
+    ours = paired(a, b)
+    assert len({id(x) for x, _ in ours}) == len({id(y) for _, y in ours}) == len(ours)
+    again = pages.frame(pages.skeleton(a))
+    assert again.size == a.size and pages.Matcher().weight(again, a) == a.size
+
+
+def test_wrapper_without_hints(spark):
+    """No article, main, class or id: only what varies in the slots of the host tells text from template."""
+    rng = random.Random(3)
+    html, want = {}, {}
+    for k in range(12):
+        story = [prose(rng, 20) for _ in range(1 + k % 3)]
+        extra = "<ul><li>Read it on paper too</li></ul>" if k % 4 == 0 else ""
+        html[k] = f"<html><body><div><div>The Daily House</div><div>All rights of this house are kept</div></div>{extra}<div>{''.join(f'<p>{p}</p>' for p in story)}</div><div><p>Written by our staff</p></div></body></html>"
+        want[k] = "\n\n".join(story)
+    df = spark.createDataFrame([(k, "http://plain/x", h) for k, h in html.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert got == want
+    assert all(pages.extract(h, None) != want[k] for k, h in html.items())
+
+
+def test_pages_of_any_size():
+    for text in ("<a " * 100_000, "<script " * 50_000, "<!" * 100_000, "</" * 100_000, "< " * 100_000, "<a '\"" * 50_000, "</x>" * 50_000, "<b>" * 20_000 + "<p>" * 20_000):
+        pages.extract(text, {(1, 1): 9}, of=pages.frame(pages.skeleton(pages.parse(text))))
+    deep = [pages.parse("<div>" * 5_000 + f"text {k}" + ("<p>more</p>" * k)) for k in range(2)]
+    for tree in deep:
+        pages.shape(tree)
+    assert pages.Matcher().weight(*deep) == 5_002
+    rows = ["<table>" + "".join(f"<tr><td>{k}</td>{'<td>x</td>' * (k * m % 7)}</tr>" for k in range(3_000)) + "</table>" for m in (1, 2)]
+    one, two = map(pages.parse, rows)
+    pages.shape(one)
+    pages.shape(two)
+    assert len(list(pages.Matcher().align(one, two))) >= 3_000
+    long_ = "<article>" + "<p>word and word</p>" * 250_000 + "</article>"
+    assert pages.extract(long_, None).count("word and word") == 250_000
+    assert pages.extract("a <3 b <i>c</i> <p title='x>y'>d <e", None) == "a <3 b c\n\nd"
+
 
 
 # --- media -------------------------------------------------------------------
