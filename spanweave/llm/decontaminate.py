@@ -23,7 +23,12 @@ another word, and with names everywhere but for OPENERS, a run of them being one
 slot, as what opens a sentence shows no difference otherwise. Windows with fewer than half their tokens literal are
 vague templates: they match only where the values of their slots are equal too.
 
-Defined cases: null and empty texts match nothing, on either side; null ids are kept (a null item_id is
+Benchmarks of any size are taken in blocks of bounded items and bytes, each read
+once through the driver and sent to all tasks.
+
+Defined cases: null and empty texts match nothing, on either side; very long
+texts are read whole, by one task each; of an item's matches in a text the one
+of most coverage counts; null ids are kept (a null item_id is
 reported as null); equal rows are judged alike; other columns are ignored; an
 empty benchmark contaminates nothing.
 """
@@ -57,6 +62,7 @@ OPENERS = (
     "then so and but or for of in on at by to from with what which who whose whom where why how all each every some both many most no not now "
     "is are was were do does did has have had can could will would should let find given suppose consider calculate compute add solve"
 ).split()
+BLOCK_BYTES = 8 << 20
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 WORDS, INNER, NAMES = 0, 1, 2
 # Inserted or deleted tokens between two parts of a copy, and the shortest part beside a matched window.
@@ -316,14 +322,15 @@ class Block:
 
 
 def _blocks(benchmark: DataFrame, width: int, size: int) -> Iterator[Block]:
-    """The items in blocks; at least one, maybe empty."""
-    ids, texts, given = [], [], False
+    """The items in blocks of ``size`` items or BLOCK_BYTES at most (a longer item stands alone); at least one, maybe empty."""
+    ids, texts, given, held = [], [], False, 0
     for row in benchmark.select("item_id", raw("text").alias("text")).orderBy("item_id", "text").toLocalIterator():
+        if ids and (len(ids) == size or held + len(row.text) > BLOCK_BYTES):
+            yield Block(ids, texts, width)
+            ids, texts, given, held = [], [], True, 0
         ids.append(row.item_id)
         texts.append(bytes(row.text))
-        if len(ids) == size:
-            yield Block(ids, texts, width)
-            ids, texts, given = [], [], True
+        held += len(row.text)
     if ids or not given:
         yield Block(ids, texts, width)
 

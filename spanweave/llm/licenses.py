@@ -6,11 +6,14 @@ anchors are aligned in the same way, down to common beginnings and ends. The
 share of the notice's words that find a place is its coverage.
 
 Where to align is found first, over the whole text: a place needs at least
-``least`` of the notice's words (with repeats) within one and a half times its
-length. Places that need not be aligned can't reach the coverage asked for.
-Of overlapping finds the one with more aligned words stands.
-
-Defined cases: null and empty texts hold no license; null or repeated doc_ids
+``least`` of the notice's words, each as often as the notice has it, within
+``spread`` times its length (half of that for notices below SHORT words, whose
+words come together by chance), so that insertions up to twice a notice's
+length are bridged. Places that need not be aligned can't reach the coverage
+asked for. Of overlapping finds the one with more aligned words stands.
+
+Defined cases: null and empty texts hold no license; a very long text is read
+whole, in time that grows with the places that may hold a notice; null or repeated doc_ids
 and equal rows are scanned like any other; other columns are ignored; an empty
 table gives an empty result.
 """
@@ -41,6 +44,15 @@ NOTICES = (
     ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("cc0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("cc0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("eupl-1.2", "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission subsequent versions of the EUPL (the \"Licence\"); You may not use this work except in compliance with the Licence."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -53,6 +65,7 @@ NOTICES = (
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
+SHORT = 20
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
@@ -109,8 +122,8 @@ def align(text: list[int], notice: list[int]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, notices: tuple[tuple[str, str], ...], least: float):
-        self.least, self.names = least, [n for n, _ in notices]
+    def __init__(self, notices: tuple[tuple[str, str], ...], least: float, spread: float = 3.0):
+        self.least, self.spread, self.names = least, spread, [n for n, _ in notices]
         hashes, owner = _words(*flat(pa.array([t.encode() for _, t in notices], pa.binary())))
         self.notices = [hashes[owner == k] for k in range(len(notices))]
         self.known = np.unique(hashes)
@@ -139,13 +152,17 @@ class Scanner:
     def _places(self, words: np.ndarray, k: int) -> Iterator[tuple]:
         notice = self.notices[k]
         size = len(notice)
-        need, width = math.ceil(self.least * size), size + size // 2 + 2
+        need, width = math.ceil(self.least * size), int(size * (self.spread if size >= SHORT else self.spread / 2)) + 2
         at = np.flatnonzero(np.isin(words, self.kinds[k]))
-        count = np.searchsorted(at, at + width) - np.arange(len(at))
+        begins = at[np.searchsorted(at, at + width) - np.arange(len(at)) >= need]
+        # No alignment pairs more of a word than the notice has, or than the place has.
+        most = np.zeros(len(begins), np.int64)
+        for kind, times in zip(*np.unique(notice, return_counts=True), strict=True):
+            mine = at[words[at] == kind]
+            most += np.minimum(times, np.searchsorted(mine, begins + width) - np.searchsorted(mine, begins))
         free = 0
         own = notice.tolist()
-        for i in np.flatnonzero(count >= need).tolist():
-            start = int(at[i])
+        for start in begins[most >= need].tolist():
             if start < free:
                 continue
             pairs = align(words[start : start + width].tolist(), own)
@@ -167,9 +184,9 @@ FOUND = "array<struct<license:string,coverage:double,first_word:long,last_word:l
 FOUND_ARROW = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
 
 
-def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, least: float = 0.85) -> DataFrame:
+def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, least: float = 0.85, spread: float = 3.0) -> DataFrame:
     """doc_id and the licenses found, with coverage and place (numbers of words), for every document."""
-    scanner = Scanner(notices, least)
+    scanner = Scanner(notices, least, spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

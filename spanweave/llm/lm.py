@@ -373,8 +373,8 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     texts = docs.select("doc_id", held.alias("held_out"), raw("text").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    buckets = min(4096, max(16, blocks))
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64(keyed("doc_id"), F.octet_length("text")), F.lit(blocks)))
+    buckets = max(16, blocks)
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64(keyed("doc_id"), "text"), F.lit(blocks)))
     asked = cut(dealt.groupBy("block").applyInArrow(_ask(depth, buckets), ASKED))
     by_bucket = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     sums = cut(by_bucket.mapInArrow(_add_up(depth), SUMMED))

@@ -14,8 +14,8 @@ The last fraction of a source goes to the nearer whole number, so its words
 miss the target by half a document at most.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a
-source of its own, ranked last; a null doc_id is kept and draws as one id;
-equal rows are separate documents; an empty table gives an empty result;
+source of its own, ranked last; null and repeated doc_ids are told apart by
+their texts; equal rows are separate documents that draw alike; an empty table gives an empty result;
 further columns of the input are ignored. If all texts are empty, nothing is
 taken and every target is 0.
 """
@@ -33,9 +33,9 @@ NEAR = 1e-12
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of each document."""
+    """doc_id, source, size in words and a hash of the text of each document."""
     count = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), count.cast("long").alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), count.cast("long").alias("size"), F.xxhash64("text").alias("mark"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -115,15 +115,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     )
     done = items.where("p = 0")
     pending = items.where("p > 0")
-    columns = ["doc_id", "source", "size", "source_size", "documents", "target", "whole", "p"]
+    columns = ["doc_id", "source", "size", "mark", "source_size", "documents", "target", "whole", "p"]
     parts = [done.select(columns)]
     expected, level = largest, 0
     while expected:
         chunks = F.greatest(F.lit(1), F.ceil(F.col("documents") / F.lit(float(FAN_IN) ** (level + 1)))).cast("long")
         dealt = pending.select(
             F.coalesce("source", F.lit("\x00null")).alias("k"),
-            F.pmod(F.xxhash64(keyed("doc_id"), F.col("size"), F.lit(seed), F.lit(level)), chunks).alias("chunk"),
-            F.struct(F.col("size").alias("order"), unit(keyed("doc_id"), F.col("size"), F.lit(seed), F.lit(~level)).alias("u"), *columns).alias("item"),
+            F.pmod(F.xxhash64(keyed("doc_id"), F.col("mark"), F.lit(seed), F.lit(level)), chunks).alias("chunk"),
+            F.struct(F.col("size").alias("order"), unit(keyed("doc_id"), F.col("mark"), F.lit(seed), F.lit(~level)).alias("u"), *columns).alias("item"),
         )
         kind = dealt.schema["item"].dataType.simpleString()
         folded = dealt.groupBy("k", "chunk").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))

@@ -153,8 +153,12 @@ def _graded(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights, thresholds and the least P(grade >= 2) of what is selected."""
-    chosen = _graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", raw("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    graded = _graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), raw("text").alias("text"))
+    # One row of each text of these ids, and no more than ``sample`` of them: ids may be repeated.
+    rated = marked.select("doc_id", "mark").join(F.broadcast(graded), "doc_id").distinct()
+    chosen = rated.orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark").limit(sample)
+    rows = marked.join(F.broadcast(chosen), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,11 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.
                 owner, bucket = features(*flat(part.column("text")))
                 ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade").cast(pa.int32()), lists], ["doc_id", "grade", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), part.column("grade").cast(pa.int32()), lists], ["doc_id", "mark", "grade", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(gather, f"doc_id {kind}, grade int, buckets array<int>").toArrow().combine_chunks()
-    found = found.take(pc.sort_indices(found.column("doc_id")))
+    found = rows.mapInArrow(gather, f"doc_id {kind}, mark long, grade int, buckets array<int>").toArrow().combine_chunks()
+    found = found.take(pc.sort_indices(found, [("doc_id", "ascending"), ("mark", "ascending")]))
     grade = found.column("grade").to_numpy().astype(np.int64)
     lists = found.column("buckets").combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
     bucket = lists.flatten().to_numpy().astype(np.int32)

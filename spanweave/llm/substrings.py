@@ -17,10 +17,12 @@ bringing their text together:
 
 All exchanges go by bucket of key, with one row for each batch and bucket or
 block and bucket, and count blocks, not occurrences: a passage in a third of
-all texts costs each block as much as any other. Fingerprints have 64 bits.
+all texts costs each block as much as any other. Rows exchanged are at most
+blocks times buckets and at most one for each key. Fingerprints have 64 bits.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose
-nothing; null or repeated doc_ids and equal rows are separate texts (equal
+nothing; a text longer than a block is in one block with others, which one task
+holds; null or repeated doc_ids and equal rows are separate texts (equal
 texts of ``length`` bytes and more lose everything); other columns are ignored
 or, in ``clean``, kept; an empty table gives an empty result.
 """
@@ -405,8 +407,8 @@ def _run(docs: DataFrame, length: int, want_text: bool, block_bytes: int) -> Dat
     source = docs.select(*[F.col(f"`{c}`") for c in names], raw("text").alias("bytes"))
     size = source.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    buckets = min(1 << 12, max(8, -(-size // BUCKET_BYTES)))
-    block = F.pmod(F.xxhash64(keyed("doc_id"), F.octet_length("bytes")), F.lit(blocks))
+    buckets = max(8, -(-size // BUCKET_BYTES))
+    block = F.pmod(F.xxhash64(keyed("doc_id"), "bytes"), F.lit(blocks))
     dealt = source.withColumn("block", block)
     asked = dealt.select(F.col("bytes").alias("text"), "block").mapInArrow(_ask(length, buckets), ASKED)
     answers = asked.groupBy("kind", "bucket").applyInArrow(_meet, ANSWERED)

@@ -1,7 +1,7 @@
 """URL filters: list rules first, then a ratio of two character models.
 
-URLs that a rule decides are labelled; a bounded sample of them (``sample`` of
-each class, those of least hash) fits one variable-order Markov model for
+URLs that a rule decides are labelled; a bounded sample of them (``sample``
+different ones of each class, those of least hash) fits one variable-order Markov model for
 accepted and one for rejected URLs. Each model interpolates orders 0 to
 ``order`` by Witten-Bell smoothing over bytes and an end symbol. A URL without
 a rule is scored by (log P_accepted - log P_rejected) / symbols and allowed
@@ -11,7 +11,8 @@ of the sample that the models have not seen.
 Defined cases: a null URL or one without ``://`` has an empty host and path,
 fits no rule and is scored as the text it is (null: empty); if only one class
 has labelled URLs, its verdict goes to every URL without a rule; if none has,
-all are allowed. Repeated rows are judged alike; other columns are ignored; an
+all are allowed. Of URLs that score alike, all get one verdict. Very long URLs
+are scored whole. Repeated rows are judged alike; other columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -128,7 +129,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, order: i
     ruled = pages.select("page_id", "url", "host", "path", name.alias("rule"), said.alias("said"))
     labelled = {}
     for verdict in ("allow", "block"):
-        rows = ruled.where((F.col("said") == verdict) & F.col("url").isNotNull()).select("url").orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+        rows = ruled.where((F.col("said") == verdict) & F.col("url").isNotNull()).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(sample).collect()
         labelled[verdict] = [r.url.encode() for r in rows]
     models, cut_at, only = None, 0.0, "allow"
     if labelled["allow"] and labelled["block"]:

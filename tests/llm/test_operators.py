@@ -244,6 +244,25 @@ def test_decontaminate_insertions(n):
     assert not found_items(["x " * 14], "x " * 10)
 
 
+def test_decontaminate_verbatim_against_brute_force(spark, documents):
+    """Every document that holds an item word for word is found, others of random words are not."""
+    rng = random.Random(11)
+    items = [(k, prose(rng, rng.randrange(13, 30))) for k in range(20)]
+    items += [(50, "What is 3 + 4 * 12 - 7 / 2 + 19 - 44 + 8 ?"), (51, "Compute 12 kg plus 30 kg minus 4 kg times 2 m over 9 s")]
+    rows = []
+    for k in range(80):
+        parts = [prose(rng, rng.randrange(0, 60))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            parts += [rng.choice(items)[1], prose(rng, rng.randrange(1, 60))]
+        rows.append((k, " ".join(parts)))
+    want = {(i, k) for i, t in rows for k, item in items if f" {item} " in f" {t} "}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (7, 1000):
+        found = decontaminate.judge(documents(rows), bench, block=block).collect()
+        assert {(r.doc_id, k) for r in found for k in r.item_ids} == want
+        assert all(r.contaminated == any(i == r.doc_id for i, _ in want) for r in found)
+
+
 # --- urls --------------------------------------------------------------------
 
 
@@ -259,6 +278,37 @@ def test_url_rules(spark):
     assert urls.judge(df.where("page_id = 5")).first().verdict == "allow"
 
 
+def test_url_model_against_brute_force():
+    """Witten-Bell interpolation of orders 0 to 3, by dictionaries."""
+    rng = random.Random(1)
+    train, asked = ([prose(rng, 2).replace(" ", "/").encode() for _ in range(n)] for n in (40, 15))
+    model = urls.fit(train, 3)
+    counts = collections.defaultdict(collections.Counter)
+    symbols = lambda u: [*u, urls.END]
+    for u in train:
+        s = [urls.END] * 3 + symbols(u)
+        for k in range(3, len(s)):
+            for d in range(4):
+                counts[d, tuple(s[k - d : k])][s[k]] += 1
+    for u, got in zip(asked, urls.log_likelihood(model, asked)[0], strict=True):
+        s, total = [urls.END] * 3 + symbols(u), 0.0
+        for k in range(3, len(s)):
+            p = 1 / urls.SYMBOLS
+            for d in range(4):
+                seen = counts.get((d, tuple(s[k - d : k])))
+                if seen:
+                    p = (seen[s[k]] + len(seen) * p) / (sum(seen.values()) + len(seen))
+            total += math.log(p)
+        assert got == pytest.approx(total, rel=1e-9)
+
+
+def test_url_sample_is_distinct(spark):
+    """One URL that comes many times is one of the sample."""
+    rows = [(k, f"http://a.com/{k % 30}") for k in range(30)] + [(100 + k, "http://b.net/es/x") for k in range(500)] + [(900, "http://c.net/es/y"), (901, "http://z.org/es/q")]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), sample=20).collect()}
+    assert got[0] == "allow" and got[100] == got[900] == "block" and len(got) == 532
+
+
 def test_url_model_learns():
     rng = random.Random(0)
     good = [f"http://a.com/news/{prose(rng, 1)}".encode() for _ in range(300)]
@@ -430,6 +480,20 @@ def test_quality(spark, documents, clashing):
     assert quality.score(docs.where("false"), lab).count() == 0
 
 
+def test_quality_of_repeated_ids(spark, documents):
+    """Ids that come very often with equal or other texts keep the fitting sample within its bound."""
+    rows = [(1, "good text here")] * 300 + [(1, f"other text {k}") for k in range(300)] + [(2, "bad words there"), (None, "x")]
+    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    sizes_ = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda owner, bucket, grade: (sizes_.append(len(grade)), fit(owner, bucket, grade))[1]
+        assert quality.score(documents(rows), lab, sample=50).count() == len(rows)
+    finally:
+        quality.fit = fit
+    assert max(sizes_) <= 50
+
+
 # --- licenses ----------------------------------------------------------------
 
 
@@ -452,6 +516,34 @@ def test_licenses(documents, clashing):
     assert licenses.scan(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("gap", [5, 60, 120])
+def test_license_with_insertions(gap):
+    """Every complete notice is found, wherever words are put into it."""
+    scanner = licenses.Scanner(licenses.NOTICES, 0.85)
+    rng = random.Random(gap)
+    for name, text in licenses.NOTICES:
+        words = text.split()
+        if len(words) < 60 and gap > len(words) or len(words) < licenses.SHORT:
+            continue
+        k = rng.randrange(1, len(words))
+        given = " ".join(["before"] * 9 + words[:k] + prose(rng, gap).split() + words[k:] + ["after"] * 9)
+        found = scanner.scan(*kernels.flat(pa.array([given.encode()], pa.binary())))[0]
+        assert name in [f[0] for f in found], (name, k)
+
+
+def test_license_coverage_is_brute_force_at_most():
+    """Patience pairs no more words than the longest common subsequence, and all words of an exact copy."""
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = [rng.choices(range(12), k=rng.randrange(1, 25)) for _ in range(2)]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        pairs = licenses.align(a, b)
+        assert len(pairs) <= best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(x < y and u < v for (x, u), (y, v) in itertools.pairwise(pairs)) and len(licenses.align(a, a)) == len(a)
+
+
 # --- pages -------------------------------------------------------------------
 
 
