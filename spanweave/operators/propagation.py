@@ -20,17 +20,31 @@ def attenuation(effects: DataFrame) -> DataFrame:
     return per.select("entity", ((1 - F.coalesce("r", F.lit(0.0))) * (1 - F.coalesce("g", F.lit(0.0)))).alias("keep"))
 
 
-def propagate(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None, least: float = 0.01, hops: int = 32, delay_seconds: float = 0.0, variant: list[str] | None = None) -> DataFrame:
+MOST_DELAY = 10 * 366 * 86400.0
+
+
+def edge_delay(latency: Column, delay: Column, travel_time: Column, default: float = 0.0, most: float = MOST_DELAY) -> Column:
+    """Seconds that an edge takes: the first of its attributes that is there, else the default; an error outside of 0 .. ``most``."""
+    first = F.coalesce(latency, delay, travel_time, F.lit(default)).cast("double")
+    return F.when((first >= 0) & (first <= most), first).otherwise(F.raise_error(F.lit("a delay is outside of its bounds")).cast("double"))
+
+
+def propagate(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None, least: float = 0.01, hops: int = 32, delay_seconds: float = 0.0, variant: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
     """Signals: shock_id, entity, impairment, depth, effective_at, path.
 
-    ``edges`` has src, dst, factor, valid_from, valid_to; ``keep`` scales the
+    ``edges`` has src, dst, factor, valid_from, valid_to, and may have delay
+    (seconds, see ``edge_delay``; else ``delay_seconds`` holds for all) and
+    kind, of which ``kinds`` are allowed (None: all). ``keep`` scales the
     impairment on arrival at an entity, at the source too. ``variant`` columns
     of shocks (and keep) are carried along, so several worlds run as one plan.
     """
     variant = variant or []
-    edges = cut(edges.select("src", "dst", "factor", "valid_from", "valid_to"))  # read once, not once a level
+    if kinds is not None:
+        edges = edges.where(F.col("kind").isin(kinds))
+    delay = F.col("delay") if "delay" in edges.columns else F.lit(delay_seconds)
+    edges = cut(edges.select("src", "dst", "factor", "valid_from", "valid_to", F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait")))  # read once, not once a level
     keep = None if keep is None else cut(keep)
-    wait = F.make_dt_interval(secs=F.lit(delay_seconds).cast("decimal(18,6)"))
+    wait = F.col("wait")
 
     def damp(df: DataFrame) -> DataFrame:
         if keep is None:
@@ -86,6 +100,16 @@ def continuity(points: DataFrame, threshold: float, baseline: float = 1.0) -> Da
     )
 
 
+def recovery_points(initial: Column, target: float, hours: float, rate_per_hour: float | None = None, steps: int = 8) -> Column:
+    """Array of (hour, capacity): linear from initial to target, or exponential towards it by a rate."""
+    def point(i: Column) -> Column:
+        share = i / F.lit(float(steps))
+        rest = 1 - share if rate_per_hour is None else F.exp(-F.lit(rate_per_hour) * share * hours)
+        return F.struct((share * hours).alias("hour"), (F.lit(target) - (F.lit(target) - initial) * rest).alias("capacity"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(steps)), point)
+
+
 def change(before: Column, after: Column) -> Column:
     """Relative change: 0/0 is 0, and anything else over 0 is infinite."""
     return F.when((before == 0) & (after == 0), 0.0).when(before == 0, F.lit(float("inf"))).otherwise((after - before) / before)

@@ -19,7 +19,7 @@ E2 = FLATTENING * (2 - FLATTENING)
 def central_angle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))  # null where a coordinate is
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -44,6 +44,33 @@ def ecef(lat: Column, lon: Column, height: Column) -> tuple[Column, Column, Colu
     return (n + height) * F.cos(p) * F.cos(q), (n + height) * F.cos(p) * F.sin(q), (n * (1 - E2) + height) * F.sin(p)
 
 
+def from_ecef(x: Column, y: Column, z: Column, rounds: int = 4) -> tuple[Column, Column, Column]:
+    """Latitude, longitude and height; the latitude by fixed-point rounds, which gain two digits each."""
+    p = F.sqrt(x * x + y * y)
+    lat = F.atan2(z, p * (1 - E2))
+    for _ in range(rounds):
+        n = A / F.sqrt(1 - E2 * F.pow(F.sin(lat), 2))
+        lat = F.atan2(z + E2 * n * F.sin(lat), p)
+    n = A / F.sqrt(1 - E2 * F.pow(F.sin(lat), 2))
+    height = F.when(p > 1.0, p / F.cos(lat) - n).otherwise(F.abs(z) - A * math.sqrt(1 - E2))
+    return F.degrees(lat), F.degrees(F.atan2(y, x)), height
+
+
+def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Initial bearing on the sphere, degrees from north, 0 to 360."""
+    p, q, dl = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
+    east, north = F.sin(dl) * F.cos(q), F.cos(p) * F.sin(q) - F.sin(p) * F.cos(q) * F.cos(dl)
+    return F.pmod(F.degrees(F.atan2(east, north)) + 360, F.lit(360.0))
+
+
+def destination(lat: Column, lon: Column, bearing_deg: Column, km: Column) -> tuple[Column, Column]:
+    """The point that lies ``km`` from a point on a bearing, on the sphere."""
+    p, b, d = F.radians(lat), F.radians(bearing_deg), km / RADIUS_KM
+    to = F.asin(F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(b))
+    dl = F.atan2(F.sin(b) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * F.sin(to))
+    return F.degrees(to), normalize_longitude(lon + F.degrees(dl))
+
+
 def cells(df: DataFrame, size: float, prefix: str = "") -> DataFrame:
     return df.withColumns({f"{prefix}cx": F.floor((F.col(f"{prefix}lon") + 180) / size), f"{prefix}cy": F.floor((F.col(f"{prefix}lat") + 90) / size)})
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def ordered_values(points: DataFrame, key: str = "key") -> DataFrame:
     """key, values: each key's values in order of time and sequence."""
@@ -55,11 +57,28 @@ def holt(points: DataFrame, steps: int = 1, alpha: float = 0.35, beta: float = 0
     return points.groupBy("key").applyInPandas(run, f"key {kind}, forecast double, scale double")
 
 
+def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, _n rows of this value, _before rows of lesser values and _all rows of the group.
+
+    Distinct values are dealt by range; running sums are taken within a range
+    and moved by the sums of the ranges before, so no task holds a group.
+    """
+    ranged = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(*by, value)
+    ranged = cut(ranged.withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_of"))
+    w = Window.partitionBy(*by)
+    ahead = F.coalesce(F.sum("_of").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.struct(*by, "_range").alias("_key"), ahead.alias("_ahead"), F.sum("_of").over(w).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy(value)) - F.col("_n")
+    rows = ranged.withColumn("_inside", inside).withColumn("_mine", F.struct(*by, "_range"))
+    both = rows.join(sums, F.col("_mine").eqNullSafe(F.col("_key")))
+    return both.select(*by, value, "_n", (F.col("_inside") + F.col("_ahead")).alias("_before"), "_all")
+
+
 def rank_value(df: DataFrame, by: list[str], value: str, rank: Column, name: str) -> DataFrame:
     """The value at a 1-based rank within each group (no interpolation)."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_n", F.row_number().over(w.orderBy(value))).withColumn("_all", F.count("*").over(w))
-    return rows.withColumn("_rank", F.greatest(F.lit(1), F.least(F.col("_all"), rank))).where("_n = _rank").select(*by, F.col(value).alias(name))
+    rows = _counted(df, by, value).withColumn("_rank", F.greatest(F.lit(1), F.least(F.col("_all"), rank)))
+    return rows.where("_before < _rank and _rank <= _before + _n").select(*by, F.col(value).alias(name))
 
 
 def conformal_rank(alpha: float) -> Column:
@@ -68,14 +87,15 @@ def conformal_rank(alpha: float) -> Column:
 
 def worst_mean(df: DataFrame, by: list[str], value: str, alpha: float) -> DataFrame:
     """Mean of the worst ceil((1 - alpha) n) values."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_n", F.row_number().over(w.orderBy(value))).withColumn("_all", F.count("*").over(w))
-    return rows.where(F.col("_n") <= F.greatest(F.lit(1), F.floor(F.col("_all") * (1 - alpha) + 0.999999))).groupBy(*by).agg(F.avg(value).alias("cvar"), F.min(value).alias("floor"))
+    worst = F.greatest(F.lit(1), F.floor(F.col("_all") * (1 - alpha) + 0.999999))
+    rows = _counted(df, by, value).withColumn("_n", F.least(F.col("_n"), worst - F.col("_before"))).where("_n > 0")
+    return rows.groupBy(*by).agg((F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("cvar"), F.min(value).alias("floor"))
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    """``df`` with the average rank of each value in its group."""
+    ranks = _counted(df, by, value).select(F.struct(*by, value).alias("_key"), (F.col("_before") + 1 + (F.col("_n") - 1) / 2).alias(name))
+    return df.withColumn("_mine", F.struct(*by, value)).join(ranks, F.col("_mine").eqNullSafe(F.col("_key"))).drop("_mine", "_key")
 
 
 def pearson(x: str, y: str) -> Column:

@@ -60,16 +60,24 @@ def interval_join(left: DataFrame, right: DataFrame, width_days: int, on: list[s
     """Pairs of rows (id, s, e) with a common instant, with their intersection.
 
     Both sides are dealt to the buckets of time that they touch and joined on
-    them; a pair counts in the first bucket both are in, so it comes up once.
+    them; a pair counts in the first bucket both are in, so it comes up once. A
+    null bound is open: it is dealt as far as bounds go on either side, which
+    one small aggregate tells, and is null in the intersection if open in both.
     """
+    edges = left.select("s", "e").unionByName(right.select("s", "e")).agg(F.least(F.min("s"), F.min("e")), F.greatest(F.max("s"), F.max("e"))).first()
+    kind = left.schema["s"].dataType
+    low, high = (F.lit(x).cast(kind) if x is not None else F.lit("2000-01-01").cast(kind) for x in edges)
+    low, high = low - F.expr("interval 1 day"), high + F.expr("interval 1 day")
+
     def dealt(df: DataFrame, tag: str) -> DataFrame:
         day = lambda c: F.floor(F.unix_date(F.to_date(c)) / width_days)
-        last = day(F.col("e") - F.expr("interval 1 microsecond"))
-        return df.select(*(on or []), *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in (on or [])], day(F.col("s")).alias(f"{tag}_b"), F.explode(F.sequence(day(F.col("s")), F.greatest(day(F.col("s")), last))).alias("_bucket"))
+        start, end = F.coalesce("s", low), F.coalesce("e", high)
+        last = day(end - F.expr("interval 1 microsecond"))
+        return df.select(*(on or []), *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in (on or [])], start.alias(f"{tag}_from"), end.alias(f"{tag}_to"), day(start).alias(f"{tag}_b"), F.explode(F.sequence(day(start), F.greatest(day(start), last))).alias("_bucket"))
 
     both = dealt(left, "l").join(dealt(right, "r"), [*(on or []), "_bucket"])
-    hit = (F.col("l_s") < F.col("r_e")) & (F.col("r_s") < F.col("l_e")) & (F.col("_bucket") == F.greatest("l_b", "r_b"))
-    return both.where(hit).drop("_bucket", "l_b", "r_b").withColumns({"s": F.greatest("l_s", "r_s"), "e": F.least("l_e", "r_e")})
+    hit = (F.col("l_from") < F.col("r_to")) & (F.col("r_from") < F.col("l_to")) & (F.col("_bucket") == F.greatest("l_b", "r_b"))
+    return both.where(hit).drop("_bucket", "l_b", "r_b", "l_from", "r_from", "l_to", "r_to").withColumns({"s": F.greatest("l_s", "r_s"), "e": F.least("l_e", "r_e")})
 
 
 def allen(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of spark.checkpoint.dir; a folder is made only where none is set."""
-    context = df.sparkSession.sparkContext
+def checkpoints(spark: SparkSession) -> str:
+    """The context's checkpoint folder; one of this machine is made only for a local master where none is set."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path beside the checkpoints, which all executors share."""
+    return f"{checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder of spark.checkpoint.dir."""
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)

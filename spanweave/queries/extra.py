@@ -144,7 +144,7 @@ def a26_portfolio_capacity(s, d):
 
 
 def a27_unique_sorted(s, d):
-    return v.table(s, d, "lineitem").groupBy("l_returnflag").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("l_linenumber"))).cast("array<string>"), ",").alias("lines"))
+    return v.table(s, d, "lineitem").select("l_returnflag", "l_linenumber").distinct().groupBy("l_returnflag").agg(F.array_join(F.array_sort(F.collect_list("l_linenumber")).cast("array<string>"), ",").alias("lines"))
 
 
 def j06_edge_length(s, d):

@@ -92,7 +92,7 @@ def sp20_longitudes(s, d):
 def w10_polyline(s, d):
     w = Window.partitionBy("label").orderBy("id")
     seg = v.points(s, d).select("label", "lat", "lon", F.lag("lat").over(w).alias("a"), F.lag("lon").over(w).alias("b"))
-    return seg.groupBy("label").agg(F.round(F.sum(sp.haversine_km(F.col("a"), F.col("b"), F.col("lat"), F.col("lon"))), 2).alias("km"))
+    return seg.groupBy("label").agg(F.round(F.coalesce(F.sum(sp.haversine_km(F.col("a"), F.col("b"), F.col("lat"), F.col("lon"))), F.lit(0.0)), 2).alias("km"))
 
 
 R = sp.RADIUS_KM
@@ -119,5 +119,5 @@ QUERIES = {
     "sp16_mercator": (sp16_mercator, v.oracle(f"SELECT id, round({sp.A}*radians(lon),3) AS x, round({sp.A}*ln(tan(pi()/4+radians(greatest(-85.06::DOUBLE,least(85.06::DOUBLE,lat)))/2)),3) AS y FROM points", P)),
     "sp17_geojson": (sp17_geojson, v.oracle("""SELECT id, '{"type":"Feature","id":'||id||',"label":'||label||'}' AS feature, 'Feature' AS kind FROM points""", P)),
     "sp20_longitudes": (sp20_longitudes, v.oracle("SELECT id, round(CASE WHEN r=-180 AND x>0 THEN 180 ELSE r END,6)::DOUBLE AS lon, round(x-360*floor(x/360),6) AS azimuth FROM (SELECT id, lon*3 AS x, (lon*3+180)-360*floor((lon*3+180)/360)-180 AS r FROM points)", P)),
-    "w10_polyline": (w10_polyline, v.oracle(f"SELECT label, round(sum({R}*{_hav('a','b','lat','lon')}),2) AS km FROM (SELECT label, lat, lon, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM points WINDOW w AS (PARTITION BY label ORDER BY id)) GROUP BY label", P)),
+    "w10_polyline": (w10_polyline, v.oracle(f"SELECT label, round(coalesce(sum({R}*{_hav('a','b','lat','lon')}) FILTER (WHERE a IS NOT NULL),0),2) AS km FROM (SELECT label, lat, lon, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM points WINDOW w AS (PARTITION BY label ORDER BY id)) GROUP BY label", P)),
 }

@@ -66,3 +66,28 @@ def merge_rows(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def as_markdown(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |")).alias("line"))
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Rows as Parquet, in place of what lies there; Spark commits the files of a job together."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def save_snapshot(rows: DataFrame, path: str, snapshot_id: str) -> None:
+    """Rows as one snapshot of a store of snapshots; a snapshot saved again is replaced as a whole."""
+    rows.write.mode("overwrite").parquet(f"{path}/snapshot_id={snapshot_id}")
+
+
+def load_snapshot(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/snapshot_id={snapshot_id}")
+
+
+def arrow_tables(vertices: DataFrame, edges: DataFrame, most: int = 1_000_000) -> dict:
+    """A graph as two Arrow tables on the driver; an error if either has over ``most`` rows."""
+    out = {}
+    for name, df in (("vertices", vertices), ("relationships", edges)):
+        table = df.limit(most + 1).toArrow()
+        if table.num_rows > most:
+            raise ValueError(f"{name} are too many for one Arrow table")
+        out[name] = table
+    return out

@@ -225,3 +225,56 @@ def test_pipeline_order_and_retry():
         wf.Pipeline([wf.Task("a", flaky, ("b",)), wf.Task("b", flaky, ("a",))])
     s = wf.Schedule(datetime(2026, 1, 1), timedelta(hours=1))
     assert len(list(s.due(datetime(2026, 1, 1, 2)))) == 3 and not list(s.due(datetime(2026, 1, 1, 2)))
+
+
+def test_interval_join_open_bounds(spark):
+    """A null bound is open: three intervals that overlap pairwise give three pairs, and open ends stay open."""
+    from spanweave.operators import temporal
+
+    rows = [(1, None, "1998-01-05"), (2, "1998-01-01", None), (3, None, None), (4, "1999-01-01", "1999-02-01")]
+    df = spark.createDataFrame(rows, "id long, s string, e string").selectExpr("id", "cast(s as timestamp_ntz) s", "cast(e as timestamp_ntz) e")
+    got = {(r.l_id, r.r_id): (r.s and str(r.s)[:10], r.e and str(r.e)[:10]) for r in temporal.interval_join(df, df, 30).where("l_id < r_id").collect()}
+    assert got == {(1, 2): ("1998-01-01", "1998-01-05"), (1, 3): (None, "1998-01-05"), (2, 3): ("1998-01-01", None), (2, 4): ("1999-01-01", "1999-02-01"), (3, 4): ("1999-01-01", "1999-02-01")}
+
+
+def test_propagation_by_edge_delay_and_kind(spark):
+    from pyspark.sql import functions as F
+
+    from spanweave.operators import propagation
+
+    edges = spark.createDataFrame([("a", "b", 0.5, "x", 3600.0), ("b", "c", 0.5, "x", 60.0), ("a", "d", 0.9, "y", 0.0)], "src string, dst string, factor double, kind string, delay double")
+    edges = edges.withColumns({"valid_from": F.lit(None).cast("timestamp_ntz"), "valid_to": F.lit(None).cast("timestamp_ntz")})
+    shocks = spark.createDataFrame([("s", "a", 1.0)], "shock_id string, source string, severity double").withColumn("starts_at", F.lit("1998-01-01").cast("timestamp_ntz"))
+    got = {r.entity: (r.impairment, str(r.effective_at)) for r in propagation.propagate(edges, shocks, kinds=["x"]).collect()}
+    assert got == {"a": (1.0, "1998-01-01 00:00:00"), "b": (0.5, "1998-01-01 01:00:00"), "c": (0.25, "1998-01-01 01:01:00")}
+
+
+def test_ranks_by_counted_values(spark):
+    """Ranks, worst means and average ranks over counted values against sorting each group."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from spanweave.operators import stats
+
+    rng = random.Random(6)
+    rows = [(g, float(rng.randrange(20))) for g in ("a", "b", "c") for _ in range(rng.randrange(1, 200))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    groups = {g: sorted(x for h, x in rows if h == g) for g in "abc"}
+    got = dict(stats.rank_value(df, ["g"], "x", F.ceil(F.col("_all") * 0.3), "m").collect())
+    assert got == {g: v[max(1, -(-len(v) * 3 // 10)) - 1] for g, v in groups.items()}
+    for g, cvar, floor in stats.worst_mean(df, ["g"], "x", 0.9).collect():
+        k = max(1, int(len(groups[g]) * (1 - 0.9) + 0.999999))
+        assert abs(cvar - sum(groups[g][:k]) / k) < 1e-9 and floor == groups[g][0]
+    for g, x, r in stats.average_ranks(df, ["g"], "x", "r").collect():
+        at = [i + 1 for i, y in enumerate(groups[g]) if y == x]
+        assert r == sum(at) / len(at)
+
+
+def test_distance_of_unknown_points(spark):
+    from pyspark.sql import functions as F
+
+    from spanweave.operators import spatial
+
+    row = spark.range(1).select(spatial.haversine_km(F.lit(None).cast("double"), F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("a"), spatial.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("b")).first()
+    assert row.a is None and abs(row.b - 20015.1144) < 0.01
