@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import economics, evidence, extra, graph, impact, more, sinks, spatial, stats, temporal
+from .queries import contracts, economics, evidence, extra, graph, impact, more, sinks, spatial, stats, temporal
 
 FLAGSHIP = "p01_propagate"
-MODULES = (temporal, graph, impact, stats, economics, spatial, evidence, more, extra, sinks)
+MODULES = (temporal, graph, impact, stats, economics, spatial, evidence, more, extra, sinks, contracts)
 
 
 def queries() -> dict:

@@ -80,5 +80,19 @@ def secret_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", (F.col("pos") + 1).alias("line"), rule.alias("rule"), redacted.alias("text")).where("rule is not null")
 
 
+# Fixed value: the names that a credential is assigned to.
+CREDENTIAL = r"(?i)\b(api[_-]?key|token|password|secret)\b\s*[:=].*$"
+
+
+def credential_lines(docs: DataFrame, most: int = 240) -> DataFrame:
+    """doc_id, line (from 1), redacted, digest (of the text) of lines that assign a credential.
+
+    The redacted line is its first ``most`` characters with what follows the
+    name left out. Null texts have no lines.
+    """
+    lines = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.posexplode(F.split("text", "\n")).alias("pos", "t")).where(F.col("t").rlike(CREDENTIAL))
+    return lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), F.regexp_replace(F.substring("t", 1, most), CREDENTIAL, "$1=<redacted>").alias("redacted"), "digest")
+
+
 def policy(confidence: Column, has_evidence: Column) -> Column:
     return F.when(~has_evidence, "deny").when(confidence < 0.5, "review").otherwise("allow")

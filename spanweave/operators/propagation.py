@@ -7,9 +7,15 @@ leaves and, with its delay, when it arrives. Signals below ``least`` end.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hash_number
 from ..plans.lineage import cut
 from .temporal import active_at
 
@@ -65,6 +71,61 @@ def propagate(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None
     return every
 
 
+@dataclass(frozen=True)
+class Rules:
+    """The settings of a propagation; ``check`` refuses what is out of bounds, ``digest`` names them."""
+
+    least: float = 0.01
+    hops: int = 32
+    aggregation: str = "max"
+    delay_seconds: float = 0.0
+    most_delay: float = MOST_DELAY
+    least_factor: float = 0.0
+    kinds: tuple[str, ...] | None = None
+
+    def check(self) -> Rules:
+        if not all(map(math.isfinite, (self.least, self.delay_seconds, self.most_delay, self.least_factor))):
+            raise ValueError("settings must be finite")
+        if not (0 < self.least <= 1 and self.hops >= 0 and 0 <= self.delay_seconds <= self.most_delay and 0 <= self.least_factor <= 1):
+            raise ValueError("settings are out of bounds")
+        if self.aggregation not in ("max", "sum_cap", "noisy_or"):
+            raise ValueError("no such aggregation")
+        return self
+
+    def mapping(self) -> dict:
+        return asdict(self.check()) | {"kinds": None if self.kinds is None else list(self.kinds)}
+
+    def digest(self) -> str:
+        return hashlib.sha256(json.dumps(self.mapping(), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    def allows(self, kind: Column) -> Column:
+        return F.lit(True) if self.kinds is None else F.coalesce(kind.isin(*self.kinds), F.lit(False))
+
+    def factor(self, strength: Column, capacity: Column, explicit: Column | None = None) -> Column:
+        """Share of an impairment that an edge passes on, within 0 .. 1; nothing below ``least_factor``."""
+        x = strength * capacity if explicit is None else strength * capacity * F.coalesce(explicit, F.lit(1.0))
+        held = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+        return F.when(held < self.least_factor, 0.0).otherwise(held)
+
+    def run(self, edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+        self.check()
+        return propagate(edges, shocks, keep, self.least, self.hops, self.delay_seconds, kinds=None if self.kinds is None else list(self.kinds))
+
+
+def outcome(signals: DataFrame) -> DataFrame:
+    """One row on a run: status, n, entities, shocks, depth, impairment; no_initial_signal where nothing set out."""
+    return signals.agg(
+        F.when(F.count("*") == 0, "no_initial_signal").otherwise("complete").alias("status"), F.count("*").alias("n"), F.count_distinct("entity").alias("entities"), F.count_distinct("shock_id").alias("shocks"),
+        F.coalesce(F.max("depth"), F.lit(0)).alias("depth"), F.coalesce(F.max("impairment"), F.lit(0.0)).alias("impairment"),
+    )
+
+
+def state_digest(states: DataFrame, by: list[str]) -> DataFrame:
+    """Digest of the states (entity, capacity) of each group, whatever their order: a sum of hashes, hashed, so no task collects them."""
+    one = hash_number(F.col("entity"), F.round(F.col("capacity") * 1000000).cast("long"))
+    return states.groupBy(*by).agg(F.count("*").alias("n"), F.sum(one.cast("decimal(38,0)")).alias("_sum")).withColumn("digest", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("_sum").cast("string")), 256)).drop("_sum")
+
+
 def noisy_or(column: str) -> Column:
     return 1 - F.product(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(column))))
 
@@ -116,11 +177,14 @@ def change(before: Column, after: Column) -> Column:
 
 
 def fold_patches(patches: DataFrame, default: float = 1.0) -> DataFrame:
-    """entity, capacity after patches (entity, seq, op, amount) in order, within 0..1; ops set, add, multiply, min, max."""
+    """entity, capacity after patches (entity, seq, op, amount) in order, within 0..1.
+
+    Ops are set, add, multiply, min, max, and remove, which brings back the default.
+    """
     steps = F.array_sort(F.collect_list(F.struct("seq", "op", "amount")))
 
     def apply(value: Column, p: Column) -> Column:
-        new = F.when(p.op == "set", p.amount).when(p.op == "add", value + p.amount).when(p.op == "multiply", value * p.amount).when(p.op == "min", F.least(value, p.amount)).when(p.op == "max", F.greatest(value, p.amount)).otherwise(value)
+        new = F.when(p.op == "set", p.amount).when(p.op == "remove", F.lit(default)).when(p.op == "add", value + p.amount).when(p.op == "multiply", value * p.amount).when(p.op == "min", F.least(value, p.amount)).when(p.op == "max", F.greatest(value, p.amount)).otherwise(value)
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), new))
 
     return patches.groupBy("entity").agg(steps.alias("steps")).select("entity", F.aggregate("steps", F.lit(default), apply).alias("capacity"))

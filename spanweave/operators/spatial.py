@@ -129,6 +129,42 @@ def in_boxes(points: DataFrame, boxes: DataFrame, size: float = 30.0) -> DataFra
     return cells(points, size).join(dealt, ["cx", "cy"]).where(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))).drop("cx", "cy")
 
 
+def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring, an array of (lat, lon), by the even-odd rule; false for fewer than three corners."""
+    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+    def crossed(a: Column, b: Column) -> Column:
+        return F.when((a.lat > lat) != (b.lat > lat), (lon < (b.lon - a.lon) * (lat - a.lat) / (b.lat - a.lat) + a.lon).cast("int")).otherwise(0)
+
+    return (F.size(ring) >= 3) & (F.aggregate(F.zip_with(ring, after, crossed), F.lit(0), lambda n, x: n + x) % 2 == 1)
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, size: float = 30.0) -> DataFrame:
+    """Pairs of polygons (poly, ring; not across the antimeridian) and the points in them: boxes are joined on grid cells, then rings tested."""
+    bound = lambda pick, f: pick(F.transform("ring", lambda x: x[f]))
+    boxes = polygons.where(F.size("ring") >= 3).select("poly", "ring", bound(F.array_min, "lon").alias("w"), bound(F.array_max, "lon").alias("e"), bound(F.array_min, "lat").alias("s"), bound(F.array_max, "lat").alias("n"))
+    return in_boxes(points, boxes, size).where(in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).drop("ring", "w", "e", "s", "n")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Half up, away from zero, as coordinates are rounded when they are written."""
+    return F.round(x, digits)
+
+
+def point_feature(entity_id: Column, lat: Column, lon: Column, properties: Column, digits: int = 6) -> Column:
+    """A GeoJSON feature of a point, longitude first; the geometry is null where a coordinate is."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(rounded(lon, digits), rounded(lat, digits)).alias("coordinates"))
+    whole = F.struct(F.lit("Feature").alias("type"), entity_id.cast("string").alias("id"), F.when(lat.isNotNull() & lon.isNotNull(), point).alias("geometry"), properties.alias("properties"))
+    return F.to_json(whole, {"ignoreNullFields": "false"})
+
+
+def parse_points(text: Column) -> Column:
+    """Struct (id, lat, lon) of a GeoJSON point feature; null if it is none."""
+    f = F.from_json(text, "type string, id string, geometry struct<type string, coordinates array<double>>")
+    good = (f.type == "Feature") & (f.geometry.type == "Point") & (F.size(f.geometry.coordinates) >= 2)
+    return F.when(good, F.struct(f.id.alias("id"), f.geometry.coordinates[1].alias("lat"), f.geometry.coordinates[0].alias("lon")))
+
+
 def geodesic_m(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
     """Ellipsoidal distance by Vincenty's iteration; points it can't settle (nearly antipodal) get the spherical value."""
     f, b = FLATTENING, A * (1 - FLATTENING)

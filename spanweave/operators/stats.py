@@ -112,3 +112,22 @@ def robust_score(value: Column, median: Column, mad: Column, deviation: Column,
 
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
+
+
+def fuse(records: DataFrame, subject: str) -> DataFrame:
+    """subject, attributes, conflict, confidence, evidence of records (subject, attribute, value, seq, confidence, evidence_id).
+
+    ``conflict`` is the share of attributes with more than one value;
+    ``confidence`` is the mean of the records, less half of it times the
+    conflict; ``evidence`` counts distinct ids.
+    """
+    per = records.groupBy(subject, "attribute").agg((F.max("value") > F.min("value")).alias("differ"))
+    shares = per.groupBy(subject).agg(F.count("attribute").alias("attributes"), F.avg(F.coalesce("differ", F.lit(False)).cast("int")).alias("conflict"))
+    means = records.groupBy(subject).agg(F.avg("confidence").alias("_mean"), F.count_distinct("evidence_id").alias("evidence"))
+    return shares.join(means, subject).withColumn("confidence", F.col("_mean") * (1 - 0.5 * F.col("conflict"))).drop("_mean")
+
+
+def dominance(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, dominance: least value over the mean; 1 where the mean is 0."""
+    m = F.avg(value)
+    return rows.groupBy(*by).agg(F.when(m == 0, 1.0).otherwise(F.min(value) / m).alias("dominance"))

@@ -91,3 +91,19 @@ def arrow_tables(vertices: DataFrame, edges: DataFrame, most: int = 1_000_000) -
             raise ValueError(f"{name} are too many for one Arrow table")
         out[name] = table
     return out
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, nulls included."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def put_objects(contents: DataFrame, path: str) -> None:
+    """Contents (digest, content) as objects of a store, each digest once, in shards by its first digit."""
+    contents.dropDuplicates(["digest"]).withColumn("shard", F.substring("digest", 1, 1)).write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def verify_objects(spark: SparkSession, path: str) -> DataFrame:
+    """digest, intact: whether the SHA-256 of each stored content is its digest; false for null content."""
+    rows = spark.read.schema("digest string, content string, shard string").parquet(path)
+    return rows.select("digest", F.coalesce(F.sha2("content", 256) == F.col("digest"), F.lit(False)).alias("intact"))
