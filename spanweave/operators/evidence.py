@@ -80,6 +80,14 @@ def secret_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", (F.col("pos") + 1).alias("line"), rule.alias("rule"), redacted.alias("text")).where("rule is not null")
 
 
+def by_entity(rows: DataFrame, about: dict[str, str], entity_id: str) -> DataFrame:
+    """Rows about one entity ("kind:key"); ``about`` says which column holds the keys of a kind, so that the filter reaches the scan."""
+    kind, _, key = entity_id.partition(":")
+    if kind not in about:
+        return rows.where(F.lit(False))
+    return rows.where(F.col(about[kind]) == F.lit(key).try_cast(rows.schema[about[kind]].dataType))
+
+
 # Fixed value: the names that a credential is assigned to.
 CREDENTIAL = r"(?i)\b(api[_-]?key|token|password|secret)\b\s*[:=].*$"
 

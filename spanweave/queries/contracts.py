@@ -29,9 +29,8 @@ def f12_all_guards(s, d):
 
 def f13_by_entity(s, d):
     """Lines as evidence on a supplier, a part and an order: those on one entity."""
-    about = F.array(F.concat(F.lit("supplier:"), "l_suppkey"), F.concat(F.lit("part:"), "l_partkey"), F.concat(F.lit("order:"), "l_orderkey"))
-    rows = v.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", about.alias("about"))
-    return rows.where(F.array_contains("about", "supplier:3")).select("l_orderkey", "l_linenumber")
+    about = {"supplier": "l_suppkey", "part": "l_partkey", "order": "l_orderkey"}
+    return ev.by_entity(v.table(s, d, "lineitem"), about, "supplier:3").select("l_orderkey", "l_linenumber")
 
 
 def f13_containing(s, d):

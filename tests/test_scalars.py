@@ -105,3 +105,11 @@ def test_credentials(spark):
     df = spark.createDataFrame([(1, "x\nAPI-key: 1\npasswords = y\nsecret=z " + "w" * 300), (2, None), (3, "")], "doc_id int, text string")
     got = [(r.doc_id, r.line, r.redacted) for r in ev.credential_lines(df).collect()]
     assert got == [(1, 2, "API-key=<redacted>"), (1, 4, "secret=<redacted>")]
+
+
+def test_by_entity(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (None, "x")], "n long, t string")
+    about = {"number": "n", "name": "t"}
+    found = lambda e: [tuple(r) for r in ev.by_entity(df, about, e).collect()]
+    assert found("number:2") == [(2, "y")] and found("name:x") == [(1, "x"), (None, "x")]
+    assert found("number:q") == found("other:1") == found("number") == []
