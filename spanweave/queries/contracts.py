@@ -83,9 +83,10 @@ EXPRESSIONS = ("kg*m/s^2", "m / s", "MW", "kWh/h", "km^2", "kg*q", "m**s", "1/s"
 
 def u01_expressions(s, d):
     """Sizes in units given as expressions, in SI, with their dimension; null where an expression can't be read."""
-    text = F.element_at(F.array(*map(F.lit, EXPRESSIONS)), (F.col("p_partkey") % len(EXPRESSIONS) + 1).cast("int"))
-    unit = sc.parse_units(text)
-    return v.table(s, d, "part").select("p_partkey", F.round(F.col("p_size") * unit.scale, 6).alias("si"), unit.dimension.alias("dimension"))
+    given = s.createDataFrame(list(enumerate(EXPRESSIONS)), "k long, text string")
+    units = given.select("k", sc.parse_units(F.col("text")).alias("unit"))  # each expression is read once, not once a part
+    rows = v.table(s, d, "part").select("p_partkey", "p_size", (F.col("p_partkey") % len(EXPRESSIONS)).alias("k"))
+    return rows.join(F.broadcast(units), "k", "left").select("p_partkey", F.round(F.col("p_size") * F.col("unit.scale"), 6).alias("si"), F.col("unit.dimension").alias("dimension"))
 
 
 def n03_latin(s, d):
