@@ -114,16 +114,24 @@ def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
 
 
-def fuse(records: DataFrame, subject: str) -> DataFrame:
+def fuse(records: DataFrame, subject: str, order: str | None = None) -> DataFrame:
     """subject, attributes, conflict, confidence, evidence of records (subject, attribute, value, seq, confidence, evidence_id).
 
     ``conflict`` is the share of attributes with more than one value;
     ``confidence`` is the mean of the records, less half of it times the
-    conflict; ``evidence`` counts distinct ids.
+    conflict; ``evidence`` counts distinct ids. With ``order`` (a column without
+    ties in a subject) confidences are added one after the other in that order,
+    so that the last digits of the sum do not depend on how rows are dealt; a
+    subject's rows are then sorted by one task, which may spill.
     """
     per = records.groupBy(subject, "attribute").agg((F.max("value") > F.min("value")).alias("differ"))
     shares = per.groupBy(subject).agg(F.count("attribute").alias("attributes"), F.avg(F.coalesce("differ", F.lit(False)).cast("int")).alias("conflict"))
-    means = records.groupBy(subject).agg(F.avg("confidence").alias("_mean"), F.count_distinct("evidence_id").alias("evidence"))
+    mean = F.avg("confidence")
+    if order is not None:
+        so_far = Window.partitionBy(subject).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        records = records.withColumn("_mean", F.sum("confidence").over(so_far) / F.nullif(F.count("confidence").over(so_far), F.lit(0)))
+        mean = F.max_by("_mean", F.struct(order))
+    means = records.groupBy(subject).agg(mean.alias("_mean"), F.count_distinct("evidence_id").alias("evidence"))
     return shares.join(means, subject).withColumn("confidence", F.col("_mean") * (1 - 0.5 * F.col("conflict"))).drop("_mean")
 
 

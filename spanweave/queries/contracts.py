@@ -44,8 +44,8 @@ def f13_by_digest(s, d):
 
 
 def a11_confidence(s, d):
-    rows = v.table(s, d, "events").select(F.col("user_id").alias("subject"), F.col("event_type").alias("attribute"), F.round("value", 0).alias("value"), (F.col("event_id") % 5 / 5).alias("confidence"), F.floor(F.col("event_id") / 3).alias("evidence_id"))
-    return st.fuse(rows, "subject").select("subject", "attributes", F.round("conflict", 6).alias("conflict"), F.round("confidence", 6).alias("confidence"), "evidence")
+    rows = v.table(s, d, "events").select("event_id", F.col("user_id").alias("subject"), F.col("event_type").alias("attribute"), F.round("value", 0).alias("value"), (F.col("event_id") % 5 / 5).alias("confidence"), F.floor(F.col("event_id") / 3).alias("evidence_id"))
+    return st.fuse(rows, "subject", "event_id").select("subject", "attributes", F.round("conflict", 6).alias("conflict"), F.round("confidence", 6).alias("confidence"), "evidence")
 
 
 def a17_dominance(s, d):

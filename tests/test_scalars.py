@@ -101,6 +101,19 @@ def test_fuse(spark):
     assert got == {"s": (2, 0.5, round(0.7 * 0.75, 9), 2), "t": (1, 0.0, 0.4, 0)}
 
 
+def test_fuse_adds_in_order(spark):
+    """Large and small numbers add up to another sum in another order; a count of distinct evidence regroups a plain mean."""
+    given = [(k, f"s{k % 3}", (1e16, 0.3, -1e16, 0.7)[k % 4] if k % 11 else None, k % 5) for k in range(120)] + [(500, "none", None, None)]
+    rows = spark.createDataFrame([given[k * 37 % len(given)] for k in range(len(given))], "k long, s string, confidence double, evidence_id int").repartition(7).selectExpr("*", "'a' AS attribute", "1.0 AS value")
+    got = {r.s: (r.confidence, r.evidence) for r in st.fuse(rows, "s", "k").collect()}
+    for s in ("s0", "s1", "s2"):
+        total, n = 0.0, 0
+        for _, _, c, _ in (r for r in given if r[1] == s and r[2] is not None):
+            total, n = total + c, n + 1
+        assert got[s] == (total / n, 5)
+    assert got["none"] == (None, 0)
+
+
 def test_credentials(spark):
     df = spark.createDataFrame([(1, "x\nAPI-key: 1\npasswords = y\nsecret=z " + "w" * 300), (2, None), (3, "")], "doc_id int, text string")
     got = [(r.doc_id, r.line, r.redacted) for r in ev.credential_lines(df).collect()]
