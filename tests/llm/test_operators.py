@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spanweave.llm import ctw, decontaminate, kernels, licenses, lm, media, mixing, neardup, pages, progressive, quality, substrings, suffix, urls
 from spanweave.llm.graphs import components
+from spanweave.llm.shared import cut
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(None, None), (1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "two words"), (5, "two words"), (6, "Ä é ß   x"), (7, "a" * 3000), (8, "x y " * 4000)]
@@ -192,6 +193,23 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
 
 
+def test_rounds_keep_estimates_short(spark):
+    """Spark multiplies its estimates of size in every join; what a cut carries on must not have a growing number of digits."""
+
+    def bits(df):
+        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+    rows = spark.createDataFrame([(k, k % 3) for k in range(20)], "id long, label long")
+    ids = rows.select("id")
+    for _ in range(4):
+        rows = cut(rows.join(ids, "id").join(rows.select("id"), "id"))
+        assert bits(rows) <= 64
+    assert sorted(rows.collect()) == [(k, k % 3) for k in range(20)]
+    labels = components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long"))
+    assert bits(labels) <= 64
+    assert sorted(labels.collect()) == [(k, 0) for k in range(61)]
+
+
 # --- decontamination ---------------------------------------------------------
 
 
