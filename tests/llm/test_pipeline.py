@@ -8,6 +8,7 @@ import re
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from spanweave.llm import graphs, neardup, shared
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -131,3 +132,18 @@ def test_empty_documents(spark, tmp_path, documents, folder):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_stage_keeps_estimates_short(spark, documents, monkeypatch):
+    """What the driver holds of a cut must not grow with the rounds: Spark's estimates of size multiply in joins."""
+    found, real = [], shared.cut
+
+    def cut(df):
+        done = real(df)
+        found.append(done._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length())
+        return done
+
+    monkeypatch.setattr(neardup, "cut", cut)
+    monkeypatch.setattr(graphs, "cut", cut)
+    corpus_pipeline.near_stage(spark, documents(corpus()[0]), "").count()
+    assert len(found) > 6 and max(found) <= 63
