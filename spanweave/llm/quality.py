@@ -16,6 +16,7 @@ gives an empty result. ``select`` keeps all columns, whatever they are called.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,17 +75,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _associated(bucket: np.ndarray, grade_of: np.ndarray, grade: np.ndarray, least: float) -> np.ndarray:
+PART = 1 << 18  # features that the driver's sums take at once, so that their copies in 64 bits stay few
+
+
+def _parts(owner: np.ndarray) -> list[slice]:
+    """Slices of PART features and the rest of a text."""
+    ends = [0]
+    while ends[-1] < len(owner):
+        last = min(ends[-1] + PART, len(owner)) - 1
+        ends.append(int(np.searchsorted(owner, owner[last], side="right")))
+    return [slice(a, b) for a, b in itertools.pairwise(ends)]
+
+
+def _by_text(owner: np.ndarray, column: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``value`` at the columns of each text."""
+    sums = np.zeros(n)
+    for part in _parts(owner):
+        first, last = int(owner[part.start]), int(owner[part.stop - 1])
+        sums[first : last + 1] = np.bincount(owner[part] - owner[part.start], value[column[part]], last - first + 1)
+    return sums
+
+
+def _associated(owner: np.ndarray, bucket: np.ndarray, grade: np.ndarray, least: float) -> np.ndarray:
     """Which buckets tell the grades apart: their likelihood ratio statistic reaches ``least``."""
     totals = np.bincount(grade, minlength=GRADES).astype(np.float64)
-    seen = np.stack([np.bincount(bucket[grade_of == k], minlength=1 << BITS) for k in range(GRADES)]).astype(np.float64)
+    seen = np.zeros((GRADES, 1 << BITS))
+    for part in _parts(owner):
+        grade_of = grade[owner[part]]
+        for k in range(GRADES):
+            seen[k] += np.bincount(bucket[part][grade_of == k], minlength=1 << BITS)
     here = seen.sum(axis=0)
     statistic = np.zeros(1 << BITS)
     with np.errstate(divide="ignore", invalid="ignore"):
         for k in range(GRADES):
             for part, whole in ((seen[k], here), (totals[k] - seen[k], len(grade) - here)):
                 statistic += np.where(part > 0, 2 * part * np.log(part * len(grade) / (whole * totals[k])), 0)
-    return statistic >= least
+    return (statistic >= least) & (here > 0)
 
 
 def fit(owner: np.ndarray, bucket: np.ndarray, grade: np.ndarray, least: float = 25.0, penalty: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -99,22 +125,29 @@ def fit(owner: np.ndarray, bucket: np.ndarray, grade: np.ndarray, least: float =
     gaps = np.log(below / (1 - below))
     if not len(grade):
         return weights.astype(np.float32), gaps
-    held = _associated(bucket, grade[owner], grade, least)[bucket]
-    owner, bucket = owner[held], bucket[held]
-    used, column = np.unique(bucket, return_inverse=True)
+    told = _associated(owner, bucket, grade, least)
+    used, held = np.flatnonzero(told), told[bucket]
+    owner, column = owner[held], np.cumsum(told, dtype=np.int32)[bucket[held]] - np.int32(1)
+    del held
     n, w = len(grade), np.zeros(len(used))
-    scale = np.sqrt(np.bincount(column, minlength=len(used)) / n)
-    value = 1 / scale[column]  # features of equal spread: rare ones may weigh as much
+    count = np.zeros(len(used), np.int64)
+    for part in _parts(owner):
+        count += np.bincount(column[part], minlength=len(used))
+    scale = np.sqrt(count / n)
+    value = 1 / scale  # features of equal spread: rare ones may weigh as much
     ahead, t = w.copy(), 1.0
-    step = 4.0 / max(1.0, float(np.mean(np.bincount(owner, value * value, n))))
+    step = 4.0 / max(1.0, float(np.mean(_by_text(owner, column, value * value, n))))
     for _ in range(steps):
-        x = np.bincount(owner, ahead[column] * value, n)
+        x = _by_text(owner, column, ahead * value, n)
         upper = np.where(grade < GRADES - 1, _sigmoid(np.append(gaps, 40.0)[grade] - x), 1.0)
         under = np.where(grade > 0, _sigmoid(np.append(-40.0, gaps)[grade] - x), 0.0)
         p = np.maximum(upper - under, 1e-9)
         up, un = upper * (1 - upper) / p, under * (1 - under) / p
         slope = (up - un) / n  # of the loss, by x
-        new = ahead - step * np.bincount(column, slope[owner] * value, len(used))
+        sums = np.zeros(len(used))
+        for part in _parts(owner):
+            sums += np.bincount(column[part], slope[owner[part]] * value[column[part]], len(used))
+        new = ahead - step * sums
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + (t - 1) / after * (new - w), new, after
@@ -125,17 +158,38 @@ def fit(owner: np.ndarray, bucket: np.ndarray, grade: np.ndarray, least: float =
     return weights.astype(np.float32), gaps
 
 
-def _one_of_copies(owner: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
+def _one_of_copies(bounds: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """One text of those whose three least features (by a hash) agree, so that copies don't vote many times."""
-    bounds = np.searchsorted(owner, np.arange(n + 1))
-    least = np.full((n, 3), -1, np.int64)
-    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+    least = np.full((len(bounds) - 1, 3), -1, np.int64)
+    for k, (a, b) in enumerate(itertools.pairwise(bounds.tolist())):
         mine = bucket[a:b]
         first = mine[np.argsort(mix(mine.astype(np.uint64)))[:3]]
         least[k, : len(first)] = first
     return np.sort(np.unique(least, axis=0, return_index=True)[1])
 
 
+def _only(chosen: np.ndarray, lengths: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """owner and bucket of the texts of which ``chosen`` is true, numbered anew."""
+    kept = lengths[chosen]
+    owner = np.repeat(np.arange(len(kept), dtype=np.min_scalar_type(len(kept))), kept)
+    return owner, bucket if chosen.all() else bucket[np.repeat(chosen, lengths)]
+
+
+def _ordered(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """grade and number of features of each text, and all features, in order of doc_id and mark."""
+    order = pc.sort_indices(found, [("doc_id", "ascending"), ("mark", "ascending")])
+    grade = found.column("grade").take(order).to_numpy().astype(np.int64)
+    lists = found.column("buckets").combine_chunks()
+    del found
+    lengths = pc.list_value_length(lists).take(order).to_numpy(zero_copy_only=False).astype(np.int64)
+    bucket, at = np.empty(lengths.sum(), np.int32), 0
+    for k in range(0, len(order), 500):
+        values = lists.take(order[k : k + 500]).flatten()
+        bucket[at : at + len(values)] = values
+        at += len(values)
+    return grade, lengths, bucket
+
+
 def grades(model: tuple[np.ndarray, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expected grade and P(grade >= k), k from 1, of each text."""
     weights, cuts = model
@@ -169,28 +223,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), part.column("grade").cast(pa.int32()), lists], ["doc_id", "mark", "grade", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(gather, f"doc_id {kind}, mark long, grade int, buckets array<int>").toArrow().combine_chunks()
-    found = found.take(pc.sort_indices(found, [("doc_id", "ascending"), ("mark", "ascending")]))
-    grade = found.column("grade").to_numpy().astype(np.int64)
-    lists = found.column("buckets").combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
-    bucket = lists.flatten().to_numpy().astype(np.int32)
-    owner = np.repeat(np.arange(len(grade), dtype=np.int32), pc.list_value_length(lists).to_numpy().astype(np.int64))
-    del found, lists
-    chosen = _one_of_copies(owner, bucket, len(grade))
-    number = np.full(len(grade), -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    own = number[owner] >= 0
-    owner, bucket, grade = number[owner[own]], bucket[own], grade[chosen]
+    grade, lengths, bucket = _ordered(rows.mapInArrow(gather, f"doc_id {kind}, mark long, grade int, buckets array<int>").toArrow())
+    pa.default_memory_pool().release_unused()
+    chosen = _one_of_copies(np.append(0, np.cumsum(lengths)), bucket)
+    among = np.zeros(len(grade), bool)
+    among[chosen] = True
+    bucket = _only(among, lengths, bucket)[1]
+    grade, lengths = grade[chosen], lengths[chosen]
     held = np.arange(len(grade)) % 5 == 4
     cut_at = 0.5 if len(grade) else 0.0
     if held.any():
-        number = (np.cumsum(~held) - 1).astype(np.int32)
-        own = ~held[owner]
-        model = fit(number[owner[own]], bucket[own], grade[~held])
-        x = np.bincount(owner, model[0][bucket].astype(np.float64), len(grade))
-        tail = _sigmoid(x - model[1][-1])
-        cut_at = _cut(tail[held & (grade == GRADES - 1)], tail[held & (grade < GRADES - 1)])
-    return *fit(owner, bucket, grade), cut_at
+        model = fit(*_only(~held, lengths, bucket), grade[~held])
+        tail = _sigmoid(_by_text(*_only(held, lengths, bucket), model[0].astype(np.float64), int(held.sum())) - model[1][-1])
+        cut_at = _cut(tail[grade[held] == GRADES - 1], tail[grade[held] < GRADES - 1])
+    return *fit(*_only(np.ones(len(grade), bool), lengths, bucket), grade), cut_at
 
 
 def _cut(good: np.ndarray, bad: np.ndarray) -> float:

@@ -4,11 +4,13 @@ import collections
 import itertools
 import random
 import re
+import tracemalloc
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from spanweave.llm import graphs, neardup, shared
+from spanweave.llm import graphs, neardup, quality, shared
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -147,3 +149,20 @@ def test_near_stage_keeps_estimates_short(spark, documents, monkeypatch):
     monkeypatch.setattr(graphs, "cut", cut)
     corpus_pipeline.near_stage(spark, documents(corpus()[0]), "").count()
     assert len(found) > 6 and max(found) <= 63
+
+
+def test_quality_fit_on_the_driver_is_small(monkeypatch):
+    """The fit runs on the driver: beside its features (6 bytes each) it may not hold several 64-bit copies of them."""
+    rng = np.random.default_rng(3)
+    grade = rng.integers(0, 3, 8000)
+    rows = np.sort((rng.integers(0, 3000, (8000, 300)) + 400 * grade[:, None]) % 3400, axis=1).astype(np.int32)
+    owner, bucket = np.repeat(np.arange(8000, dtype=np.uint16), 300), rows.reshape(-1)
+    tracemalloc.start()
+    weights, gaps = quality.fit(owner, bucket, grade, steps=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (weights != 0).sum() > 100
+    assert most < 13 * len(bucket)
+    monkeypatch.setattr(quality, "PART", 1000)
+    again = quality.fit(owner, bucket, grade, steps=3)
+    assert np.allclose(weights, again[0]) and np.allclose(gaps, again[1])
