@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, digests, filters, licenses, lm, media, mixing, neardup, pages, quality, substrings, urls
+from . import decontaminate, digests, filters, licenses, lm, media, mixing, neardup, pages, phrases, quality, substrings, urls
 from .shared import table
 
 
@@ -29,7 +29,7 @@ def sql_op10_bytes(spark, sf_dir):
     return media.op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
-OPERATORS = {"op1_substrings": substrings.op1_substrings, "op2_decontaminate": decontaminate.op2_decontaminate, "op3_urls": urls.op3_urls, "op4_neardup": neardup.op4_neardup, "op5_lm": lm.op5_lm, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op8_licenses": licenses.op8_licenses, "op9_pages": pages.op9_pages, "op10_media": media.op10_media, "op11_digests": digests.op11_digests, "op12_filters": filters.op12_filters}
+OPERATORS = {"op1_substrings": substrings.op1_substrings, "op2_decontaminate": decontaminate.op2_decontaminate, "op3_urls": urls.op3_urls, "op4_neardup": neardup.op4_neardup, "op5_lm": lm.op5_lm, "op6_mixing": mixing.op6_mixing, "op7_quality": quality.op7_quality, "op8_licenses": licenses.op8_licenses, "op9_pages": pages.op9_pages, "op10_media": media.op10_media, "op11_digests": digests.op11_digests, "op12_filters": filters.op12_filters, "op13_phrases": phrases.op13_phrases}
 
 WORDS = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
 
@@ -62,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_neardup": neardup.ORACLE_SQL, "op12_filters": filters.ORACLE_SQL} | {name: sql for name, (_, sql) in PARTS.items()}
+    return {"op4_neardup": neardup.ORACLE_SQL, "op12_filters": filters.ORACLE_SQL, "op13_phrases": phrases.ORACLE_SQL} | {name: sql for name, (_, sql) in PARTS.items()}

@@ -91,3 +91,10 @@ def unit(*parts: Column) -> Column:
 def keyed(column: str) -> Column:
     """An id as text; nulls get a text of their own."""
     return F.coalesce(F.col(column).cast("string"), F.lit("\x00null"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: lineage ends there, and sizes are true."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
