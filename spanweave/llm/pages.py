@@ -24,10 +24,15 @@ one short row a text), a hot host's over all tasks. Frames and wrappers go to
 the tasks as one table while they are below ``most`` bytes; beyond that pages
 are joined with them by host, a hot host being dealt over ``salts`` keys.
 
-Tree matching is of the order of the product of two trees' sizes; after CELLS
-comparisons of a page the rest of its lists of children is paired in order by
-equal elements, so a page takes bounded time. Reading is linear, and no step
-recurses, so depth has no limit.
+Tree matching weighs pairs of shapes of subtrees, each pair once for all pages
+of a task, and pairs two long lists of children row by row in numpy, with the
+memory of some hundred rows. Reading is linear, and no step recurses, so depth
+has no limit.
+
+Elements that are marked as something else are exempt only where no article
+and no main element lies outside of such elements: then those that hold one
+are layout. A form that holds all of a body's text is layout too. How much
+text an element holds decides nothing.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as
 far as it goes (a tag that is not closed ends at the next one); very long and
@@ -41,23 +46,25 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import cut, table, written
 from .urls import parts
 
 # Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-LEFT_OUT = frozenset("head title nav footer aside form button select textarea option iframe svg canvas object noscript template dialog menu audio video label datalist".split())
+LEFT_OUT = frozenset("head title nav footer aside form button select textarea option iframe svg template menu datalist".split())
+# Outside of an article these hold notices and the like.
+OUTER_OUT = frozenset("header dialog noscript label".split())
 CLOSES = {"li": ("li",), "p": ("p",), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 STOPS = frozenset("ul ol table dl div section article main aside nav form blockquote body".split())
 # Words in a class, id or role that mark what is not main text.
@@ -67,6 +74,7 @@ HAVING = frozenset("has with no not non without".split())
 SLUGS = frozenset("section h1 h2 h3 h4 h5 h6".split())
 NO_SLUGS = frozenset("comments disqus sidebar footer".split())
 OUTER_MARKS = MARKS | {"header", "topbar", "site-header"}
+READERS = frozenset("comment comments disqus replies reply".split())
 MAIN_MARKS = frozenset("main content article post entry story maincontent post-content article-body entry-content".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|[\"'][^<>]*+(?:>|(?=<)|\Z)|(?=<)|\Z)|<[!?][^<>]*+(?:>|(?=<)|\Z)|(?:[^<]++|<(?!/?[a-zA-Z]|[!?]))++",
@@ -175,73 +183,107 @@ def _trim(one: list[Node], two: list[Node]) -> tuple[int, int]:
     return a, b
 
 
-CELLS = 100_000
+SMALL, ROWS, KNOWN = 256, 256, 1 << 20
 
 
 class Matcher:
-    """Simple tree matching of two trees whose nodes have shapes, with a bound on comparisons."""
+    """Simple tree matching of trees whose nodes have shapes.
+
+    Weights are kept by pairs of shapes, so that trees of one host share them,
+    and lists of children that repeat few shapes cost few comparisons.
+    """
 
-    def __init__(self, cells: int = CELLS):
-        self.left = cells
+    def __init__(self):
         self.known: dict[tuple[int, int], int] = {}
-        self.chosen: dict[tuple[int, int], list[tuple[Node, Node]] | None] = {}
-
-    def _options(self, a: Node, b: Node) -> tuple[list[Node], list[Node], list[tuple[Node, Node]]]:
-        """The middle parts of two lists of children, and pairs in order where these are paired at sight."""
-        begin, end = _trim(a.children, b.children)
-        one, two = a.children[begin : len(a.children) - end], b.children[begin : len(b.children) - end]
-        key = id(a), id(b)
-        if key not in self.chosen:
-            self.left -= len(one) * len(two)
-            if self.left >= 0:
-                self.chosen[key] = None
-            else:
-                pairs, at = [], 0
-                where: dict[str, list[int]] = {}
-                for j, y in enumerate(two):
-                    where.setdefault(y.key, []).append(j)
-                for x in one:
-                    places_ = where.get(x.key, ())
-                    k = bisect_left(places_, at)
-                    if k < len(places_):
-                        pairs.append((x, two[places_[k]]))
-                        at = places_[k] + 1
-                self.chosen[key] = pairs
-        return one, two, self.chosen[key]
+
+    def _ready(self, one: list[Node], two: list[Node]) -> list[tuple[Node, Node]]:
+        """Pairs of the lists' shapes whose weight is not known yet; those of unequal elements weigh nothing."""
+        left, right = {n.shape: n for n in one}, {n.shape: n for n in two}
+        return [(x, y) for x in left.values() for y in right.values() if x.key == y.key and (x.shape, y.shape) not in self.known]
 
     def weight(self, a: Node, b: Node) -> int:
         """The most nodes that a mapping with a on b pairs."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
         work = [(a, b)]
         while work:
             a, b = work[-1]
-            key = id(a), id(b)
+            key = a.shape, b.shape
             if key in self.known:
                 work.pop()
                 continue
             if a.key != b.key or a.shape == b.shape:
                 self.known[key] = a.size if a.shape == b.shape else 0
                 continue
-            one, two, pairs = self._options(a, b)
-            wanted = pairs if pairs is not None else [(x, y) for x in one for y in two if x.key == y.key]
-            missing = [(x, y) for x, y in wanted if (id(x), id(y)) not in self.known]
+            begin, end = _trim(a.children, b.children)
+            one, two = a.children[begin : len(a.children) - end], b.children[begin : len(b.children) - end]
+            missing = self._ready(one, two)
             if missing:
                 work.extend(missing)
                 continue
             same = sum(x.size for x in a.children) - sum(x.size for x in one)
-            middle = sum(self.known[id(x), id(y)] for x, y in pairs) if pairs is not None else self._table(one, two)[-1][-1]
-            self.known[key] = 1 + same + middle
-        return self.known[key]
+            self.known[key] = 1 + same + self._best(one, two)
+        return self.known[a.shape, b.shape]
+
+    def _weights(self, one: list[Node], two: list[Node]) -> tuple[np.ndarray, list[int]]:
+        """A row of weights against ``two`` for each shape of ``one``, and the row of each of ``one``."""
+        shapes = list(dict.fromkeys(x.shape for x in one))
+        at = {s: k for k, s in enumerate(shapes)}
+        theirs = list(dict.fromkeys(y.shape for y in two))
+        where = {s: k for k, s in enumerate(theirs)}
+        small = np.array([[self.known.get((s, t), 0) for t in theirs] for s in shapes], np.int64).reshape(len(shapes), len(theirs))
+        return small[:, [where[y.shape] for y in two]], [at[x.shape] for x in one]
+
+    def _best(self, one: list[Node], two: list[Node]) -> int:
+        """The greatest weight of an order-preserving pairing of two lists."""
+        if not one or not two:
+            return 0
+        if len(one) * len(two) <= SMALL:
+            return self._table(one, two)[-1][-1]
+        weights, of = self._weights(one, two)
+        row = np.zeros(len(two) + 1, np.int64)
+        for k in of:
+            row = _next(row, weights[k])
+        return int(row[-1])
 
     def _table(self, one: list[Node], two: list[Node]) -> list[list[int]]:
         best = [[0] * (len(two) + 1)]
         for x in one:
             last, row = best[-1], [0]
             for j, y in enumerate(two):
-                both = last[j] + self.known[id(x), id(y)] if x.key == y.key else 0
+                both = last[j] + self.known.get((x.shape, y.shape), 0)
                 row.append(max(row[j], last[j + 1], both))
             best.append(row)
         return best
 
+    def _pairs(self, one: list[Node], two: list[Node]) -> Iterator[tuple[int, int]]:
+        """A pairing of the greatest weight, from the end; of a long table every ROWS-th row is kept, and the rows between are made again."""
+        i, j = len(one), len(two)
+        if i * j <= SMALL:
+            block, first = self._table(one, two), 0
+        else:
+            weights, of = self._weights(one, two)
+            row, kept = np.zeros(j + 1, np.int64), []
+            for k, w in enumerate(of):
+                if k % ROWS == 0:
+                    kept.append(row)
+                row = _next(row, weights[w])
+            block, first = None, i
+        while i and j:
+            if i <= first or block is None:
+                first = (i - 1) // ROWS * ROWS
+                block = [kept[first // ROWS]]
+                for w in of[first:i]:
+                    block.append(_next(block[-1], weights[w]))
+            here = block[i - first]
+            if here[j] == block[i - first - 1][j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                yield i, j
+
     def align(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
         """Pairs of text nodes under a best mapping of two trees with equal roots."""
         self.weight(a, b)
@@ -256,26 +298,17 @@ class Matcher:
                 begin, end = _trim(a.children, b.children)
                 work.extend(zip(a.children[:begin], b.children[:begin], strict=True))
                 work.extend(zip(a.children[len(a.children) - end :], b.children[len(b.children) - end :], strict=True))
-                one, two, pairs = self._options(a, b)
-                if pairs is not None:
-                    for x, y in pairs:
-                        self.weight(x, y)
-                        work.append((x, y))
-                    continue
-                for x in one:
-                    for y in two:
-                        if x.key == y.key:
-                            self.weight(x, y)
-                best = self._table(one, two)
-                i, j = len(one), len(two)
-                while i and j:
-                    if best[i][j] == best[i - 1][j]:
-                        i -= 1
-                    elif best[i][j] == best[i][j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        work.append((one[i], two[j]))
+                one, two = a.children[begin : len(a.children) - end], b.children[begin : len(b.children) - end]
+                for x, y in self._ready(one, two):
+                    self.weight(x, y)
+                work.extend((one[i], two[j]) for i, j in self._pairs(one, two))
+
+
+def _next(last: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The next row of the table of best pairings."""
+    row = last.copy()
+    np.maximum(row[1:], last[:-1] + weights, out=row[1:])
+    return np.maximum.accumulate(row, out=row)
 
 
 def skeleton(root: Node) -> str:
@@ -306,12 +339,12 @@ def frame(skeleton_: str) -> Node:
     return root
 
 
-def slots(root: Node, of: Node | None) -> dict[int, int]:
+def slots(root: Node, of: Node | None, matcher: Matcher | None = None) -> dict[int, int]:
     """By text node (id): the number of the frame's node that it is paired with."""
     if of is None:
         return {}
     shape(root)
-    return {id(b): a.number for a, b in Matcher().align(of, root)}
+    return {id(b): a.number for a, b in (matcher or Matcher()).align(of, root)}
 
 
 def _clean(text: str) -> str:
@@ -322,9 +355,9 @@ def _digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def places(root: Node, of: Node | None) -> Iterator[tuple[Node, str, int]]:
+def places(root: Node, of: Node | None, matcher: Matcher | None = None) -> Iterator[tuple[Node, str, int]]:
     """Every text node outside of what is never main text, its text and the hash of its slot."""
-    paired = slots(root, of)
+    paired = slots(root, of, matcher)
     ways: dict[tuple[int, str], int] = {}
     work = [(root, 0)]
     while work:
@@ -340,9 +373,9 @@ def places(root: Node, of: Node | None) -> Iterator[tuple[Node, str, int]]:
             work.extend((c, ways[step]) for c in node.children)
 
 
-def votes(html: str, of: Node | None) -> Iterator[tuple[int, int, int, int, int]]:
+def votes(html: str, of: Node | None, matcher: Matcher | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """place, text and the page's three longest texts besides, all as hashes; text 0 stands for the place itself."""
-    found = [(text, way) for _, text, way in places(parse(html), of)]
+    found = [(text, way) for _, text, way in places(parse(html), of, matcher)]
     longest = [(t, _digest(t)) for t in sorted({t for t, _ in found}, key=lambda t: (-len(t), t))[:4]]
     for text, way in sorted(set(found)):
         yield way, _digest(text), *([h for t, h in longest if t != text] + [0, 0, 0])[:3]
@@ -350,23 +383,65 @@ def votes(html: str, of: Node | None) -> Iterator[tuple[int, int, int, int, int]
         yield way, 0, *([h for _, h in longest] + [0, 0, 0])[:3]
 
 
+def _apart(node: Node) -> bool:
+    """Is the element something else than main text, if it is no layout?"""
+    return node.tag in LEFT_OUT or bool(node.marks & MARKS and node.tag not in ("body", "html"))
+
+
 def _framing(root: Node) -> set[int]:
-    """Elements marked as something else, and forms, that frame the page: they hold its main or most of its text."""
-    held: dict[int, tuple[int, bool]] = {}
+    """Elements marked as something else, and forms, that are the page's layout.
+
+    A form is, if it stands in the body and no other text does, but for what is
+    apart. An element is, if it holds an article or main element, not among
+    readers' comments, and no such element lies outside of marked elements; the
+    header of a page that has neither is, if it holds its heading and all else is apart.
+    """
+    layout: set[int] = set()
+    parents: dict[int, Node] = {}
     walk = [root]
     for n in walk:
         if n.tag not in LEFT_OUT or n.tag == "form":
             walk.extend(n.children)
+            parents.update((id(c), n) for c in n.children)
+    full: set[int] = set()  # elements with text
     for n in reversed(walk):
         if n.tag == TEXT:
-            held[id(n)] = len(n.text), False
-        elif n.tag in LEFT_OUT and n.tag != "form":
-            held[id(n)] = 0, False
-        else:
-            below = [held[id(c)] for c in n.children]
-            held[id(n)] = sum(x for x, _ in below), n.tag == "main" or any(m for _, m in below)
-    whole = held[id(root)][0]
-    return {id(n) for n in walk if n.tag != TEXT and (n.tag == "form" or n.marks & OUTER_MARKS) and (2 * held[id(n)][0] > whole or held[id(n)][1])}
+            if n.text.strip():
+                full.add(id(n))
+        elif any(id(c) in full for c in n.children):
+            full.add(id(n))
+    for n in walk:
+        if n.tag == "form" and parents[id(n)].tag in ("body", "html"):
+            if not any(c is not n and id(c) in full and not _apart(c) and c.tag not in OUTER_OUT for c in parents[id(n)].children):
+                layout.add(id(n))
+
+    under: dict[int, tuple[bool, bool]] = {id(root): (False, False)}  # what is apart; readers' comments
+    plain = False  # does a text stand outside of all that is apart?
+    for n in walk:
+        apart, readers = under[id(n)]
+        plain |= n.tag == TEXT and id(n) in full and not apart
+        if id(n) not in layout and n.tag != TEXT:
+            apart |= _apart(n) or n.tag in OUTER_OUT or bool(n.marks & OUTER_MARKS and n.tag not in ("body", "html"))
+            readers |= bool(n.marks & READERS)
+        under.update((id(c), (apart, readers)) for c in n.children)
+    inner = [n for n in walk if n.tag != TEXT and id(n) in full and not _apart(n)]
+    mains = [n for n in inner if n.tag in ("main", "article") or _is_main(n)]
+    if any(not under[id(n)][0] for n in mains):
+        return layout
+    ours = [n for n in mains if not under[id(n)][1]]
+    if not ours and not plain:
+        ours = [n for n in inner if n.tag == "h1" and not under[id(n)][1]]
+    seen: set[int] = set()
+    for n in ours:
+        while id(n) in parents and id(n) not in seen:
+            seen.add(id(n))
+            n = parents[id(n)]
+            layout.add(id(n))
+    return layout
+
+
+def _is_main(node: Node) -> bool:
+    return node.tag == "main" or bool(node.marks & MAIN_MARKS and node.tag in ("div", "section", "td"))
 
 
 def _blocks(root: Node, template: dict[int, int], sure: int, inside: bool, frames: set[int]) -> list[str]:
@@ -389,7 +464,7 @@ def _blocks(root: Node, template: dict[int, int], sure: int, inside: bool, frame
             fixed = template.get(id(node), 0)
             if not fixed or (inside and fixed < sure):
                 run.append(node.text)
-        elif node is root or id(node) in frames or not (node.tag in LEFT_OUT or (node.tag == "header" and not inside) or node.marks & (MARKS if inside else OUTER_MARKS)):
+        elif node is root or id(node) in frames or not (node.tag in LEFT_OUT or (node.tag in OUTER_OUT and not inside) or node.marks & (MARKS if inside else OUTER_MARKS)):
             if node.tag in BLOCK:
                 end()
                 work.append(None)
@@ -406,13 +481,13 @@ def _candidates(root: Node, frames: set[int]) -> tuple[list[Node], list[Node], l
     work = [(root, False, False)]
     while work:
         node, in_article, in_main = work.pop()
-        if id(node) not in frames and (node.tag in LEFT_OUT or (node.marks & MARKS and node.tag not in ("body", "html"))):
+        if id(node) not in frames and _apart(node):
             continue
         if node.tag == "article":
             if not in_article:
                 articles.append(node)
             in_article = True
-        elif node.tag == "main" or (node.marks & MAIN_MARKS and node.tag in ("div", "section", "td")):
+        elif _is_main(node):
             if not in_main:
                 mains.append(node)
             in_main = True
@@ -422,12 +497,12 @@ def _candidates(root: Node, frames: set[int]) -> tuple[list[Node], list[Node], l
     return articles, mains, bodies
 
 
-def extract(html: str, wrapper: dict[tuple[int, int], int] | None, sure: int = 6, of: Node | None = None) -> str:
+def extract(html: str, wrapper: dict[tuple[int, int], int] | None, sure: int = 6, of: Node | None = None, matcher: Matcher | None = None) -> str:
     """Main text of a page; a wrapper gives the number of articles by slot of the frame and text."""
     root = parse(html)
     template: dict[int, int] = {}
     if wrapper:
-        template = {id(node): n for node, text, way in places(root, of) if (n := wrapper.get((way, _digest(text)), 0))}
+        template = {id(node): n for node, text, way in places(root, of, matcher) if (n := wrapper.get((way, _digest(text)), 0))}
     frames = _framing(root)
     articles, mains, bodies = _candidates(root, frames)
     for nodes in (articles, mains):
@@ -488,16 +563,17 @@ def wrappers(pages: DataFrame, framed: Callable, share: float = 0.7) -> DataFram
     """host and wrapper (JSON of slot, text and number of articles) of every host that has a template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = Loaded(frame)
+        trees, matcher = Loaded(frame), Matcher()
         for batch in batches:
             given = zip(batch.column("host").to_pylist(), batch.column("html"), framed(batch), strict=True)
-            rows = [(host, *vote) for host, html, of in given if html.is_valid for vote in votes(html.as_py(), trees.get(host, of))]
+            rows = [(host, *vote) for host, html, of in given if html.is_valid for vote in votes(html.as_py(), trees.get(host, of), matcher)]
             host, place, text, *longest = zip(*rows, strict=True) if rows else [()] * 6
             # Articles are told apart well enough by 32 bits.
             short = [pa.array([(x & 0xFFFFFFFF) - (1 << 31) for x in c], pa.int32()) for c in longest]
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(place, pa.int64()), pa.array(text, pa.int64()), *short], ["host", "place", "text", "a", "b", "c"])
 
-    cast = pages.mapInArrow(run, "host string, place long, text long, a int, b int, c int").distinct()
+    cast = pages.mapInArrow(run, "host string, place long, text long, a int, b int, c int")
+    cast = written(cast.distinct(), "votes")
     counts = cast.groupBy("host", "place", "text").agg(F.count("*").alias("n")).where("n > 1")
     whole = counts.where("text = 0").select("host", "place", F.col("n").alias("all"))
     often = counts.where("text <> 0").join(whole, ["host", "place"]).where(F.col("n") >= share * F.col("all")).select("host", "place", "text", "n")
@@ -517,18 +593,16 @@ def load(wrapper: str) -> dict[tuple[int, int], int]:
 
 def main_text(pages: DataFrame, share: float = 0.7, sure: int = 6, most: int = 32 << 20, salts: int = 32) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    from .shared import cut
-
     kind = pages.schema["page_id"].dataType.simpleString()
     hosted = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", parts(F.col("url"))[0])
     hosted, framed = _given(hosted, cut(frames(hosted)), "frame", most, salts)
     hosted, wrapped = _given(hosted, cut(wrappers(hosted, framed, share)), "wrapper", most, salts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, loaded = Loaded(frame), Loaded(load)
+        trees, loaded, matcher = Loaded(frame), Loaded(load), Matcher()
         for batch in batches:
             given = zip(batch.column("host").to_pylist(), batch.column("html"), framed(batch), wrapped(batch), strict=True)
-            texts = [extract(html.as_py() or "", loaded.get(host, wrapper), sure, trees.get(host, of) if wrapper else None) for host, html, of, wrapper in given]
+            texts = [extract(html.as_py() or "", loaded.get(host, wrapper), sure, trees.get(host, of) if wrapper else None, matcher) for host, html, of, wrapper in given]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return hosted.mapInArrow(run, EXTRACTED.format(kind=kind))

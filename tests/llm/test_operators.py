@@ -641,13 +641,55 @@ def test_tree_matching(seed):
     pages.shape(a)
     pages.shape(b)
     assert pages.Matcher().weight(a, b) == pages.Matcher().weight(b, a) == brute_weight(a, b)
-    assert 0 <= pages.Matcher(cells=0).weight(a, b) <= brute_weight(a, b)
     ours = paired(a, b)
     assert len({id(x) for x, _ in ours}) == len({id(y) for _, y in ours}) == len(ours)
     again = pages.frame(pages.skeleton(a))
     assert again.size == a.size and pages.Matcher().weight(again, a) == a.size
 
 
+def long_part(kind, n=40):
+    return f"<{kind}>" + "".join(f"<p>Not the story, but line {k} of many others.</p>" for k in range(n)) + f"</{kind.split()[0]}>"
+
+
+@pytest.mark.parametrize("kind", ["section class='comments'", "form class='newsletter'", "div class='cookie-banner'", "div class='sidebar'", "form", "aside"])
+def test_long_parts_are_no_story(spark, kind):
+    """However long it is, what is marked as something else stays out."""
+    story = "<p>A short story.</p>"
+    for body in (f"<article>{story}{long_part(kind)}</article>", f"<div>{story}</div>{long_part(kind)}", f"<main>{story}</main>{long_part(kind)}", f"<div class='content'>{story}{long_part(kind)}</div>", f"<div>{story}</div><section class='comments'><article><p>First!</p></article></section>{long_part(kind)}"):
+        assert pages.extract(page(body), None) == "A short story."
+    rows = [(k, "http://long/x", page(f"<article><p>Story {k} is short.</p>{long_part(kind, 20 + k)}</article>")) for k in range(3)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} is short." for k in range(3)}
+
+
+def test_what_an_article_keeps():
+    parts = ["dialog", "object", "audio", "video", "canvas", "label", "noscript"]
+    for tag in parts:
+        assert pages.extract(page(f"<article><p>a</p><{tag}><p>story part</p></{tag}></article>"), None) == "a\n\nstory part"
+    assert pages.extract(page("<div class='sidebar'><h1>Head</h1><p>All that the page has.</p></div>"), None) == "Head\n\nAll that the page has."
+    assert pages.extract(page("<section class='comments'><article><p>First!</p></article></section>"), None) == ""
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_lists_are_matched_exactly(seed):
+    """Against the recursion without any bound, on lists past all sizes at which the way of computing changes."""
+    rng = random.Random(seed)
+    cell = lambda: "<td>" + "".join(f"<{t}>x</{t}>" for t in rng.choices(["b", "i", "u"], k=rng.randrange(3))) + "</td>"
+    rows = lambda n: "<table>" + "".join(f"<tr>{''.join(cell() for _ in range(rng.randrange(1, 3)))}</tr>" for _ in range(n)) + "</table>"
+    one, two = pages.parse(rows(300)), pages.parse(rows(330))
+    pages.shape(one)
+    pages.shape(two)
+    want = brute_weight(one, two)
+    assert pages.Matcher().weight(one, two) == pages.Matcher().weight(two, one) == want
+    known = pages.Matcher()
+    pairs = list(known.align(one, two))
+    assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+    table, other = one.children[0], two.children[0]
+    chosen = list(known._pairs(table.children, other.children))
+    assert sum(known.weight(table.children[i], other.children[j]) for i, j in chosen) == want - 2
+    assert all(a > b and c > d for (a, c), (b, d) in itertools.pairwise(chosen))
+
+
 def test_wrapper_without_hints(spark):
     """No article, main, class or id: only what varies in the slots of the host tells text from template."""
     rng = random.Random(3)
