@@ -15,7 +15,7 @@ miss the target by half a document at most.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a
 source of its own, ranked last; null and repeated doc_ids are told apart by
-their texts; equal rows are separate documents that draw alike; an empty table gives an empty result;
+their texts; equal rows are separate documents, numbered, each with draws of its own; an empty table gives an empty result;
 further columns of the input are ignored. If all texts are empty, nothing is
 taken and every target is 0.
 """
@@ -29,13 +29,19 @@ from .shared import cut, keyed, unit
 
 WORD = r"[^\x20\x09-\x0D]+"
 FAN_IN = 48
+RUN = 1 << 12
 NEAR = 1e-12
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words and a hash of the text of each document."""
+    """doc_id, source, size in words and a hash of the text (of equal rows: and of the row's number) of each document."""
     count = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), count.cast("long").alias("size"), F.xxhash64("text").alias("mark"))
+    found = docs.select("doc_id", F.col("source").cast("string").alias("source"), count.cast("long").alias("size"), F.xxhash64("text").alias("mark"))
+    # Equal rows are counted and numbered, so that a chunk holds no more of them than of others.
+    runs = F.sequence(F.lit(0).cast("long"), F.col("equal") - 1, F.lit(RUN).cast("long"))
+    counted = found.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("equal")).withColumn("run", F.explode(runs))
+    each = counted.withColumn("number", F.explode(F.sequence("run", F.least(F.col("run") + RUN, F.col("equal")) - 1)))
+    return each.select("doc_id", "source", "size", F.when(F.col("number") == 0, F.col("mark")).otherwise(F.xxhash64("mark", "number")).alias("mark"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:

@@ -784,3 +784,17 @@ def test_words_kernel():
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 7.25, 1e6 + 0.5])
     assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-9, rel=1e-12)
+
+
+def test_equal_rows_fall_in_many_chunks(spark, documents):
+    """3,000 rows without an id and with one text: no chunk holds many, and their words come near the target."""
+    from spanweave.llm import mixing
+
+    docs = documents([(None, "five words in a text", "hot")] * 3_000 + [(k, "a b", "cold") for k in range(50)])
+    sized = mixing.sizes(docs)
+    assert sized.count() == 3_050 and sized.select("mark").where("size = 5").distinct().count() == 3_000
+    chunks = sized.groupBy(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(63))).count().agg(F.max("count")).first()[0]
+    assert chunks < 120
+    rows = mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert {r.source: r.n for r in rows} == {"hot": 3_000, "cold": 50}
+    assert all(abs(r.taken - r.target) <= 5 and r.most <= 2 for r in rows)
