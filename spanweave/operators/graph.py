@@ -205,19 +205,52 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(per, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) / max((n - 1) * (n - 2), 1)).alias("betweenness"))
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """node, level: the longest way from a node without incoming edges; an error on a cycle."""
-    left, steps, done = cut(nodes.select("node")), cut(edges.select("src", "dst").distinct()), None
-    for k in range(most):
-        free = cut(left.join(steps.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(k)))
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        left = cut(left.join(free, "node", "left_anti"))
-        steps = cut(steps.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
-    if not left.isEmpty():
+def _anchored(steps: DataFrame, degree: DataFrame) -> DataFrame:
+    """node, up, d: of each node with one incoming edge, the nearest node above it that has none or several, and how far it is.
+
+    Pointers double each round, so a chain of n nodes takes log2 n rounds; one
+    that stands after that runs in a cycle.
+    """
+    chain = cut(steps.join(degree.where("n = 1"), steps.dst == degree.node).select("node", F.col("src").alias("up"), F.lit(1).cast("long").alias("d")))
+    count = chain.count()
+    for _ in range(count.bit_length() + 1):
+        ahead = chain.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("d").alias("more"))
+        jumped = cut(chain.join(ahead, "up", "left").select("node", F.coalesce("further", "up").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.col("further").isNotNull().alias("moved")))
+        chain = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            return chain
+    raise ValueError("the graph has a cycle")
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, level: the longest way from a node without incoming edges; an error on a cycle.
+
+    Chains are drawn together first (see ``_anchored``). The rest is taken
+    level by level: a node is done when all edges to it have come from nodes
+    that are done. So rounds grow with the joins of ways on a path, and with
+    the logarithm of its length, and edges move once.
+    """
+    nodes = cut(nodes.select("node").distinct())
+    known = lambda c: nodes.select(F.col("node").alias(c))
+    steps = cut(edges.select("src", "dst").distinct().join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi"))
+    degree = cut(nodes.join(steps.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")), "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
+    chain = _anchored(steps, degree)
+    joins = degree.where("n > 1").select(F.col("node").alias("dst"), F.col("n").alias("need"))
+    ways = steps.join(joins, "dst").join(chain.withColumnRenamed("node", "src"), "src", "left")
+    # Of several chains from one node to another the longest counts, and all of them have come with it.
+    ways = cut(ways.groupBy(F.coalesce("up", "src").alias("node"), "dst", "need").agg(F.max(F.coalesce("d", F.lit(0)) + 1).alias("d"), F.count("*").alias("came")))
+    fresh = cut(degree.where("n = 0").select("node", F.lit(0).cast("long").alias("level")))
+    done, open_ = fresh, None
+    while not fresh.isEmpty():
+        step = ways.join(fresh, "node").groupBy("dst", "need").agg(F.max(F.col("level") + F.col("d")).alias("level"), F.sum("came").alias("came"))
+        step = step if open_ is None else open_.unionByName(step).groupBy("dst", "need").agg(F.max("level").alias("level"), F.sum("came").alias("came"))
+        step = cut(step)
+        fresh = cut(step.where("came = need").select(F.col("dst").alias("node"), "level"))
+        open_ = step.where("came < need")
+        done = done.unionByName(fresh)
+    if done.count() < degree.where("n <> 1").count():
         raise ValueError("the graph has a cycle")
-    return done
+    return done.unionByName(chain.join(done.select(F.col("node").alias("up"), F.col("level").alias("above")), "up").select("node", (F.col("above") + F.col("d")).alias("level"))).select("node", F.col("level").cast("int").alias("level"))
 
 
 def _adjacency(edges: DataFrame, *columns: str) -> list:
