@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .tiles import join_boxes
 
 GRID = 1e-9
 TURN = 360 * 10**9
@@ -183,15 +184,10 @@ def area(unit: float = GRID) -> Column:
     return F.sum(x * y) / 2 * unit * unit
 
 
-def candidates(left: DataFrame, right: DataFrame, size: float = 10.0) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, most: int = 100_000) -> DataFrame:
     """Pairs (a, b, turn) of polygons whose boxes meet when b is turned by ``turn`` times 360 degrees; both given as boxes."""
-    width = int(size / GRID)
     turned = right.withColumn("turn", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))).withColumns({"w": F.col("w") + F.col("turn") * TURN, "e": F.col("e") + F.col("turn") * TURN})
-    deal = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns]).withColumn("cx", F.explode(_cells(F.col(f"{p}w"), F.col(f"{p}e"), width))).withColumn("cy", F.explode(_cells(F.col(f"{p}s"), F.col(f"{p}n"), width)))
-    a, b = deal(left, "a_"), deal(turned, "b_")
-    met = a.join(b, ["cx", "cy"]).where("a_w <= b_e AND b_w <= a_e AND a_s <= b_n AND b_s <= a_n")
-    home = (F.floor(F.greatest("a_w", "b_w") / width) == F.col("cx")) & (F.floor(F.greatest("a_s", "b_s") / width) == F.col("cy"))
-    return met.where(home).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("b_turn").alias("turn"))
+    return join_boxes(left, turned, most).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.col("r_turn").alias("turn"))
 
 
 PAIR = ["a", "b", "turn"]

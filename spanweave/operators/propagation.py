@@ -71,6 +71,93 @@ def propagate(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None
     return every
 
 
+QUIESCENT, NOTHING = "quiescent", "all initial signals below minimum impairment"
+SIGNALS_REACHED, PATHS_REACHED = "max_signals reached", "max_paths_per_entity reached"
+ORDER = ["effective_at", "depth", "shock_id", "entity", "via", "path"]
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """How a bounded run ended: status (complete, truncated, no_initial_signal), reason, signals processed and generated."""
+
+    status: str
+    reason: str
+    processed: int
+    generated: int
+
+
+def propagate_bounded(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None, least: float = 0.01, hops: int = 32, max_signals: int = 100_000, paths_an_entity: int = 64) -> tuple[DataFrame, Outcome]:
+    """Signals as of ``propagate``, in best-first order and within bounds, and how the run ended.
+
+    Signals are processed in ORDER: by time, depth, shock, entity and path. A
+    processed signal generates one along each edge, in order of edge_id; an
+    entity keeps the first ``paths_an_entity`` generated for it, and the run
+    ends after ``max_signals`` processed ones. Edges have edge_id besides what
+    ``propagate`` takes; ``via`` holds those of a path.
+
+    A round takes all signals that nothing still to come can precede: those
+    earlier than the first by less than the least delay of an edge or, if some
+    edge takes no time, those of the first time and depth. Within a round
+    signals are ranked for each entity, counts of earlier rounds come by a
+    join, and the last round alone is cut in global order, by the first
+    ``max_signals`` rows at most. So the result is that of one sequential
+    queue, whatever the partitions.
+    """
+    delay = F.col("delay") if "delay" in edges.columns else F.lit(0.0)
+    edges = cut(edges.select("edge_id", "src", "dst", "factor", "valid_from", "valid_to", delay.cast("double").alias("delay"), F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait")))
+    ahead = edges.agg(F.min("delay")).first()[0] or 0.0
+    keep = None if keep is None else cut(keep)
+
+    def damp(df: DataFrame) -> DataFrame:
+        if keep is None:
+            return df
+        return df.join(keep, "entity", "left").withColumn("impairment", F.col("impairment") * F.coalesce("keep", F.lit(1.0))).drop("keep")
+
+    columns = ["shock_id", "entity", "impairment", "depth", "effective_at", "path", "via"]
+    start = shocks.select("shock_id", F.col("source").alias("entity"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("severity").cast("double"))).alias("impairment"), F.lit(0).alias("depth"), F.col("starts_at").alias("effective_at"), F.array("source").alias("path"), F.array().cast("array<string>").alias("via"))
+    new = cut(damp(start).where(F.col("impairment") >= least).select(*columns, F.struct("effective_at", "shock_id").alias("turn")))
+    held, frontier, every = None, None, None
+    processed = generated = 0
+    reason = QUIESCENT
+    while True:
+        # The first in turn of each entity, as long as it has room.
+        first = Window.partitionBy("entity").orderBy("turn")
+        some = new.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= paths_an_entity)
+        if held is not None:
+            some = some.join(held, "entity", "left").where(F.col("_n") + F.coalesce("held", F.lit(0)) <= paths_an_entity)
+        some = cut(some.select(*columns))
+        coming, kept = new.count(), some.count()
+        generated += kept
+        if kept < coming:
+            reason = PATHS_REACHED
+        counts = some.groupBy("entity").agg(F.count("*").alias("held"))
+        held = cut(counts if held is None else held.unionByName(counts).groupBy("entity").agg(F.sum("held").alias("held")))
+        every = some if every is None else every.unionByName(some)
+        frontier = some if frontier is None else cut(frontier.unionByName(some))
+        head = frontier.agg(F.min(F.struct("effective_at", "depth")).alias("h")).first().h
+        if head is None:
+            break
+        if processed >= max_signals:
+            reason = SIGNALS_REACHED
+            break
+        begin = F.lit(head.effective_at)
+        ready = F.col("effective_at") < begin + F.make_dt_interval(secs=F.lit(ahead).cast("decimal(18,6)")) if ahead > 0 else (F.col("effective_at") == begin) & (F.col("depth") == head.depth)
+        batch, rest = frontier.where(ready), frontier.where(~ready)
+        size = batch.count()
+        if processed + size > max_signals:
+            batch = cut(batch.orderBy(*ORDER).limit(max_signals - processed))
+            rest = frontier.join(batch.select("shock_id", "via", "path"), ["shock_id", "via", "path"], "left_anti").select(*columns)
+            size = max_signals - processed
+        processed += size
+        out = batch.where(F.col("depth") < hops).select(*columns, F.struct(*ORDER).alias("turn")).join(edges, (F.col("entity") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
+        out = out.where(active_at(F.col("effective_at")) & active_at(F.col("effective_at") + F.col("wait")) & (F.col("factor") > 0))
+        out = out.select("shock_id", F.col("dst").alias("entity"), (F.col("impairment") * F.least(F.lit(1.0), F.col("factor"))).alias("impairment"), (F.col("depth") + 1).alias("depth"), (F.col("effective_at") + F.col("wait")).alias("effective_at"), F.concat("path", F.array("dst")).alias("path"), F.concat("via", F.array("edge_id")).alias("via"), F.struct("turn", "edge_id").alias("turn"))
+        new = cut(damp(out).where(F.col("impairment") >= least).select(*columns, "turn"))
+        frontier = rest
+    status = "no_initial_signal" if not generated else "complete" if reason == QUIESCENT else "truncated"
+    return every, Outcome(status, reason if generated else NOTHING, processed, generated)
+
+
 @dataclass(frozen=True)
 class Rules:
     """The settings of a propagation; ``check`` refuses what is out of bounds, ``digest`` names them."""

@@ -52,7 +52,8 @@ def from_ecef(x: Column, y: Column, z: Column, rounds: int = 4) -> tuple[Column,
         n = A / F.sqrt(1 - E2 * F.pow(F.sin(lat), 2))
         lat = F.atan2(z + E2 * n * F.sin(lat), p)
     n = A / F.sqrt(1 - E2 * F.pow(F.sin(lat), 2))
-    height = F.when(p > 1.0, p / F.cos(lat) - n).otherwise(F.abs(z) - A * math.sqrt(1 - E2))
+    # Near a pole by the axis, else by the equator: each loses no digits there.
+    height = F.when(F.abs(lat) > math.pi / 4, F.abs(z) / F.abs(F.sin(lat)) - n * (1 - E2)).otherwise(p / F.cos(lat) - n)
     return F.degrees(lat), F.degrees(F.atan2(y, x)), height
 
 
@@ -165,43 +166,6 @@ def parse_points(text: Column) -> Column:
     return F.when(good, F.struct(f.id.alias("id"), f.geometry.coordinates[1].alias("lat"), f.geometry.coordinates[0].alias("lon")))
 
 
-def geodesic_m(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
-    """Ellipsoidal distance by Vincenty's iteration; points it can't settle (nearly antipodal) get the spherical value."""
-    f, b = FLATTENING, A * (1 - FLATTENING)
-    u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))
-    length = np.radians(lon2 - lon1)
-    lam, done = length.copy(), np.zeros(len(length), bool)
-    for _ in range(200):
-        sl, cl = np.sin(lam), np.cos(lam)
-        ss = np.hypot(np.cos(u2) * sl, np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * cl)
-        cs = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * cl
-        sigma = np.arctan2(ss, cs)
-        sa = np.where(ss == 0, 0.0, np.cos(u1) * np.cos(u2) * sl / np.where(ss == 0, 1, ss))
-        c2a = 1 - sa**2
-        c2m = np.where(c2a == 0, 0.0, cs - 2 * np.sin(u1) * np.sin(u2) / np.where(c2a == 0, 1, c2a))
-        c = f / 16 * c2a * (4 + f * (4 - 3 * c2a))
-        new = length + (1 - c) * f * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m**2 - 1)))
-        done = np.abs(new - lam) < 1e-13
-        lam = new
-        if done.all():
-            break
-    k = c2a * (A**2 - b**2) / b**2
-    big = 1 + k / 16384 * (4096 + k * (k * (320 - 175 * k) - 768))
-    small = k / 1024 * (256 + k * (k * (74 - 47 * k) - 128))
-    ds = small * ss * (c2m + small / 4 * (cs * (2 * c2m**2 - 1) - small / 6 * c2m * (4 * ss**2 - 3) * (4 * c2m**2 - 3)))
-    p1, p2 = np.radians(lat1), np.radians(lat2)
-    h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(length / 2) ** 2
-    return np.where(done, b * big * (sigma - ds), 1000 * RADIUS_KM * 2 * np.arcsin(np.minimum(1, np.sqrt(h))))
-
-
-def geodesic_udf():
-    @F.pandas_udf("double")
-    def run(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-        return pd.Series(geodesic_m(*(x.to_numpy(float) for x in (lat1, lon1, lat2, lon2))))
-
-    return run
-
-
 def ring_area_m2(lats: np.ndarray, lons: np.ndarray) -> float:
     """Area of a ring on the sphere of equal area (authalic latitudes), by the trapezoid rule in longitude."""
     e = math.sqrt(E2)

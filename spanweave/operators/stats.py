@@ -57,7 +57,7 @@ def holt(points: DataFrame, steps: int = 1, alpha: float = 0.35, beta: float = 0
     return points.groupBy("key").applyInPandas(run, f"key {kind}, forecast double, scale double")
 
 
-def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, value, _n rows of this value, _before rows of lesser values and _all rows of the group.
 
     Distinct values are dealt by range; running sums are taken within a range
@@ -75,9 +75,24 @@ def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return both.select(*by, value, "_n", (F.col("_inside") + F.col("_ahead")).alias("_before"), "_all")
 
 
+def running(df: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = False) -> DataFrame:
+    """``df``, one row a (by, order), with before_<c> for each of ``sums``: its sum over the rows of the group that come before.
+
+    Rows are dealt by range, as in ``counted``; ``by`` and ``order`` may not be null.
+    """
+    along = F.col(order).desc() if descending else F.col(order).asc()
+    ranged = cut(df.repartitionByRange(*by, along).withColumn("_range", F.spark_partition_id()))
+    of = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_of_{c}") for c in sums])
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = of.select(*by, "_range", *[F.coalesce(F.sum(f"_of_{c}").over(earlier), F.lit(0)).alias(f"_ahead_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_range").orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums]).join(ahead, [*by, "_range"])
+    return rows.select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_ahead_{c}")).alias(f"before_{c}") for c in sums])
+
+
 def rank_value(df: DataFrame, by: list[str], value: str, rank: Column, name: str) -> DataFrame:
     """The value at a 1-based rank within each group (no interpolation)."""
-    rows = _counted(df, by, value).withColumn("_rank", F.greatest(F.lit(1), F.least(F.col("_all"), rank)))
+    rows = counted(df, by, value).withColumn("_rank", F.greatest(F.lit(1), F.least(F.col("_all"), rank)))
     return rows.where("_before < _rank and _rank <= _before + _n").select(*by, F.col(value).alias(name))
 
 
@@ -88,13 +103,13 @@ def conformal_rank(alpha: float) -> Column:
 def worst_mean(df: DataFrame, by: list[str], value: str, alpha: float) -> DataFrame:
     """Mean of the worst ceil((1 - alpha) n) values."""
     worst = F.greatest(F.lit(1), F.floor(F.col("_all") * (1 - alpha) + 0.999999))
-    rows = _counted(df, by, value).withColumn("_n", F.least(F.col("_n"), worst - F.col("_before"))).where("_n > 0")
+    rows = counted(df, by, value).withColumn("_n", F.least(F.col("_n"), worst - F.col("_before"))).where("_n > 0")
     return rows.groupBy(*by).agg((F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("cvar"), F.min(value).alias("floor"))
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """``df`` with the average rank of each value in its group."""
-    ranks = _counted(df, by, value).select(F.struct(*by, value).alias("_key"), (F.col("_before") + 1 + (F.col("_n") - 1) / 2).alias(name))
+    ranks = counted(df, by, value).select(F.struct(*by, value).alias("_key"), (F.col("_before") + 1 + (F.col("_n") - 1) / 2).alias(name))
     return df.withColumn("_mine", F.struct(*by, value)).join(ranks, F.col("_mine").eqNullSafe(F.col("_key"))).drop("_mine", "_key")
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from . import stats
+
 GRAINS = {"microsecond": 1, "millisecond": 10**3, "second": 10**6, "minute": 6 * 10**7, "hour": 36 * 10**8, "day": 864 * 10**8, "week": 7 * 864 * 10**8}
 MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
@@ -90,6 +93,45 @@ def allen(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     )
 
 
+RELATIONS = {"before": "after", "meets": "met_by", "starts": "started_by", "finishes": "finished_by", "during": "contains", "overlaps": "overlapped_by"}
+
+
+def allen_counts(intervals: DataFrame, key: str) -> DataFrame:
+    """key, relation, n: how many ordered pairs of two intervals (key, s, e) of a key are in each of Allen's relations.
+
+    No pairs are made. Ends before a start, shared endpoints and equal
+    intervals are sums over endpoints in order. Intervals within another are
+    counted bit by bit of the rank of their starts: of two ranks that share all
+    higher bits and differ in one, the one with the 0 starts earlier, and
+    running sums over the ends of such a group count those that end later. So a
+    key with n intervals costs n log n rows, dealt by range, whatever its share
+    of all. What is left of all pairs overlaps.
+
+    Intervals without s < e are left out; a null key is none.
+    """
+    given = cut(intervals.select(F.col(key).alias("key"), "s", "e").where("key IS NOT NULL AND s < e").groupBy("key", "s", "e").agg(F.count("*").alias("m")))
+    ends = given.select("key", F.col("s").alias("t"), F.col("m").alias("starts"), F.lit(0).cast("long").alias("stops")).unionByName(given.select("key", F.col("e").alias("t"), F.lit(0).cast("long").alias("starts"), F.col("m").alias("stops")))
+    times = stats.running(ends.groupBy("key", "t").agg(F.sum("starts").alias("starts"), F.sum("stops").alias("stops")), ["key"], "t", ["stops"])
+    apart = times.groupBy("key").agg(F.sum(F.col("starts") * F.col("before_stops")).alias("before"), F.sum(F.col("starts") * F.col("stops")).alias("meets"))
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    one = lambda c: given.groupBy("key", c).agg(F.sum("m").alias("k")).groupBy("key").agg(square("k").alias(f"same_{c}"))
+    same = given.groupBy("key").agg(square("m").alias("same"), F.sum("m").alias("size"))
+    ranks = stats.counted(given, ["key"], "s").select("key", "s", F.col("_before").alias("rank"))
+    bits = int(ranks.agg(F.max("rank")).first()[0] or 0).bit_length()
+    placed = given.join(ranks, ["key", "s"]).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max(0, bits - 1)))))
+    bit = F.expr("(rank >> level) & 1")
+    sides = placed.select("key", "level", F.expr("rank >> (level + 1)").alias("prefix"), "e", F.when(bit == 0, F.col("m")).otherwise(0).alias("early"), F.when(bit == 1, F.col("m")).otherwise(0).alias("late"))
+    groups = sides.groupBy("key", "level", "prefix", "e").agg(F.sum("early").alias("early"), F.sum("late").alias("late"))
+    within = stats.running(groups, ["key", "level", "prefix"], "e", ["early"], descending=True).groupBy("key").agg(F.sum(F.col("late") * F.col("before_early")).alias("during"))
+    told = same.join(apart, "key").join(one("s"), "key").join(one("e"), "key").join(within, "key")
+    half = lambda c: ((F.col(c) - F.col("same")) / 2).cast("long")
+    told = told.select("key", "before", "meets", half("same_s").alias("starts"), half("same_e").alias("finishes"), "during", (F.col("same") - F.col("size")).alias("equals"), "size")
+    rest = ((F.col("size") * (F.col("size") - 1) - F.col("equals")) / 2).cast("long") - F.col("before") - F.col("meets") - F.col("starts") - F.col("finishes") - F.col("during")
+    told = told.withColumn("overlaps", rest)
+    both = F.array(F.struct(F.lit("equals").alias("relation"), F.col("equals").alias("n")), *[F.struct(F.lit(name).alias("relation"), F.col(c).alias("n")) for c, back in RELATIONS.items() for name in (c, back)])
+    return told.select("key", F.inline(both)).where("n > 0").select(F.col("key").alias(key), "relation", "n")
+
+
 def floor_to(at: Column, grain: str) -> Column:
     """Start of the calendar unit that holds an instant; weeks begin on Monday."""
     return F.date_trunc(grain, at).cast("timestamp_ntz")

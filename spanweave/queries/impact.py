@@ -21,6 +21,22 @@ def p01_propagate(s, d):
     return signals(s, d).select("shock_id", "entity", F.round("impairment", 9).alias("impairment"), "depth", F.array_join("path", ">").alias("path"))
 
 
+def _bounded(s, d):
+    both = v.supplies(s, d).unionByName(v.serves(s, d)).select(F.col("relationship_id").alias("edge_id"), "src", "dst", (F.col("strength") * F.col("capacity")).alias("factor"), "valid_from", "valid_to")
+    return p.propagate_bounded(both, v.shocks(s, d), max_signals=40, paths_an_entity=2)
+
+
+def p01_bounded(s, d):
+    """Signals of a run that keeps two paths an entity and stops after 40 signals."""
+    return _bounded(s, d)[0].select("shock_id", "entity", F.round("impairment", 9).alias("impairment"), "depth", F.array_join("path", ">").alias("path"))
+
+
+def p01_outcome(s, d):
+    """How that run ended, beside what it generated at each depth."""
+    signals, ended = _bounded(s, d)
+    return signals.groupBy("depth").agg(F.count("*").alias("n")).select("depth", "n", F.lit(ended.status).alias("status"), F.lit(ended.reason).alias("reason"), F.lit(ended.processed).cast("long").alias("processed"), F.lit(ended.generated).cast("long").alias("generated"))
+
+
 def p03_edge_factor(s, d):
     f = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("strength") * F.col("capacity")))
     rows = v.supplies(s, d).select(F.when(f < 0.01, 0.0).otherwise(f).alias("f"))
@@ -174,6 +190,13 @@ def _walk(worlds: str = "", keep: str = "1.0", key: str = "") -> str:
  WHERE NOT list_contains(s.path, e.dst) AND {ON} AND s.impairment*least(1.0,greatest(0.0,e.factor))*{keep} >= 0.01 AND s.depth<32)"""
 
 
+_STEP = "least(1.0,greatest(0.0,e.strength*e.capacity))"
+_QUEUE = f"""d0 AS (SELECT shock_id, source AS entity, severity AS impairment, 0 AS depth, source AS path, row_number() OVER (PARTITION BY source ORDER BY shock_id) AS k FROM shocks),
+ p0 AS (SELECT *, row_number() OVER (ORDER BY shock_id, entity) AS place FROM d0 WHERE k<=2),
+ d1 AS (SELECT p.shock_id, e.dst AS entity, p.impairment*{_STEP} AS impairment, 1 AS depth, p.path||'>'||e.dst AS path, e.relationship_id AS r1, row_number() OVER (PARTITION BY e.dst ORDER BY p.place, e.relationship_id) AS k FROM p0 p JOIN supplies e ON e.src=p.entity WHERE p.place<=40 AND {ON} AND e.strength*e.capacity>0 AND p.impairment*{_STEP}>=0.01),
+ p1 AS (SELECT *, (SELECT count(*) FROM p0)+row_number() OVER (ORDER BY shock_id, entity, r1) AS place FROM d1 WHERE k<=2),
+ d2 AS (SELECT p.shock_id, e.dst AS entity, p.impairment*{_STEP} AS impairment, 2 AS depth, p.path||'>'||e.dst AS path, row_number() OVER (PARTITION BY e.dst ORDER BY p.place, e.relationship_id) AS k FROM p1 p JOIN serves e ON e.src=p.entity WHERE p.place<=40 AND {ON} AND e.strength*e.capacity>0 AND p.impairment*{_STEP}>=0.01),
+ qs AS (SELECT shock_id, entity, impairment, depth, path FROM p0 UNION ALL SELECT shock_id, entity, impairment, depth, path FROM p1 UNION ALL SELECT shock_id, entity, impairment, depth, path FROM d2 WHERE k<=2)"""
 SG = _walk()
 BASE = ("supplies", "serves", "shocks")
 IMP = ", im AS (SELECT entity, max(impairment) AS i FROM sg GROUP BY entity)"
@@ -188,6 +211,8 @@ def _fold(source: str, name: str) -> str:
 
 
 QUERIES = {
+    "p01_bounded": (p01_bounded, v.oracle("SELECT shock_id, entity, round(impairment,9) AS impairment, depth, path FROM qs", *BASE, recursive=_QUEUE)),
+    "p01_outcome": (p01_outcome, v.oracle("SELECT depth, count(*) AS n, CASE WHEN cut OR full_ THEN 'truncated' ELSE 'complete' END AS status, CASE WHEN cut THEN 'max_signals reached' WHEN full_ THEN 'max_paths_per_entity reached' ELSE 'quiescent' END AS reason, least(40, every) AS processed, every AS generated FROM qs, (SELECT (SELECT count(*) FROM qs) AS every, (SELECT count(*) FROM qs)>40 AS cut, (SELECT bool_or(k>2) FROM (SELECT k FROM d0 UNION ALL SELECT k FROM d1 UNION ALL SELECT k FROM d2)) AS full_) GROUP BY ALL", *BASE, recursive=_QUEUE)),
     "p01_propagate": (p01_propagate, v.oracle("SELECT shock_id, entity, round(impairment,9) AS impairment, depth, array_to_string(path,'>') AS path FROM sg", *BASE, recursive=SG)),
     "p03_edge_factor": (p03_edge_factor, v.oracle("SELECT round(CASE WHEN f<0.01 THEN 0 ELSE f END,1) AS factor, count(*) AS n FROM (SELECT least(1.0,greatest(0.0,strength*capacity)) AS f FROM supplies) GROUP BY 1", "supplies")),
     "p06_attenuation": (p06_attenuation, "SELECT round((1-greatest((c_nationkey%5)/10, CASE WHEN c_acctbal>5000 THEN 0.25 ELSE 0 END))*(1-CASE WHEN c_acctbal>5000 THEN 0.1 ELSE 0 END),9)::DOUBLE AS keep, count(*) AS n FROM customer GROUP BY 1"),

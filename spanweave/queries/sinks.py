@@ -64,12 +64,12 @@ def sp05_bearing(s, d):
 
 def sp06_destination(s, d):
     lat, lon = sp.destination(F.col("lat"), F.col("lon"), F.lit(60.0), F.lit(500.0))
-    return v.points(s, d).where("abs(lat) < 80").select("id", F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"))
+    return v.points(s, d).select("id", F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"))
 
 
 def sp08_ecef_inverse(s, d):
     lat, lon, height = sp.from_ecef(*sp.ecef(F.col("lat"), F.col("lon"), F.lit(100.0)))
-    return v.points(s, d).where("abs(lat) < 89.9").select("id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), F.round(height, 2).alias("height"))
+    return v.points(s, d).select("id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), F.round(height, 2).alias("height"))
 
 
 def io20_hazards(s, d):
@@ -137,8 +137,8 @@ QUERIES = {
     "a10_world_summary": (a10_world_summary, v.oracle("SELECT what, n FROM counts UNION ALL SELECT 'fingerprint:'||sha256(string_agg(what||'='||n, ';' ORDER BY what)), 0 FROM counts", "entities", "supplies", "serves", "located", recursive="counts AS (SELECT 'entity:'||entity_type AS what, count(*) AS n FROM entities GROUP BY 1 UNION ALL SELECT 'relationship:'||kind, count(*) FROM (SELECT kind FROM supplies UNION ALL SELECT kind FROM serves UNION ALL SELECT kind FROM located) GROUP BY 1)")),
     "u03_quantities": (u03_quantities, "SELECT p_partkey, round(p_size*0.0254::DOUBLE,9) AS metres, round(p_size*0.0254::DOUBLE*3,9) AS scaled, round(p_size+6::DOUBLE,6) AS plus_inches, round(p_size*0.0254::DOUBLE/0.9144::DOUBLE,9) AS yards FROM part"),
     "sp05_bearing": (sp05_bearing, v.oracle(f"SELECT id, round({_BEAR}-360*floor({_BEAR}/360),5) AS bearing FROM points", "points")),
-    "sp06_destination": (sp06_destination, v.oracle(f"SELECT id, round(degrees({_TO}),5) AS lat, round(l+180-360*floor((l+180)/360)-180,5) AS lon FROM (SELECT *, lon+degrees(atan2(sin(radians(60))*sin(500/6371.0088)*cos(radians(lat)), cos(500/6371.0088)-sin(radians(lat))*sin({_TO}))) AS l FROM points) WHERE abs(lat)<80", "points")),
-    "sp08_ecef_inverse": (sp08_ecef_inverse, v.oracle("SELECT id, round(lat,6) AS lat, round(lon,6) AS lon, 100.0::DOUBLE AS height FROM points WHERE abs(lat)<89.9", "points")),
+    "sp06_destination": (sp06_destination, v.oracle(f"SELECT id, round(degrees({_TO}),5) AS lat, round(l+180-360*floor((l+180)/360)-180,5) AS lon FROM (SELECT *, lon+degrees(atan2(sin(radians(60))*sin(500/6371.0088)*cos(radians(lat)), cos(500/6371.0088)-sin(radians(lat))*sin({_TO}))) AS l FROM points)", "points")),
+    "sp08_ecef_inverse": (sp08_ecef_inverse, v.oracle("SELECT id, round(lat,6) AS lat, round(lon,6) AS lon, 100.0::DOUBLE AS height FROM points", "points")),
     "io20_hazards": (io20_hazards, v.oracle("SELECT 'east' AS hazard, count(*) AS n FROM points WHERE lon BETWEEN 10 AND 60 AND lat BETWEEN -20 AND 40 UNION ALL SELECT 'line', count(*) FROM points WHERE (lon>=170 OR lon<=-150) AND lat BETWEEN -60 AND 60 UNION ALL SELECT 'pole', count(*) FROM points WHERE lat BETWEEN 70 AND 90", "points")),
     "z02_entity_distance": (z02_entity_distance, v.oracle("SELECT a.id, CASE WHEN a.id%7<>0 AND b.id%7<>0 THEN round(2*6371.0088*asin(least(1, sqrt(pow(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2),2)))),5) END AS km FROM points a JOIN points b ON b.id=a.id+1", "points")),
     "n01_uniform": (n01_uniform, "SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 40 THEN 1/30::DOUBLE ELSE 0 END AS pdf, round(least(1, greatest(0, (p_size-10)/30::DOUBLE)),9) AS cdf, round(10+30*(p_size%10)/10::DOUBLE,9) AS ppf FROM part"),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import views as v
+from ..operators import geodesy as gd
 from ..operators import spatial as sp
 
 BOX = (170.0, -40.0, -20.0, 45.0)
@@ -37,8 +38,7 @@ def sp04_haversine(s, d):
 
 
 def sp05_geodesic(s, d):
-    near = sp.geodesic_udf()
-    return v.points(s, d).select("id", F.round(near(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)), 3).alias("m"))
+    return v.points(s, d).select("id", F.round(gd.inverse_of(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)).metres, 3).alias("m"))
 
 
 def sp07_polygon(s, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import views as v
+from ..operators import scans as sc
 from ..operators import stats as st
 
 
@@ -110,7 +111,7 @@ def a25_robust_score(s, d):
 
 
 def w03_ewma(s, d):
-    return st.ordered_values(_tl(s, d)).select("key", F.round(st.ewma("values", 0.3), 6).alias("ewma"))
+    return sc.ewma(_tl(s, d), 0.3).select("key", F.round("ewma", 6).alias("ewma"))
 
 
 def w04_cusum(s, d):
@@ -121,6 +122,12 @@ def w05_holt(s, d):
     return st.holt(_tl(s, d).select("key", "at", "sequence", "value"), 3).select("key", F.round("forecast", 6).alias("forecast"), F.round("scale", 6).alias("scale"))
 
 
+def w05_holt_linear(s, d):
+    """Damped trend of each user's values, with the interval of its residuals."""
+    found = sc.holt_linear(_tl(s, d), damp=0.95)
+    return found.select("key", *[F.round(c, 6).alias(c) for c in ("estimate", "lower", "upper", "scale")])
+
+
 def w06_persistence(s, d):
     e = _tl(s, d)
     last = e.groupBy("key").agg(F.max_by("value", F.struct("at", "sequence")).alias("value"), F.stddev_pop("value").alias("u"))
@@ -180,6 +187,7 @@ QUERIES = {
     "w03_ewma": (w03_ewma, v.oracle("SELECT key, round(arg_max(y,k),6) AS ewma FROM r GROUP BY key", TL, recursive=SEQ + ", r AS (SELECT key, k, value AS y FROM q WHERE k=1 UNION ALL SELECT q.key, q.k, 0.3*q.value+(1-0.3)*r.y FROM r JOIN q ON q.key=r.key AND q.k=r.k+1)")),
     "w04_cusum": (w04_cusum, v.oracle("SELECT key, coalesce(string_agg(CASE WHEN hit THEN (k-1)::VARCHAR END, ',' ORDER BY k),'') AS alarms FROM r WHERE k>0 GROUP BY key", TL, recursive=SEQ + ", r AS (SELECT DISTINCT key, 0::BIGINT AS k, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, false AS hit FROM q UNION ALL SELECT key, k, CASE WHEN u>60 OR w>60 THEN 0 ELSE u END, CASE WHEN u>60 OR w>60 THEN 0 ELSE w END, u>60 OR w>60 FROM (SELECT q.key, q.k, greatest(0.0, r.up+q.value-50-5) AS u, greatest(0.0, r.dn+50-q.value-5) AS w FROM r JOIN q ON q.key=r.key AND q.k=r.k+1))")),
     "w05_holt": (w05_holt, None),
+    "w05_holt_linear": (w05_holt_linear, v.oracle("SELECT key, round(estimate,6) AS estimate, round(estimate-1.2815515655446004*scale,6) AS lower, round(estimate+1.2815515655446004*scale,6) AS upper, round(scale,6) AS scale FROM (SELECT key, arg_max(l+0.95*b, k) AS estimate, greatest(1e-12, 1.4826*(list_sort(list(abs(off-centre)) FILTER (k>1)))[(count(*)-1)//2+1]) AS scale FROM (SELECT *, avg(off) OVER (PARTITION BY key) AS centre FROM r) GROUP BY key HAVING max(k)>1)", TL, recursive=SEQ + ", s0 AS (SELECT a.key, 1::BIGINT AS k, a.value AS l, b.value-a.value AS b, NULL::DOUBLE AS off FROM q a JOIN q b ON a.key=b.key AND a.k=1 AND b.k=2), r AS (SELECT * FROM s0 UNION ALL SELECT key, k, n, t, v-l-0.95*t FROM (SELECT *, 0.2*(n-l)+0.8*b AS t FROM (SELECT q.key, q.k, q.value AS v, r.l, r.b, 0.35*q.value+0.65*(r.l+0.95*r.b) AS n FROM r JOIN q ON q.key=r.key AND q.k=r.k+1)))")),
     "w06_persistence": (w06_persistence, v.oracle("SELECT key, round(x,6) AS value, round(greatest(0.0,x-u),6) AS lower, round(x+u,6) AS upper FROM (SELECT key, arg_max(value, (\"at\", sequence)) AS x, stddev_pop(value) AS u FROM timeline GROUP BY key)", TL)),
     "w07_zscore": (w07_zscore, v.oracle("SELECT sequence, round(z,6) AS z, abs(z)>=2.5 AS anomaly FROM (SELECT sequence, (value-avg(value) OVER (PARTITION BY key))/nullif(stddev_pop(value) OVER (PARTITION BY key),0) AS z FROM timeline)", TL)),
     "n01_distributions": (n01_distributions, None),

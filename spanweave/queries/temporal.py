@@ -53,6 +53,11 @@ def j11_allen_join(s, d):
     return left.join(right, "owner").where("l_id < r_id").select(t.allen(F.col("l_s"), F.col("l_e"), F.col("r_s"), F.col("r_e")).alias("relation")).groupBy("relation").agg(F.count("*").alias("n"))
 
 
+def j11_allen_counts(s, d):
+    """Ordered pairs of an owner's intervals by relation, without making pairs."""
+    return t.allen_counts(v.intervals(s, d), "owner").groupBy("relation").agg(F.sum("n").alias("n"))
+
+
 def j02_as_of(s, d):
     return t.as_of(v.versions(s, d), t.instant(AT), t.instant("1998-01-05 00:00:00")).select("record_key", "version_id", "value", "known_from")
 
@@ -148,6 +153,7 @@ QUERIES = {
     "f07_select_at": (f07_select_at, v.oracle(f"SELECT record_key, version_id, valid_from, valid_to FROM versions WHERE {ON}", "versions")),
     "f08_select_overlapping": (f08_select_overlapping, v.oracle(f"SELECT id, s, e FROM ivals WHERE e > TIMESTAMP '{A}' AND s < TIMESTAMP '{B}'", "ivals")),
     "j01_interval_join": (j01_interval_join, v.oracle("SELECT a.owner, a.id AS l_id, b.id AS r_id, greatest(a.s,b.s) AS s, least(a.e,b.e) AS e FROM ivals a JOIN ivals b ON a.owner=b.owner AND a.id<b.id AND a.s<b.e AND b.s<a.e", "ivals")),
+    "j11_allen_counts": (j11_allen_counts, v.oracle(f"SELECT {ALLEN} AS relation, count(*)::BIGINT AS n FROM ivals a JOIN ivals b ON a.owner=b.owner AND a.id<>b.id GROUP BY 1", "ivals")),
     "j11_allen_join": (j11_allen_join, v.oracle(f"SELECT {ALLEN} AS relation, count(*) AS n FROM ivals a JOIN ivals b ON a.owner=b.owner AND a.id<b.id GROUP BY 1", "ivals")),
     "j02_as_of": (j02_as_of, v.oracle(f"SELECT record_key, version_id, value, known_from FROM versions WHERE {ON} AND known_from <= TIMESTAMP '1998-01-05' QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY known_from DESC NULLS LAST, version_id DESC)=1", "versions")),
     "j03_latest_known": (j03_latest_known, v.oracle(f"SELECT record_key, version_id, value FROM versions WHERE known_from <= TIMESTAMP '{AT}' QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY known_from DESC NULLS LAST, version_id DESC)=1", "versions")),
