@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import contracts, economics, evidence, extra, geometry, graph, impact, more, sinks, spatial, stats, temporal
+from .queries import columns, contracts, economics, evidence, extra, geometry, graph, impact, more, sinks, spatial, stats, temporal
 
 FLAGSHIP = "p01_propagate"
-MODULES = (temporal, graph, impact, stats, economics, spatial, evidence, more, extra, sinks, contracts, geometry)
+MODULES = (temporal, graph, impact, stats, economics, spatial, evidence, more, extra, sinks, contracts, geometry, columns)
 
 
 def queries() -> dict:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import views as v
 from ..functions import scalars as sc
+from ..operators import sampling as sa
 from ..operators import evidence as ev
 from ..operators import propagation as p
 from ..operators import spatial as sp
@@ -90,12 +91,9 @@ def u01_expressions(s, d):
 
 
 def n03_latin(s, d):
-    """A Latin hypercube of 64 draws in two dimensions: one draw in each row and column of cells."""
-    n, out = 64, s.range(64)
-    for axis in ("x", "y"):
-        place = F.row_number().over(Window.orderBy(sc.hash_number("order", axis, F.col("id")), "id")) - 1
-        out = out.withColumn(axis, F.round((place + sc.uniform("jitter", axis, F.col("id"))) / n, 9))
-    return out
+    """A Latin hypercube of the suppliers: one in each row and column of as many cells."""
+    found = sa.latin_hypercube(v.table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", ["x", "y"])
+    return found.select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 def x02_normalize_iri(s, d):
@@ -214,7 +212,7 @@ _STAR = """ctr AS (SELECT label AS poly, round(avg(lat),2) AS y, round(avg(lon),
 _E2 = sp.E2
 _Q = f"({1 - _E2!r}*(sin(radians({{y}}))/(1-{_E2!r}*pow(sin(radians({{y}})),2))-ln((1-{math.sqrt(_E2)!r}*sin(radians({{y}})))/(1+{math.sqrt(_E2)!r}*sin(radians({{y}}))))/(2*{math.sqrt(_E2)!r})))"
 _HASH = "('0x'||substr(sha256({x}),1,12))::BIGINT"
-_LATIN = "round((row_number() OVER (ORDER BY " + _HASH.format(x="'order:{a}:'||i") + ", i)-1+" + _HASH.format(x="'jitter:{a}:'||i") + "/281474976710656.0::DOUBLE)/64,9) AS {a}"
+_LATIN = "round((row_number() OVER (ORDER BY " + _HASH.format(x="'order:{a}:'||i") + ", i)-1+" + _HASH.format(x="'jitter:{a}:'||i") + "/281474976710656.0::DOUBLE)/count(*) OVER (),9) AS {a}"
 _MODES = {
     "up": "f+(r>0)::INT", "down": "f", "ceiling": "f+(r>0 AND g>0)::INT", "floor": "f+(r>0 AND g<0)::INT", "half_up": "f+(r>=4)::INT", "half_down": "f+(r>4)::INT",
     "half_even": "f+(r>4 OR (r=4 AND f%2=1))::INT", "05up": "f+(r>0 AND f%5=0)::INT",
@@ -236,7 +234,7 @@ QUERIES = {
     "t12_parse": (t12_parse, "SELECT event_id, CASE event_id%7 WHEN 0 THEN u WHEN 1 THEN u+to_microseconds(123456)-INTERVAL 330 MINUTE WHEN 2 THEN u+INTERVAL 8 HOUR WHEN 6 THEN u+to_microseconds(500000) END AS at FROM (SELECT event_id, date_trunc('second', ts) AS u FROM events)"),
     "m03_eight_modes": (m03_eight_modes, "SELECT l_returnflag, " + ", ".join(f"sum(g*({x}))::BIGINT AS m_{m}" for m, x in _MODES.items()) + f" FROM ({_EIGHTHS}) GROUP BY 1"),
     "u01_expressions": (u01_expressions, "SELECT p_partkey, round(p_size*CASE p_partkey%8 " + " ".join(f"WHEN {i} THEN {u[0]!r}::DOUBLE" for i, u in enumerate(_UNITS) if u) + " END,6) AS si, CASE p_partkey%8 " + " ".join(f"WHEN {i} THEN '{u[1]}'" for i, u in enumerate(_UNITS) if u) + " END AS dimension FROM part"),
-    "n03_latin": (n03_latin, f"SELECT i AS id, {_LATIN.replace('{a}', 'x')}, {_LATIN.replace('{a}', 'y')} FROM range(64) r(i)"),
+    "n03_latin": (n03_latin, f"SELECT i AS id, {_LATIN.replace('{a}', 'x')}, {_LATIN.replace('{a}', 'y')} FROM (SELECT s_suppkey AS i FROM supplier)"),
     "x02_normalize_iri": (x02_normalize_iri, r"SELECT page_id, CASE WHEN regexp_full_match(u, '[A-Za-z][A-Za-z0-9+.-]*:\S+') THEN u END AS iri FROM (SELECT page_id, trim(regexp_replace(url||CASE WHEN page_id%9=0 THEN ' x' ELSE '' END, '\s+', ' ', 'g')) AS u FROM pages)"),
     "io07_store": (io07_store, "SELECT sha256(text) AS digest, min(doc_id)%50<>0 AS intact FROM documents WHERE text IS NOT NULL GROUP BY text"),
     "io10_result_tables": (io10_result_tables, v.oracle("SELECT shock_id, entity AS entity_id, round(impairment,9) AS impairment, depth, TIMESTAMP '1998-01-01' AS effective_at FROM sg", *impact.BASE, recursive=impact.SG)),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import views as v
 from ..operators import economics as ec
+from ..operators import money as mo
+from . import columns as co
 
 
 def a04_trade_totals(s, d):
@@ -74,16 +76,14 @@ def m01_convert(s, d):
 
 
 def m02_rate_path(s, d):
-    rows = [(a, b, ">".join([a, *[y for _, y in ec.rate_path(RATES, a, b)]])) for a in ("USD", "EUR", "CHF", "GBP") for b in ("USD", "EUR", "CHF", "GBP") if a != b]
-    return s.createDataFrame(rows, "source string, target string, path string")
+    """Path of rates between any two nations' currencies."""
+    return mo.rate_paths(co.rates(s, d)).select("source", "target", F.array_join("path", ">").alias("path"))
 
 
 def j10_fx_lookup(s, d):
-    """Direct quote or the reciprocal of the opposite one."""
-    rates = s.createDataFrame([(a, b, float(x)) for (a, b), x in RATES.items()], "base string, quote string, rate double")
-    asked = s.createDataFrame([("USD", "EUR"), ("EUR", "USD"), ("USD", "GBP"), ("USD", "CHF")], "base string, quote string")
-    back = rates.select(F.col("quote").alias("base"), F.col("base").alias("quote"), (1 / F.col("rate")).alias("inverse"))
-    return asked.join(F.broadcast(rates), ["base", "quote"], "left").join(F.broadcast(back), ["base", "quote"], "left").select("base", "quote", F.round(F.coalesce("rate", "inverse"), 9).alias("rate"))
+    """Direct quote, or the reciprocal of the opposite one, between each customer's currency and another."""
+    asked = v.table(s, d, "customer").select("c_custkey", co.code(F.col("c_nationkey")).alias("start"), co.code(F.col("c_custkey") % 25).alias("end"))
+    return asked.join(mo.directed(co.rates(s, d)), ["start", "end"], "left").select("c_custkey", F.round(F.col("rate").cast("double"), 9).alias("rate"))
 
 
 def u02_units(s, d):
@@ -149,8 +149,8 @@ QUERIES = {
     "e02_neumann": (e02_neumann, v.oracle("SELECT sector, round(output,4) AS output FROM o", "trade", recursive=_terms(12))),
     "e03_indirect": (e03_indirect, v.oracle("SELECT o.sector, round(output-x,4) AS indirect FROM o JOIN t0 ON o.sector=t0.sector", "trade", recursive=_terms(12))),
     "m01_convert": (m01_convert, None),
-    "m02_rate_path": (m02_rate_path, "SELECT * FROM (VALUES ('USD','EUR','USD>EUR'),('USD','CHF','USD>EUR>CHF'),('USD','GBP','USD>GBP'),('EUR','USD','EUR>USD'),('EUR','CHF','EUR>CHF'),('EUR','GBP','EUR>USD>GBP'),('CHF','USD','CHF>EUR>USD'),('CHF','EUR','CHF>EUR'),('CHF','GBP','CHF>EUR>USD>GBP'),('GBP','USD','GBP>USD'),('GBP','EUR','GBP>USD>EUR'),('GBP','CHF','GBP>USD>EUR>CHF')) t(source,target,path)"),
-    "j10_fx_lookup": (j10_fx_lookup, "SELECT base, quote, round(rate,9) AS rate FROM (VALUES ('USD','EUR',0.92::DOUBLE),('EUR','USD',1/0.92::DOUBLE),('USD','GBP',1/1.27::DOUBLE),('USD','CHF',NULL)) t(base,quote,rate)"),
+    "m02_rate_path": (m02_rate_path, v.oracle("SELECT source, target, array_to_string(p.path,'>') AS path FROM best WHERE source<>target", recursive=co.RATES)),
+    "j10_fx_lookup": (j10_fx_lookup, v.oracle(f"SELECT c_custkey, round(x,9) AS rate FROM customer LEFT JOIN (SELECT a, b, arg_min(rate, inv) AS x FROM dirs GROUP BY a, b) ON a={co.CODE.format('c_nationkey')} AND b={co.CODE.format('c_custkey%25')}", recursive=co.RATES)),
     "u02_units": (u02_units, "SELECT p_partkey, round(p_size*1000/0.3048::DOUBLE,6) AS feet, round((p_size+273.15::DOUBLE-459.67::DOUBLE*5/9)/(5.0::DOUBLE/9),6) AS fahrenheit FROM part"),
     "o02_greedy": (o02_greedy, None),
     "o03_knapsack": (o03_knapsack, None),

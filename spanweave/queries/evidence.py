@@ -55,13 +55,20 @@ def io16_registry(s, d):
 
 
 def io17_ccsds(s, d):
-    text = "OBJECT_NAME = SAT A\nOBJECT_ID = 1998-067A\nEPOCH = 2026-01-01T00:00:00\nMEAN_MOTION = 15.5\nECCENTRICITY = 0.0006"
-    return formats.key_values(s.createDataFrame([(text,)], "text string"), ["OBJECT_NAME", "OBJECT_ID", "EPOCH", "MEAN_MOTION", "ECCENTRICITY"])
+    """Orbit records, one a supplier, read from their text; those without an epoch give none."""
+    line = lambda k, x: F.concat(F.lit(f"{k} = "), x)
+    epoch = F.when(F.col("s_suppkey") % 5 == 0, F.lit("COMMENT none")).otherwise(F.lit("EPOCH = 2026-01-01T00:00:00"))
+    text = F.concat_ws("\n", line("OBJECT_NAME", F.col("s_name")), line("OBJECT_ID", F.col("s_suppkey").cast("string")), epoch, line("MEAN_MOTION", (F.col("s_nationkey") + 0.5).cast("string")), F.lit("ECCENTRICITY = 0.0006"))
+    return formats.key_values(v.table(s, d, "supplier").select(text.alias("text")), ["OBJECT_NAME", "OBJECT_ID", "EPOCH", "MEAN_MOTION", "ECCENTRICITY"])
 
 
 def io18_rinex(s, d):
-    head = f"{'     4.01':<20}{'OBSERVATION DATA':<20}{'M: MIXED':<20}{'RINEX VERSION / TYPE':<20}"
-    return formats.rinex_header(s.createDataFrame([(head,)], "text string"))
+    """Headers with versions and systems by part, read by their columns."""
+    p = v.table(s, d, "part")
+    version = F.lpad(F.format_string("%.2f", F.lit(3.0) + F.col("p_size") / 100), 9, " ")
+    system = F.when(F.col("p_partkey") % 2 == 0, "M: MIXED").otherwise("G: GPS")
+    head = F.concat(F.rpad(version, 20, " "), F.rpad(F.lit("OBSERVATION DATA"), 20, " "), F.rpad(system, 20, " "), F.lit("RINEX VERSION / TYPE"))
+    return formats.rinex_header(p.select(head.alias("text"))).groupBy("version", "kind", "system").agg(F.count("*").alias("n"))
 
 
 def io21_normalise(s, d):
@@ -191,8 +198,8 @@ QUERIES = {
     "io08_chain": (io08_chain, "WITH " + CH + " SELECT conv_id, turn FROM c WHERE turn%5=4"),
     "io14_json_rows": (io14_json_rows, """SELECT '{"n_nationkey":'||n_nationkey||',"n_name":"'||n_name||'","n_regionkey":'||n_regionkey||'}' AS row FROM nation"""),
     "io16_registry": (io16_registry, f"SELECT regexp_replace({HOST}, '^(www|m|blog)\\.', '') AS source, count(*) AS n, count(DISTINCT {HOST}) AS aliases FROM pages GROUP BY 1"),
-    "io17_ccsds": (io17_ccsds, "SELECT 'SAT A' AS object_name, '1998-067A' AS object_id, '2026-01-01T00:00:00' AS epoch, '15.5' AS mean_motion, '0.0006' AS eccentricity"),
-    "io18_rinex": (io18_rinex, "SELECT 4.01::DOUBLE AS version, 'O' AS kind, 'M' AS system"),
+    "io17_ccsds": (io17_ccsds, "SELECT s_name AS object_name, s_suppkey::VARCHAR AS object_id, '2026-01-01T00:00:00' AS epoch, s_nationkey||'.5' AS mean_motion, '0.0006' AS eccentricity FROM supplier WHERE s_suppkey%5<>0"),
+    "io18_rinex": (io18_rinex, "SELECT round(3+p_size/100,2)::DOUBLE AS version, 'O' AS kind, CASE WHEN p_partkey%2=0 THEN 'M' ELSE 'G' END AS system, count(*) AS n FROM part GROUP BY ALL"),
     "io21_normalise": (io21_normalise, "SELECT p_partkey, upper(trim(p_brand)) AS code, upper(regexp_replace(p_type,'\\s+','_','g')) AS measure FROM part"),
     "io22_assets": (io22_assets, "SELECT s_suppkey, CASE WHEN s_acctbal<0 THEN 'negative_balance' ELSE '' END AS violations FROM supplier"),
     "io23_secret_scan": (io23_secret_scan, f"SELECT rule, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, {RULE} AS rule FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE rule IS NOT NULL GROUP BY rule"),

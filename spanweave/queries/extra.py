@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import views as v
+from ..functions import scalars as sc
 from ..operators import graph as g
 from ..operators import spatial as sp
 from . import graph as gq
@@ -98,9 +99,12 @@ def sp20_boxes(s, d):
 
 
 def u01_compatible(s, d):
-    """Which units convert into which: equal dimensions."""
-    units = s.createDataFrame([("m", "L"), ("km", "L"), ("ft", "L"), ("s", "T"), ("h", "T"), ("kg", "M")], "unit string, dimension string")
-    return units.alias("a").join(F.broadcast(units.alias("b")), F.col("a.dimension") == F.col("b.dimension")).where("a.unit < b.unit").select(F.col("a.unit").alias("one"), F.col("b.unit").alias("other"))
+    """Which of the units that parts are measured in convert into which, by equal dimensions, and how many parts have one of both."""
+    turn = F.col("p_partkey") % 6
+    unit, dimension = (F.element_at(F.array(*[F.lit(x) for x in names.split()]), (turn + 1).cast("int")) for names in ("m km ft s h kg", "L L L T T M"))
+    units = v.table(s, d, "part").groupBy(unit.alias("unit"), dimension.alias("dimension")).agg(F.count("*").alias("n"))
+    one, two = units.select("dimension", F.col("unit").alias("one"), F.col("n").alias("n1")), units.select("dimension", F.col("unit").alias("other"), F.col("n").alias("n2"))
+    return one.join(two, "dimension").where("one < other").select("one", "other", (F.col("n1") + F.col("n2")).alias("parts"))
 
 
 def m03_rounding(s, d):
@@ -118,10 +122,9 @@ def m04_legacy_round(s, d):
 
 
 def n03_uniform(s, d):
-    """Deterministic uniform numbers: stratified, one in each of n equal cells, by a hash."""
-    n = 64
-    u = (F.pmod(F.xxhash64(F.lit("seed"), "id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    return s.range(n).select("id", ((F.col("id") + u) / n).alias("x")).select("id", ((F.col("x") >= F.col("id") / n) & (F.col("x") < (F.col("id") + 1) / n)).alias("in_cell"))
+    """Deterministic uniform numbers, one a part: how many fall in each sixteenth, and their sum."""
+    u = sc.uniform("seed", F.col("p_partkey"))
+    return v.table(s, d, "part").select(u.alias("u")).groupBy(F.floor(F.col("u") * 16).alias("cell")).agg(F.count("*").alias("n"), F.round(F.sum("u"), 6).alias("total"))
 
 
 def o01_rank(s, d):
@@ -181,10 +184,10 @@ QUERIES = {
     "sp11_box_index": (sp11_box_index, v.oracle("SELECT box, count(*) AS n, min(id) AS first FROM points JOIN (SELECT label AS box, min(lat)+(max(lat)-min(lat))*1/3 AS s, min(lat)+(max(lat)-min(lat))*2/3 AS n, min(lon)+(max(lon)-min(lon))*1/3 AS w, min(lon)+(max(lon)-min(lon))*2/3 AS e FROM points GROUP BY label) ON lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY box", "points")),
     "sp18_jsonfg": (sp18_jsonfg, v.oracle("""SELECT id, '..' AS "end", length('{"type":"Feature","id":"'||id||'","time":{"interval":["1998-01-01T00:00:00Z",".."]}}')::BIGINT AS n FROM points""", "points")),
     "sp20_boxes": (sp20_boxes, v.oracle("SELECT id, round(wd,6) AS width, w>e AS crosses, round(CASE WHEN c=-180 AND w+wd/2>0 THEN 180 ELSE c END,6)::DOUBLE AS centre FROM (SELECT *, (w+wd/2+180)-360*floor((w+wd/2+180)/360)-180 AS c FROM (SELECT id, w, e, CASE WHEN w<=e THEN e-w ELSE e-w+360 END AS wd FROM (SELECT id, lon AS w, CASE WHEN r=-180 AND lon+100>0 THEN 180 ELSE r END::DOUBLE AS e FROM (SELECT id, lon, (lon+100+180)-360*floor((lon+100+180)/360)-180 AS r FROM points))))", "points")),
-    "u01_compatible": (u01_compatible, "WITH u AS (SELECT * FROM (VALUES ('m','L'),('km','L'),('ft','L'),('s','T'),('h','T'),('kg','M')) t(unit,dim)) SELECT a.unit AS one, b.unit AS other FROM u a JOIN u b ON a.dim=b.dim AND a.unit<b.unit"),
+    "u01_compatible": (u01_compatible, "WITH u AS (SELECT ['m','km','ft','s','h','kg'][p_partkey%6+1] AS unit, ['L','L','L','T','T','M'][p_partkey%6+1] AS dim, count(*) AS n FROM part GROUP BY ALL) SELECT a.unit AS one, b.unit AS other, a.n+b.n AS parts FROM u a JOIN u b ON a.dim=b.dim AND a.unit<b.unit"),
     "m03_rounding": (m03_rounding, "SELECT sum(round(x,2))::DOUBLE AS half_up, sum(floor(x))::DOUBLE AS floor, sum(ceil(x))::DOUBLE AS ceiling FROM (SELECT (l_extendedprice::DECIMAL(18,4)*1/8)::DECIMAL(18,6) AS x FROM lineitem)"),
     "m04_legacy_round": (m04_legacy_round, None),
-    "n03_uniform": (n03_uniform, "SELECT range AS id, true AS in_cell FROM range(64)"),
+    "n03_uniform": (n03_uniform, "SELECT floor(u*16)::BIGINT AS cell, count(*) AS n, round(sum(u),6) AS total FROM (SELECT ('0x'||substr(sha256('seed:'||p_partkey),1,12))::BIGINT/281474976710656.0::DOUBLE AS u FROM part) GROUP BY 1"),
     "o01_rank": (o01_rank, "SELECT c_nationkey, cost<=300000 AS feasible, row_number() OVER (ORDER BY cost<=300000 DESC, round(gain/cost,12) DESC, c_nationkey) AS place FROM (SELECT c_nationkey, round(sum(abs(c_acctbal)),2) AS cost, count(*) AS gain FROM customer GROUP BY 1)"),
     "x05_normalised_record": (x05_normalised_record, """SELECT p_partkey, sha256('{"brand":"'||lower(trim(regexp_replace(p_brand,'\\s+',' ','g')))||'","name":"'||lower(trim(regexp_replace(p_name,'\\s+',' ','g')))||'"}') AS digest FROM part"""),
     "a26_portfolio_capacity": (a26_portfolio_capacity, "SELECT s_nationkey, round(least(1.0, 0.3+sum(0.1*abs(s_acctbal)/10000)),6)::DOUBLE AS capacity FROM supplier GROUP BY 1"),
