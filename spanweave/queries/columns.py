@@ -98,11 +98,11 @@ def rates(s, d):
 
 
 def m01_fees(s, d):
-    """Prices of orders in the currency of another nation: rate after spread and fee on each leg, and the path."""
+    """Prices of orders in the currency of another nation: whether it is reached, the rate after spread and fee on each leg, and the path."""
     o = v.table(s, d, "orders").join(v.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     amounts = o.select("o_orderkey", code(F.col("c_nationkey")).alias("source"), code(F.col("o_orderkey") % 25).alias("target"), F.col("o_totalprice").cast("decimal(17,2)").alias("amount"))
     found = mo.convert(amounts, rates(s, d))
-    return found.select("o_orderkey", F.array_join("path", ">").alias("path"), F.round(F.col("converted").cast("double"), 0).alias("converted"), F.round(F.col("applied").cast("double"), 8).alias("applied"), F.size(F.filter("legs", lambda x: x.inverted)).alias("back"))
+    return found.select("o_orderkey", F.array_join("path", ">").alias("path"), F.col("converted").isNotNull().alias("converted"), F.round(F.col("applied").cast("double"), 8).alias("applied"), F.when(F.col("path").isNotNull(), F.coalesce(F.size(F.filter("legs", lambda x: x.inverted)), F.lit(0))).alias("back"))
 
 
 def _xor(dimension: int) -> str:
@@ -148,5 +148,5 @@ QUERIES = {
     "z09_props": (z09_props, "SELECT event_id, replace(props,' ','') AS text, sha256(replace(props,' ','')) AS digest FROM events"),
     "x03_nested": (x03_nested, "SELECT p_partkey, CASE WHEN p_partkey%3<2 THEN '{\"a\":null,\"z\":['||p_partkey||',{\"a\":\"'||regexp_replace(p_name,'[\"\\\\]','','g')||'\",\"b\":'||p_partkey||'.5}],\"é\":100}' END AS text FROM part"),
     "x04_identity": (x04_identity, "SELECT n_nationkey, 'nation:'||substr(sha256('{\"kind\":\"nation\",\"parts\":[\"'||n_name||'\",\"'||n_regionkey||'\"]}'),1,24) AS id FROM nation"),
-    "m01_fees": (m01_fees, v.oracle(f"SELECT o_orderkey, array_to_string(p.path,'>') AS path, round(round(o_totalprice*p.applied,2),0) AS converted, round(p.applied,8) AS applied, p.back AS back FROM orders JOIN customer ON o_custkey=c_custkey LEFT JOIN best ON source={CODE.format('c_nationkey')} AND target={CODE.format('o_orderkey%25')}", recursive=RATES)),
+    "m01_fees": (m01_fees, v.oracle(f"SELECT o_orderkey, array_to_string(p.path,'>') AS path, p.applied IS NOT NULL AS converted, round(p.applied,8) AS applied, p.back AS back FROM orders JOIN customer ON o_custkey=c_custkey LEFT JOIN best ON source={CODE.format('c_nationkey')} AND target={CODE.format('o_orderkey%25')}", recursive=RATES)),
 }
