@@ -260,8 +260,10 @@ def _adjacency(edges: DataFrame, *columns: str) -> list:
     return rows
 
 
-def depth_first(edges: DataFrame, source: str) -> DataFrame:
-    """place, node in the order of a stack that marks nodes as they are pushed."""
+def depth_first(edges: DataFrame, source: str | None) -> DataFrame:
+    """place, node in the order of a stack that marks nodes as they are pushed; no rows from a null source."""
+    if source is None:
+        return edges.sparkSession.createDataFrame([], "place int, node string")
     out = defaultdict(list)
     for r in _adjacency(edges):
         out[r.src].append(r.dst)

@@ -49,7 +49,8 @@ def g03_bfs_levels(s, d):
 
 
 def g04_dfs(s, d):
-    return g.depth_first(v.trade_edges(s, d), sorted(r.src for r in v.trade_edges(s, d).select("src").distinct().collect())[0])
+    e = v.trade_edges(s, d)
+    return g.depth_first(e, e.agg(F.min("src")).first()[0])
 
 
 def g06_cut(s, d):
