@@ -139,13 +139,16 @@ def scan(points: DataFrame, step: Step, order: tuple[str, ...] = ("at", "sequenc
             yield part.drop(columns="_range").assign(before=list(before), state=list(states))
 
     def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Frames whose last row has its successor with it, so that a run that begins at a frame's end knows its second value."""
+        """Frames that part no run's first row from its second: the last row is held back, and with it the one before if a run begins there."""
         held = None
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            held = frame.iloc[-1:]
-            if len(frame) > 1:
-                yield frame.iloc[:-1]
+            keys = frame["key"].iloc[-3:-1]
+            goes_on = len(keys) == 2 and (keys.iloc[0] == keys.iloc[1] or keys.isna().all())
+            rest = max(0, len(frame) - (1 if goes_on else 2))
+            held = frame.iloc[rest:]
+            if rest:
+                yield frame.iloc[:rest]
         if held is not None:
             yield held
 

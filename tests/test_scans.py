@@ -84,3 +84,18 @@ def test_a_hot_key_runs_over_many_tasks(spark):
 def test_nothing_to_scan(spark):
     assert scans.ewma(spark.createDataFrame([], SCHEMA), 0.3).count() == 0
     assert scans.holt_linear(spark.createDataFrame([("a", datetime(2026, 1, 1), 1, 2.0)], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("batch", [2, 3, 5])
+def test_runs_that_begin_at_the_end_of_a_batch(spark, batch):
+    rows = [(key, datetime(2026, 1, 1) + timedelta(minutes=i), 10 * k + i, float((7 * k + 3 * i * i) % 11)) for k in range(40) for key in (None if k == 0 else f"k{k:02}",) for i in range(1 + k % 5)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {r.key: (r.estimate, r.scale) for r in scans.holt_linear(spark.createDataFrame(rows, SCHEMA), damp=0.9).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {key: plain_holt(x, 0.9) for key, x in by_key(rows).items() if len(x) > 1}
+    assert set(got) == set(want)
+    for key, pair in want.items():
+        assert got[key] == pytest.approx(pair, abs=1e-8)
