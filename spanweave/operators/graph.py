@@ -314,9 +314,11 @@ def articulation_points(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([(x,) for x in sorted(found)], "node string")
 
 
-def max_flow(edges: DataFrame, source: str, sink: str, capacity: str = "weight") -> tuple[float, list[tuple[str, str, float]], set[str]]:
-    """Value, flow by edge and the source's side of a least cut (shortest augmenting paths)."""
+def max_flow(edges: DataFrame, source: str | None, sink: str | None, capacity: str = "weight") -> tuple[float, list[tuple[str, str, float]], set[str]]:
+    """Value, flow by edge and the source's side of a least cut (shortest augmenting paths); nothing flows without a source and another node as sink."""
     rows = _adjacency(edges, capacity)
+    if source is None or sink is None or source == sink:
+        return 0.0, [(r.src, r.dst, 0.0) for r in rows], set()
     to, room, out = [], [], defaultdict(list)
     for r in rows:
         for a, b, c in ((r.src, r.dst, float(r[capacity])), (r.dst, r.src, 0.0)):

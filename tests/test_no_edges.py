@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from spanweave.operators import graph
 
 FROM = "/root/testdata/sf0.001"
 
@@ -27,3 +28,9 @@ def rows(spark, folder, key):
 
 def test_depth_first(spark, folder):
     assert rows(spark, folder, "g04_dfs") == []
+
+
+def test_max_flow(spark, folder):
+    assert rows(spark, folder, "g22_max_flow") == []
+    one = spark.createDataFrame([("a", "a", 1.0)], "src string, dst string, weight double")
+    assert graph.max_flow(one, "a", "a") == (0.0, [("a", "a", 0.0)], set())
