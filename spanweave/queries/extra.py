@@ -20,7 +20,7 @@ def _first(s, d):
 
 
 def g05_bfs_labels(s, d):
-    root = s.createDataFrame([(_first(s, d),)], "root string")
+    root = s.createDataFrame([(_first(s, d),)], "root string").where("root IS NOT NULL")
     hops = g.hops_from(v.trade_edges(s, d), root, 25)
     return hops.select("node", "hops", F.row_number().over(Window.orderBy("hops", "node")).cast("long").alias("place"))
 

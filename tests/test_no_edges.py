@@ -34,3 +34,18 @@ def test_max_flow(spark, folder):
     assert rows(spark, folder, "g22_max_flow") == []
     one = spark.createDataFrame([("a", "a", 1.0)], "src string, dst string, weight double")
     assert graph.max_flow(one, "a", "a") == (0.0, [("a", "a", 0.0)], set())
+
+
+def sql(folder, key):
+    con = duckdb.connect()
+    for name in os.listdir(folder):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{folder}/{name}')")
+    found = con.execute(entry.oracle_sql()[key])
+    return [c[0] for c in found.description], found.fetchall()
+
+
+@pytest.mark.parametrize("key", ["g05_bfs_labels"])
+def test_labels_are_those_of_the_sql(spark, folder, key):
+    names, theirs = sql(folder, key)
+    df = entry.queries()[key](spark, folder)
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(theirs)
