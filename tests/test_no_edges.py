@@ -44,7 +44,7 @@ def sql(folder, key):
     return [c[0] for c in found.description], found.fetchall()
 
 
-@pytest.mark.parametrize("key", ["g05_bfs_labels"])
+@pytest.mark.parametrize("key", ["g05_bfs_labels", "g12_shortest_labels"])
 def test_labels_are_those_of_the_sql(spark, folder, key):
     names, theirs = sql(folder, key)
     df = entry.queries()[key](spark, folder)
