@@ -107,13 +107,19 @@ def inverse(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarr
     same = np.abs(lat1) == np.abs(lat2)
     cb2, sb2 = np.where(same, cb1, cb2), np.where(same, np.sign(near * south) * np.abs(sb1), sb2)
 
-    def miss(alp: np.ndarray) -> np.ndarray:
-        _, _, salp0, calp0, s1, s2, omega = _path(np.sin(alp), np.cos(alp), sb1, cb1, sb2, cb2)
+    def off(salp: np.ndarray, calp: np.ndarray) -> np.ndarray:
+        _, _, salp0, calp0, s1, s2, omega = _path(salp, calp, sb1, cb1, sb2, cb2)
         return omega - FLATTENING * salp0 * _lag(EP2 * calp0**2, s1, s2) - lam
 
-    alp = _root(miss, lam)
+    # About 90 degrees the azimuth is told by what it lacks, as near the equator its cosine must be known to all digits.
+    half, quarter = np.full(lam.shape, np.sqrt(0.5)), np.pi / 4
+    low, high = off(half, half), off(half, -half)
+    across = (low < 0) & (high > 0)
+    sides = lambda x: (np.where(across, np.cos(x), np.sin(x)), np.where(across, -np.sin(x), np.cos(x)))
+    ends = [np.where(across, a, b) for a, b in ((quarter, np.pi), (high, np.pi - lam), (-quarter, 0.0), (low, -lam))]
+    alp = _root(lambda x: off(*sides(x)), *ends, np.where(across, 1e-20, 1.0))
     equator = (far == 0) & (lam <= (1 - FLATTENING) * np.pi)
-    salp1, calp1 = np.sin(alp), np.cos(alp)
+    salp1, calp1 = sides(alp)
     straight, over = lam == 0, lam == np.pi
     pole = np.abs(far) == 90
     salp1 = np.where(straight & ~pole, 0.0, np.where(over & ~pole & (far != 0), np.where(np.abs(lat1 + lat2) > 0, 0.0, salp1), salp1))
@@ -137,11 +143,9 @@ def inverse(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarr
     return np.where(nothing, 0.0, metres), az1, az2, np.where(nothing, 0.0, area)
 
 
-def _root(f: Callable[[np.ndarray], np.ndarray], lam: np.ndarray) -> np.ndarray:
-    """The root of f between 0 and pi, where it is below and above 0: steps by inverse quadratics within a bracket, else halves."""
-    a, b = np.full(lam.shape, np.pi), np.zeros(lam.shape)
-    fa, fb = np.pi - lam, -lam
-    c, fc, t = a.copy(), fa.copy(), np.full(lam.shape, 0.5)
+def _root(f: Callable[[np.ndarray], np.ndarray], a: np.ndarray, fa: np.ndarray, b: np.ndarray, fb: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """The root of f between b and a, where it is fb and fa, below and above 0, to the digits of unit + |root|: steps by inverse quadratics within a bracket, else halves."""
+    c, fc, t = a.copy(), fa.copy(), np.full(a.shape, 0.5)
     for _ in range(100):
         x = a + t * (b - a)
         fx = f(x)
@@ -151,13 +155,13 @@ def _root(f: Callable[[np.ndarray], np.ndarray], lam: np.ndarray) -> np.ndarray:
         a, fa = x, fx
         best = np.where(np.abs(fa) < np.abs(fb), a, b)
         wide = np.abs(b - a)
-        if (np.isnan(fx) | (fx == 0) | (wide < 4e-16 * (1 + np.abs(best)))).all():
+        if (np.isnan(fx) | (fx == 0) | (wide < 4e-16 * (unit + np.abs(best)))).all():
             break
         with np.errstate(all="ignore"):
             xi, phi = (a - b) / (c - b), (fa - fb) / (fc - fb)
             quadratic = (phi**2 < xi) & ((1 - phi) ** 2 < 1 - xi)
             step = fa / (fb - fa) * fc / (fb - fc) + (c - a) / (b - a) * fa / (fc - fa) * fb / (fc - fb)
-            least = np.minimum(0.5, 2e-16 * (1 + np.abs(best)) / wide)
+            least = np.minimum(0.5, 2e-16 * (unit + np.abs(best)) / wide)
         t = np.clip(np.where(quadratic & np.isfinite(step), step, 0.5), least, 1 - least)
     return np.where(np.abs(fa) < np.abs(fb), a, b)
 

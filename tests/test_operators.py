@@ -279,3 +279,14 @@ def test_distance_of_unknown_points(spark):
 
     row = spark.range(1).select(spatial.haversine_km(F.lit(None).cast("double"), F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("a"), spatial.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("b")).first()
     assert row.a is None and abs(row.b - 20015.1144) < 0.01
+
+
+def test_geodesics_beside_the_equator_to_near_antipodes_are_told_to_a_micrometre():
+    lat = np.array([0.015416271344292909, -0.0014619964349549264, 1e-7, -0.3])
+    lon = np.array([-34.268124997615814, -8.148186206817627, 5.0, 12.0])
+    lat2, lon2 = -lat, lon + np.array([179.2, 179.0, 178.0, 179.3])
+    metres, azimuth, *_ = gd.inverse(lat, lon, lat2, lon2)
+    there = gd.direct(lat, lon, azimuth, metres)
+    # As arcs of the sphere: the inverse itself is not asked.
+    off = 6.4e6 * np.radians(np.hypot(there[0] - lat2, np.mod(there[1] - lon2 + 180, 360) - 180))
+    assert off.max() < 1e-6
