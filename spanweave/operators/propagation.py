@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_number
-from ..plans.lineage import cut
+from ..plans.lineage import cut, written
 from .temporal import active_at
 
 
@@ -26,6 +26,14 @@ def attenuation(effects: DataFrame) -> DataFrame:
     return per.select("entity", ((1 - F.coalesce("r", F.lit(0.0))) * (1 - F.coalesce("g", F.lit(0.0)))).alias("keep"))
 
 
+FEW = 50_000
+
+
+def _beside(signals: DataFrame, n: int) -> DataFrame:
+    """Signals as one side of a join with edges: up to FEW of them, whose number is known, go to the edges, so that these are not shuffled for every hop."""
+    return F.broadcast(signals) if n <= FEW else signals
+
+
 MOST_DELAY = 10 * 366 * 86400.0
 
 
@@ -48,7 +56,7 @@ def propagate(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None
     if kinds is not None:
         edges = edges.where(F.col("kind").isin(kinds))
     delay = F.col("delay") if "delay" in edges.columns else F.lit(delay_seconds)
-    edges = cut(edges.select("src", "dst", "factor", "valid_from", "valid_to", F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait")))  # read once, not once a level
+    edges = written(edges.select("src", "dst", "factor", "valid_from", "valid_to", F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait")), "edges")  # made once, not once a level
     keep = None if keep is None else cut(keep)
     wait = F.col("wait")
 
@@ -59,13 +67,14 @@ def propagate(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None
 
     start = shocks.select(*variant, "shock_id", F.col("source").alias("entity"), F.col("severity").cast("double").alias("impairment"), F.lit(0).alias("depth"), F.col("starts_at").alias("effective_at"), F.array("source").alias("path"))
     frontier = cut(damp(start).where(F.col("impairment") >= least))
-    every = frontier
+    every, n = frontier, frontier.count()
     for _ in range(hops):
-        out = frontier.join(edges, (frontier.entity == edges.src) & ~F.array_contains("path", F.col("dst")))
+        out = _beside(frontier, n).join(edges, (F.col("entity") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
         out = out.where(active_at(F.col("effective_at")) & active_at(F.col("effective_at") + wait))
         out = out.select(*variant, "shock_id", F.col("dst").alias("entity"), (F.col("impairment") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("factor")))).alias("impairment"), (F.col("depth") + 1).alias("depth"), (F.col("effective_at") + wait).alias("effective_at"), F.concat("path", F.array("dst")).alias("path"))
         frontier = cut(damp(out).where(F.col("impairment") >= least))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if n == 0:
             break
         every = every.unionByName(frontier)
     return every
@@ -104,7 +113,7 @@ def propagate_bounded(edges: DataFrame, shocks: DataFrame, keep: DataFrame | Non
     queue, whatever the partitions.
     """
     delay = F.col("delay") if "delay" in edges.columns else F.lit(0.0)
-    edges = cut(edges.select("edge_id", "src", "dst", "factor", "valid_from", "valid_to", delay.cast("double").alias("delay"), F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait")))
+    edges = written(edges.select("edge_id", "src", "dst", "factor", "valid_from", "valid_to", delay.cast("double").alias("delay"), F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait")), "edges")
     ahead = edges.agg(F.min("delay")).first()[0] or 0.0
     keep = None if keep is None else cut(keep)
 
@@ -149,7 +158,7 @@ def propagate_bounded(edges: DataFrame, shocks: DataFrame, keep: DataFrame | Non
             rest = frontier.join(batch.select("shock_id", "via", "path"), ["shock_id", "via", "path"], "left_anti").select(*columns)
             size = max_signals - processed
         processed += size
-        out = batch.where(F.col("depth") < hops).select(*columns, F.struct(*ORDER).alias("turn")).join(edges, (F.col("entity") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
+        out = _beside(batch.where(F.col("depth") < hops).select(*columns, F.struct(*ORDER).alias("turn")), size).join(edges, (F.col("entity") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
         out = out.where(active_at(F.col("effective_at")) & active_at(F.col("effective_at") + F.col("wait")) & (F.col("factor") > 0))
         out = out.select("shock_id", F.col("dst").alias("entity"), (F.col("impairment") * F.least(F.lit(1.0), F.col("factor"))).alias("impairment"), (F.col("depth") + 1).alias("depth"), (F.col("effective_at") + F.col("wait")).alias("effective_at"), F.concat("path", F.array("dst")).alias("path"), F.concat("via", F.array("edge_id")).alias("via"), F.struct("turn", "edge_id").alias("turn"))
         new = cut(damp(out).where(F.col("impairment") >= least).select(*columns, "turn"))
