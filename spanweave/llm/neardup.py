@@ -15,9 +15,11 @@ Candidates come from posting lists, one for each coordinate-value pair:
   first, so a passage that very many documents hold is not posted by documents
   that have enough else.
 * Merging skips what is settled. Members of a list are compared with one pivot
-  of it, a star, and linked members become one class. Where a list still holds
-  members of different classes, those are told apart by how they differ from
-  the pivot P: with R removed and A added shingles, two members have
+  of it, a star, and linked members become one class. Where a pivot's members
+  are still of different classes, up to NEAR of them are compared by their
+  coordinates, all with all, and those that agree in ``least`` by their sets.
+  More members, and members of whom more than NEAR_PAIRS pairs each agree, are
+  told apart by how they differ from the pivot P: with R removed and A added shingles, two members have
   |P| - r1 - r2 + |R1 & R2| + |A1 & A2| in common, so they are similar only if
   they share at least u1 + u2 differences, where u grows with r and t = |A|.
   Pairs with u1 + u2 <= 0 both belong to P's class; all others share a
@@ -298,6 +300,43 @@ def _settle(links: _Links, posted: DataFrame) -> None:
         turn += 1
 
 
+NEAR, NEAR_PAIRS = 4096, 8
+NEAR_FOUND = "pivot long, i long, j long, x long, y long"
+
+
+def _agreeing(least: int) -> Callable:
+    """Pairs of a pivot's members of different classes with enough equal coordinates; one row without members if they are too many."""
+
+    def run(group: pa.Table) -> pa.Table:
+        pivot, ids, classes = (group.column(c).to_numpy() for c in ("pivot", "id", "class"))
+        values = group.column("signature").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDINATES)
+        i, j, found = [], [], 0
+        for k in range(len(ids) - 1):
+            others = k + 1 + np.flatnonzero(classes[k + 1 :] != classes[k])
+            hits = others[(values[others] == values[k]).sum(axis=1) >= least]
+            found += len(hits)
+            if found > NEAR_PAIRS * len(ids):
+                return pa.table({c.split()[0]: pa.array([pivot[0] if c == "pivot long" else None], pa.int64()) for c in NEAR_FOUND.split(", ")})
+            i.append(np.full(len(hits), k))
+            j.append(hits)
+        i, j = np.concatenate([np.zeros(0, np.int64), *i]), np.concatenate([np.zeros(0, np.int64), *j])
+        return pa.table({"pivot": pivot[i], "i": ids[i], "j": ids[j], "x": classes[i], "y": classes[j]})
+
+    return run
+
+
+def _join_near(links: _Links, members: DataFrame) -> DataFrame:
+    """Join classes within the groups of at most NEAR members, and give the pivots of the groups that this does not settle."""
+    several = lambda: links.classed(members).groupBy("pivot").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    near = several().where(F.col("n") <= NEAR).select("pivot")
+    known = links.classed(members.join(near, "pivot", "left_semi")).join(links.nodes.select("id", "signature"), "id")
+    found = cut(known.groupBy("pivot").applyInArrow(_agreeing(links.least), NEAR_FOUND))
+    links.join(_pairs(found.where("i IS NOT NULL")))
+    left = several()
+    dense = left.join(found.where("i IS NULL").select("pivot"), "pivot", "left_semi")
+    return left.where(F.col("n") > NEAR).unionByName(dense).select("pivot")
+
+
 SALT_ROWS = 500
 
 
@@ -340,10 +379,9 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     links.join(links.colliding(_pairs(members.select(F.col("id").alias("i"), F.col("pivot").alias("j"), F.col("id").alias("x"), F.col("pivot").alias("y")))))
 
     # Groups whose members, the pivot apart, are in several classes.
-    several = links.classed(members).groupBy("pivot").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("pivot")
-    beside = _beside_pivots(cut(members.join(several, "pivot", "left_semi")), sets)
-    posted = cut(beside.mapInArrow(_differences(percent), DIFFERENCES))
-    _settle(links, posted)
+    beyond = cut(members.join(_join_near(links, members), "pivot", "left_semi"))
+    if not beyond.isEmpty():
+        _settle(links, cut(_beside_pivots(beyond, sets).mapInArrow(_differences(percent), DIFFERENCES)))
 
     linked = links.labels.join(nodes.select("id", "first"), "id")
     first = linked.groupBy("label").agg(F.min("first").alias("least"))

@@ -168,6 +168,26 @@ def test_neardup_costs_stars_not_pairs(documents, monkeypatch, width, percent):
     assert sizes[1] < 8 * sizes[0] + 400
 
 
+def test_neardup_compares_small_groups_at_once(documents, monkeypatch):
+    """Groups of a few texts that are alike, but mostly not enough, post no differences; both ways give the same classes."""
+    posted = []
+    settle = neardup._settle
+    monkeypatch.setattr(neardup, "_settle", lambda links, rows: (posted.append(rows.count()), settle(links, rows))[1])
+    rng, rows = random.Random(5), []
+    for group in range(4):
+        base = prose(rng, 100).split()
+        for i in range(7):
+            words = list(base)
+            for k in rng.sample(range(100), 3):
+                words[k] = f"e{rng.randrange(10**6)}"
+            rows.append((10 * group + i, " ".join(words)))
+    told = lambda: sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(documents(rows), 3, 85).collect())
+    want = sorted(classes(rows, 3, 85))
+    assert told() == want and sum(posted) == 0
+    monkeypatch.setattr(neardup, "NEAR", 0)
+    assert told() == want and sum(posted) > 0
+
+
 def test_neardup_repeated_ids(documents):
     """Rows of one id with different texts are documents of their own; select keeps one row of each class."""
     rng = random.Random(5)
