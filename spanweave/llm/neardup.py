@@ -18,8 +18,10 @@ Candidates come from posting lists, one for each coordinate-value pair:
   of it, a star, and linked members become one class. Where a pivot's members
   are still of different classes, up to NEAR of them are compared by their
   coordinates, all with all, and those that agree in ``least`` by their sets.
-  More members, and members of whom more than NEAR_PAIRS pairs each agree, are
-  told apart by how they differ from the pivot P: with R removed and A added shingles, two members have
+  Where more than NEAR_PAIRS pairs each agree, the task counts what all pairs
+  share of their differences from the pivot, up to DENSE differences and
+  DENSE_WORK comparisons of these. More members or differences are told apart
+  by a posting: with R removed from P and A added shingles, two members have
   |P| - r1 - r2 + |R1 & R2| + |A1 & A2| in common, so they are similar only if
   they share at least u1 + u2 differences, where u grows with r and t = |A|.
   Pairs with u1 + u2 <= 0 both belong to P's class; all others share a
@@ -232,7 +234,11 @@ class _Links:
 
     def join(self, pairs: DataFrame) -> None:
         """Test the pairs and join the classes of those that are linked."""
-        linked = cut(self.similar(pairs).distinct())
+        self.merge(self.similar(pairs).distinct())
+
+    def merge(self, links: DataFrame) -> None:
+        """Join the classes that ``links`` (a, b) name."""
+        linked = cut(links)
         if self.labels is None:
             self.labels = components(linked)
         elif not linked.isEmpty():
@@ -327,14 +333,75 @@ def _agreeing(least: int) -> Callable:
 
 def _join_near(links: _Links, members: DataFrame) -> DataFrame:
     """Join classes within the groups of at most NEAR members, and give the pivots of the groups that this does not settle."""
-    several = lambda: links.classed(members).groupBy("pivot").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    near = several().where(F.col("n") <= NEAR).select("pivot")
-    known = links.classed(members.join(near, "pivot", "left_semi")).join(links.nodes.select("id", "signature"), "id")
+    several = lambda of: cut(links.classed(of).groupBy("pivot").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("pivot", "n"))
+    groups = several(members)
+    known = links.classed(members.join(groups.where(F.col("n") <= NEAR), "pivot", "left_semi")).join(links.nodes.select("id", "signature"), "id")
     found = cut(known.groupBy("pivot").applyInArrow(_agreeing(links.least), NEAR_FOUND))
     links.join(_pairs(found.where("i IS NOT NULL")))
-    left = several()
-    dense = left.join(found.where("i IS NULL").select("pivot"), "pivot", "left_semi")
-    return left.where(F.col("n") > NEAR).unionByName(dense).select("pivot")
+    dense = members.join(found.where("i IS NULL").select("pivot"), "pivot", "left_semi")
+    large = several(members.join(groups.where(F.col("n") > NEAR), "pivot", "left_semi")).select("pivot")
+    dense = dense.join(several(dense), "pivot", "left_semi")
+    return large.unionByName(_join_dense(links, dense))
+
+
+DENSE, DENSE_WORK = 1 << 20, 1 << 30
+APART = "pivot long, id long, size long, removed long, added long, base long, elements binary"
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How each member differs from its pivot: counts and elements of what is removed and added."""
+    for batch in batches:
+        rows = []
+        for mine, pivot in zip(batch.column("hashes"), batch.column("other"), strict=True):
+            own, of = (np.frombuffer(x.as_buffer(), np.uint64) for x in (mine, pivot))
+            added, removed = np.setdiff1d(own, of, True), np.setdiff1d(of, own, True)
+            rows.append((len(own), len(removed), len(added), len(of), np.concatenate([removed, added]).tobytes()))
+        sizes = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("id"), *sizes, pa.array([r[4] for r in rows], pa.binary())], [c.split()[0] for c in APART.split(", ")])
+
+
+def _linking(percent: int, work: int) -> Callable:
+    """Links that join the classes of a pivot's similar members, by exact counts of the differences that two share; one row without ends if these are more than ``work``.
+
+    |S1 & S2| = |P| - r1 - r2 + |R1 & R2| + |A1 & A2|. (No element is removed from one and added to another.)
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        pivot, classes, size, removed, base = (group.column(c).to_numpy() for c in ("pivot", "class", "size", "removed", "base"))
+        n, each = len(pivot), [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("elements").combine_chunks()]
+        ends = np.cumsum([0, *map(len, each)])
+        _, element = np.unique(np.concatenate(each), return_inverse=True)
+        counts = np.bincount(element)
+        if int((counts.astype(np.int64) ** 2).sum()) > work:
+            return pa.table({"pivot": pa.array(pivot[:1]), "a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})
+        holders = np.repeat(np.arange(n), np.diff(ends))[np.argsort(element, kind="stable")]
+        starts = np.cumsum(counts) - counts
+        label, a, b = classes.copy(), [], []
+        for k in range(n):
+            own = element[ends[k] : ends[k + 1]]
+            many = counts[own]
+            at = np.arange(many.sum()) + np.repeat(starts[own] - (np.cumsum(many) - many), many)
+            common = base - removed[k] - removed + np.bincount(holders[at], minlength=n)
+            hits = np.flatnonzero((label != label[k]) & (100 * common >= percent * (size[k] + size - common)))
+            for j in hits[np.unique(label[hits], return_index=True)[1]]:
+                a.append(classes[k])
+                b.append(classes[j])
+                label[label == label[j]] = label[k]
+        return pa.table({"pivot": pa.array(np.full(len(a), pivot[0])), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _join_dense(links: _Links, members: DataFrame) -> DataFrame:
+    """Join classes within groups of at most NEAR members of whom many agree, all pairs by their differences; gives the pivots of the groups whose differences are too many for one task."""
+    if members.isEmpty():
+        return members.select("pivot")
+    apart = cut(_beside_pivots(members, links.sets).mapInArrow(_apart, APART))
+    held = apart.groupBy("pivot").agg(F.sum(F.col("removed") + F.col("added")).alias("n"))
+    known = links.classed(apart.join(held.where(F.col("n") <= DENSE), "pivot", "left_semi"))
+    found = cut(known.groupBy("pivot").applyInArrow(_linking(links.percent, DENSE_WORK), "pivot long, a long, b long"))
+    links.merge(found.where("a IS NOT NULL").select("a", "b").distinct())
+    return held.where(F.col("n") > DENSE).select("pivot").unionByName(found.where("a IS NULL").select("pivot"))
 
 
 SALT_ROWS = 500

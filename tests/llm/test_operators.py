@@ -188,6 +188,31 @@ def test_neardup_compares_small_groups_at_once(documents, monkeypatch):
     assert told() == want and sum(posted) > 0
 
 
+def test_neardup_counts_dense_groups_at_once(documents, monkeypatch):
+    """Groups of many texts that agree but are mostly not similar enough post no differences; all ways give the same classes."""
+    posted = []
+    settle = neardup._settle
+    monkeypatch.setattr(neardup, "_settle", lambda links, rows: (posted.append(rows.count()), settle(links, rows))[1])
+    rng, rows = random.Random(11), []
+    for group in range(3):
+        base = prose(rng, 100).split()
+        for i in range(40):
+            words = list(base)
+            for k in rng.sample(range(100), 3):
+                words[k] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * group + 2 * i, " ".join(words)))
+            if i % 4 == 0:
+                words[-1] = f"e{rng.randrange(10**6)}"
+                rows.append((100 * group + 2 * i + 1, " ".join(words)))
+    told = lambda: sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(documents(rows), 3, 85).collect())
+    want = sorted(classes(rows, 3, 85))
+    assert told() == want and sum(posted) == 0
+    for limit in ("DENSE_WORK", "DENSE"):
+        posted.clear()
+        monkeypatch.setattr(neardup, limit, 0)
+        assert told() == want and sum(posted) > 0
+
+
 def test_neardup_repeated_ids(documents):
     """Rows of one id with different texts are documents of their own; select keeps one row of each class."""
     rng = random.Random(5)
