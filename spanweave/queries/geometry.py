@@ -76,7 +76,7 @@ def sp13_relations(s, d):
 def sp12_box_join(s, d):
     """Kites of different labels whose boxes meet: partners and least partner of each."""
     box = ov.boxes(ov.ring_edges(kites(s, d)).select("id", *ov.POINT)).join(kites(s, d).select("id", "label"), "id")
-    return ti.join_boxes(box, box, most=500).where("l_label <> r_label").groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"), F.min("r_id").alias("first"))
+    return ti.partners(box, "label")
 
 
 def sp12_nearest(s, d):
