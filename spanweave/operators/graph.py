@@ -222,18 +222,23 @@ def _anchored(steps: DataFrame, degree: DataFrame) -> DataFrame:
     raise ValueError("the graph has a cycle")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, level: the longest way from a node without incoming edges; an error on a cycle.
+def topological_levels(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """node, level: the longest way from a node without incoming edges; an error on a cycle. Without ``nodes``, those are meant that edges have.
 
     Chains are drawn together first (see ``_anchored``). The rest is taken
     level by level: a node is done when all edges to it have come from nodes
     that are done. So rounds grow with the joins of ways on a path, and with
     the logarithm of its length, and edges move once.
     """
-    nodes = cut(nodes.select("node").distinct())
-    known = lambda c: nodes.select(F.col("node").alias(c))
-    steps = cut(edges.select("src", "dst").distinct().join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi"))
-    degree = cut(nodes.join(steps.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")), "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
+    steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    if nodes is not None:
+        nodes = cut(nodes.select("node").distinct())
+        known = lambda c: nodes.select(F.col("node").alias(c))
+        steps = steps.join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi")
+    steps = cut(steps)
+    ends = steps.select(F.col("dst").alias("node"), F.lit(1).cast("long").alias("n"))
+    others = steps.select(F.col("src").alias("node")) if nodes is None else nodes
+    degree = cut(ends.unionByName(others.select("node", F.lit(0).cast("long").alias("n"))).groupBy("node").agg(F.sum("n").alias("n")))
     chain = _anchored(steps, degree)
     joins = degree.where("n > 1").select(F.col("node").alias("dst"), F.col("n").alias("need"))
     ways = steps.join(joins, "dst").join(chain.withColumnRenamed("node", "src"), "src", "left")
