@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +42,18 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "))
 
 
+NFKC_BYTES = 1 << 20
+
+
 def nfkc():
-    @F.pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold())
+    """Texts in NFKC, folded, white space as single spaces. A batch goes in runs of about NFKC_BYTES, so that Python holds no more of its texts at once."""
+    @F.arrow_udf("string")
+    def run(text: pa.Array) -> pa.Array:
+        text = text.cast(pa.large_string())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+        bounds = np.unique([0, *np.searchsorted(ends, np.arange(NFKC_BYTES, ends[-1] if len(ends) else 0, NFKC_BYTES), "right"), len(text)])
+        parts = [pa.array([None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold() for x in text[a:b].to_pylist()], pa.string()) for a, b in pairwise(bounds.tolist())]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return run
 
