@@ -11,7 +11,8 @@ the frequent phrases of k words are merge-joined with themselves, one position
 on, and the lengths of the new lists are added up again.
 
 Between levels blocks and the frequent phrases are Parquet tables in the
-shared folder. A phrase is named by its first slot (block and number within
+shared folder; those of a level go when the next one's lists are written, and
+only a row for each frequent phrase stays. A phrase is named by its first slot (block and number within
 it), so names are exact and need no counter. A block asks one row for each
 candidate it holds, however often.
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, flat, spans
-from .shared import raw, table, written
+from .shared import discard, raw, table, written
 
 LONGEST, LEAST, COVER_PERCENT, BEST = 5, 100, 100, 2000
 BLOCK_BYTES = 1 << 23
@@ -191,8 +192,8 @@ def _frequent(asks: DataFrame, least: int, *keys: str) -> DataFrame:
 PAIRS = "block long, ids array<long>, lefts binary, rights binary, lengths binary, count int, size int, positions binary"
 
 
-def _extend(state: pa.Table, told: pa.Table) -> pa.Table:
-    """The lists of a block, those of its frequent phrases kept and joined."""
+def _joined(state: pa.Table, told: pa.Table, last: bool) -> pa.Table:
+    """The lists of a block, those of its frequent phrases kept and joined; of the ``last`` level only their lengths."""
     out = [c.split()[0] for c in PAIRS.split(", ")]
     if not state.num_rows or not told.num_rows:
         return pa.table({"block": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), **{c: pa.array([], pa.int32() if c in ("count", "size") else pa.binary()) for c in out[2:]}})
@@ -202,27 +203,43 @@ def _extend(state: pa.Table, told: pa.Table) -> pa.Table:
     ids = told.column("id").to_numpy()[order]
     lengths, positions = chosen(unpacked(row["lengths"], row["count"]), unpacked(row["positions"], row["size"]), keep)
     left, right, n, at = extended(lengths, positions)
+    if last:
+        at = at[:0]
     values = [[row["block"]], [ids], [packed(left)], [packed(right)], [packed(n)], [len(n)], [len(at)], [packed(at)]]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
     return pa.table([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=out)
 
 
+def _extend(state: pa.Table, told: pa.Table) -> pa.Table:
+    return _joined(state, told, last=False)
+
+
+def _extend_last(state: pa.Table, told: pa.Table) -> pa.Table:
+    return _joined(state, told, last=True)
+
+
 def _levels(docs: DataFrame, least: int, longest: int, block_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
     """All words by language, and the frequent phrases of 1 to ``longest`` words: id, f, and left, right or lang, word."""
     state = written(index(docs, block_bytes), "phrases")
-    sizes = state.groupBy("lang").agg(F.sum("size").alias("n"))
+    sizes = written(state.groupBy("lang").agg(F.sum("size").alias("n")), "phrases")
     asks = state.select("block", "lang", "words", "lengths").mapInArrow(_ask_words, "slot long, lang string, word string, n int")
     told = written(_frequent(asks, least, "lang", "word"), "phrases")
-    levels = [told]
-    state = state.select("block", "lengths", F.size("words").alias("count"), "size", "positions")
-    for _ in range(longest - 1):
+    names = lambda: written(told.where("slot = id").drop("slot"), "phrases")
+    levels = [names()]
+    lists = state.select("block", "lengths", F.size("words").alias("count"), "size", "positions")
+    for k in range(2, longest + 1):
         answers = told.select(F.shiftright("slot", SLOT).alias("block"), "slot", "id")
-        state = written(state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_extend, PAIRS), "phrases")
+        new = written(lists.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_extend if k < longest else _extend_last, PAIRS), "phrases")
+        discard(state)
+        discard(told)
+        state = new
         asks = state.select("block", "ids", "lefts", "rights", "lengths", "count").mapInArrow(_ask_pairs, "slot long, left long, right long, n int")
         told = written(_frequent(asks, least, "left", "right"), "phrases")
-        levels.append(told)
-        state = state.select("block", "lengths", "count", "size", "positions")
-    return sizes, [t.where("slot = id").drop("slot") for t in levels]
+        levels.append(names())
+        lists = state.select("block", "lengths", "count", "size", "positions")
+    discard(state)
+    discard(told)
+    return sizes, levels
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,8 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,15 @@ def test_other_lengths(spark):
         assert rows_of(phrases.collocations(docs, least=5, longest=longest)) == brute(rows, 5, 2000, longest)
 
 
+def test_lists_go_when_counted(spark):
+    folder = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    rows, before = some_rows(5), set(folder.glob("phrases-*"))
+    found = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=5)
+    left = [spark.read.parquet(str(p)).columns for p in set(folder.glob("phrases-*")) - before]
+    assert left and not [c for c in left if "positions" in c or "slot" in c]
+    assert rows_of(found) == brute(rows, 5, 2000)
+
+
 def test_nothing_to_count(spark):
     for rows in ([], [(None, None), ("en", ""), ("de", " .,\n")], [("en", "one two three")] * 5):
         docs = spark.createDataFrame(rows, "lang string, text string")
