@@ -201,13 +201,8 @@ def paired(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def relations(arranged: DataFrame) -> DataFrame:
-    """For each pair (a, b): intersects, touches, covers, within, equals.
-
-    They follow from what lies beside the pieces: a place in both, in a alone,
-    in b alone, or a corner or piece that both have. A polygon covers another if
-    one turn of 360 degrees holds all of it.
-    """
+def _by_turn(arranged: DataFrame) -> DataFrame:
+    """For each pair and turn: is there a place in both, in a alone, in b alone, and a corner that both have?"""
     lines = ["ax", "ay", "bx", "by"]
     in_ = lambda side, k: F.coalesce(F.bool_or(F.when(F.col("side") == k, F.col(side))), F.lit(False))
     told = arranged.groupBy(*PAIR, *lines).agg(*[in_(side, k).alias(f"{side}_{c}") for side in ("left", "right") for k, c in ((0, "a"), (1, "b"))])
@@ -215,13 +210,74 @@ def relations(arranged: DataFrame) -> DataFrame:
     by_turn = told.groupBy(*PAIR).agg(here(True, True).alias("both"), here(True, False).alias("only_a"), here(False, True).alias("only_b"))
     corners = arranged.where("edge").select(*PAIR, "side", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("c"))
     shared = corners.groupBy(*PAIR, "c").agg((F.count_distinct("side") > 1).alias("both_have")).groupBy(*PAIR).agg(F.bool_or("both_have").alias("meet"))
-    per = by_turn.join(shared, PAIR)
-    return per.groupBy("a", "b").agg(
+    return by_turn.join(shared, PAIR)
+
+
+def _told(by_turn: DataFrame) -> DataFrame:
+    return by_turn.groupBy("a", "b").agg(
         F.bool_or(F.col("both") | F.col("meet")).alias("intersects"), (F.bool_or("meet") & ~F.bool_or("both")).alias("touches"),
         F.bool_or(~F.col("only_b")).alias("covers"), F.bool_or(~F.col("only_a")).alias("within"), F.bool_or(~F.col("only_a") & ~F.col("only_b")).alias("equals"),
     )
 
 
+def relations(arranged: DataFrame) -> DataFrame:
+    """For each pair (a, b): intersects, touches, covers, within, equals.
+
+    They follow from what lies beside the pieces: a place in both, in a alone,
+    in b alone, or a corner or piece that both have. A polygon covers another if
+    one turn of 360 degrees holds all of it.
+    """
+    return _told(_by_turn(arranged))
+
+
+def _about(edges: DataFrame) -> DataFrame:
+    """id, box and a place on the border of what is inside (px, py; null if nothing is) of every polygon."""
+    middle = F.struct(((F.col("ay") + F.col("by")) / 2).alias("y"), ((F.col("ax") + F.col("bx")) / 2).alias("x"))
+    places = _pieces(edges.withColumn("side", F.lit(0)), ["id"]).where("n % 2 = 1").groupBy("id").agg(F.min(middle).alias("p"))
+    return boxes(edges).join(places, "id", "left").select("id", "w", "s", "e", "n", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+
+
+def _near(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """For each pair: has_a, has_b (something is inside), near_a, near_b (an edge meets the box that both boxes share), in_a, in_b (the place of the other lies inside)."""
+    named = lambda edges, k: _about(edges).select(*[F.col(c).alias(k if c == "id" else f"{k}_{c}") for c in ("id", "w", "s", "e", "n", "px", "py")])
+    turn = F.col("turn") * TURN
+    placed = pairs.join(named(left, "a"), "a").join(named(right, "b"), "b").withColumns({c: F.col(c) + turn for c in ("b_w", "b_e", "b_px")})
+    shared = {"w": F.greatest("a_w", "b_w") - 2, "s": F.greatest("a_s", "b_s") - 2, "e": F.least("a_e", "b_e") + 2, "n": F.least("a_n", "b_n") + 2}
+    placed = cut(placed.select(*PAIR, *[x.alias(c) for c, x in shared.items()], *[f"{k}_{c}" for k in "ab" for c in ("px", "py")]))
+    d = lambda c: F.col(c).cast("double")
+    dx, dy = d("x2") - d("x1"), d("y2") - d("y1")
+    side = [dx * (d(y) - d("y1")) - dy * (d(x) - d("x1")) for x in "we" for y in "sn"]
+    beside = (F.least(*side) > 0) | (F.greatest(*side) < 0)
+    meets = (F.least("x1", "x2") <= F.col("e")) & (F.greatest("x1", "x2") >= F.col("w")) & (F.least("y1", "y2") <= F.col("n")) & (F.greatest("y1", "y2") >= F.col("s")) & ~beside
+
+    def seen(edges: DataFrame, own: str, other: str, turned: Column) -> DataFrame:
+        e = edges.select(F.col("id").alias(own), *POINT)
+        x, y = F.col(f"{other}_px"), F.col(f"{other}_py")
+        west = ((F.col("y1") > y) != (F.col("y2") > y)) & (d("x1") + (y - d("y1")) * (dx / dy) < x)
+        rows = placed.join(e, own).withColumns({"x1": F.col("x1") + turned, "x2": F.col("x2") + turned})
+        return rows.select(*PAIR, F.lit(own).alias("of"), F.col(f"{own}_px").isNotNull().alias("has"), meets.alias("near"), F.coalesce(west, F.lit(False)).cast("int").alias("west"))
+
+    rows = seen(left, "a", "b", F.lit(0).cast("long")).unionByName(seen(right, "b", "a", turn))
+    of = lambda k, c: F.when(F.col("of") == k, F.col(c))
+    return rows.groupBy(*PAIR).agg(*[x for k in "ab" for x in (F.bool_or(of(k, "has")).alias(f"has_{k}"), F.bool_or(of(k, "near")).alias(f"near_{k}"), (F.sum(of(k, "west")) % 2 == 1).alias(f"in_{k}"))])
+
+
+def related(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``relations`` of pairs (a, b, turn) of polygons given as edges; only pairs whose borders may meet are arranged.
+
+    Where no edge of a meets the box that both boxes share, a holds all of that
+    box or nothing of it, so one place on the border of b tells, and the other
+    way round; a itself has places outside of b then. An edge on the border of
+    the box, or next to it, meets it.
+    """
+    told = cut(_near(pairs, left, right))
+    hard = F.col("near_a") & F.col("near_b")
+    both = F.col("has_a") & F.col("has_b") & F.when(F.col("near_b"), F.col("in_a")).when(F.col("near_a"), F.col("in_b")).otherwise(False)
+    easy = told.where(~hard).withColumn("both", both)
+    easy = easy.select(*PAIR, "both", (F.col("has_a") & ~(F.col("near_a") & F.col("both"))).alias("only_a"), (F.col("has_b") & ~(F.col("near_b") & F.col("both"))).alias("only_b"), F.lit(False).alias("meet"))
+    return _told(easy.unionByName(_by_turn(arrangement(paired(told.where(hard).select(*PAIR), left, right), PAIR))))
+
+
 def dissolved(edges: DataFrame, levels: int = 3, size: float = 45.0) -> DataFrame:
     """Union of all polygons of a group: directed edges (group, x1, y1, x2, y2) around it; given as (group, id, edges).
 

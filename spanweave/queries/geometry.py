@@ -69,8 +69,8 @@ def sp14_repair(s, d):
 def sp13_relations(s, d):
     """How each kite lies to each star that it meets."""
     one, two = ov.ring_edges(stars(s, d)), ov.ring_edges(kites(s, d))
-    arranged = ov.arrangement(ov.paired(ov.candidates(ov.boxes(one), ov.boxes(two)).where("turn = 0"), one, two), ov.PAIR)
-    return ov.relations(arranged).where("intersects").select(F.col("a").alias("star"), F.col("b").alias("kite"), "touches", "covers", "within", "equals")
+    pairs = ov.candidates(ov.boxes(one), ov.boxes(two)).where("turn = 0")
+    return ov.related(pairs, one, two).where("intersects").select(F.col("a").alias("star"), F.col("b").alias("kite"), "touches", "covers", "within", "equals")
 
 
 def sp12_box_join(s, d):

@@ -102,6 +102,21 @@ def test_boxes_in_every_position(spark):
         assert told[k + 1] == (True, both == 0, both == size, both == 16, both == size == 16)
 
 
+def test_related_pairs_are_arranged_only_near_each_other(spark, monkeypatch):
+    draw = random.Random(7)
+    spots = [(draw.uniform(-9, 9), draw.uniform(-9, 9)) for _ in range(25)]
+    one = [(0, star(draw, 0, 0, 10, 9)), (1, box(-8, -8, 8, 8)), (1, box(-3, -3, 3, 3)), (2, [(-8, -1), (8, -1), (8, 1), (-8, 1)]), (3, [(-5, 0), (5, 0), (-5, 0)]), (4, box(175, 2, 185, 8)), (5, box(-6, -6, 6, 6)), (5, box(-6, -6, 6, 6))]
+    two = [(k, star(draw, x, y, 1, 5)) for k, (x, y) in enumerate(spots)] + [(50, box(-2, -2, 2, 2)), (51, box(-3, -3, 3, 3)), (52, box(-9, -9, 9, 9)), (53, box(-1, -8, 1, 8)), (54, box(-180, 3, -178, 4)), (55, [(1, 1), (2, 2), (1, 1)]), (56, box(-8, 8, 8, 9)), (57, box(6, -1, 7, 1))]
+    a, b = ov.ring_edges(polygons(spark, one)), ov.ring_edges(polygons(spark, two))
+    pairs = ov.candidates(ov.boxes(a), ov.boxes(b)).localCheckpoint()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want, asked = rows(ov.relations(ov.arrangement(ov.paired(pairs, a, b), ov.PAIR))), []
+    paired = ov.paired
+    monkeypatch.setattr(ov, "paired", lambda near, *edges: asked.append(near.count()) or paired(near, *edges))
+    assert rows(ov.related(pairs, a, b)) == want and any(r[4] for r in want) and not all(r[2] for r in want)
+    assert sum(asked) < 0.6 * pairs.count()
+
+
 def test_across_the_date_line(spark):
     one = [(1, [(170, 0), (-170, 0), (-170, 10), (170, 10)]), (2, box(-179, 2, -175, 4)), (3, box(175, 2, 179, 4)), (4, box(0, 0, 10, 10))]
     arranged = overlaid(spark, one, one)
