@@ -33,7 +33,9 @@ def a12_weighted_numeric(s, d):
 
 
 def a13_dependency_profile(s, d):
-    return v.supplies(s, d).groupBy(F.col("dst").alias("entity")).agg(F.count_distinct("src").alias("upstream"), F.round(F.max("strength") / F.sum("strength"), 9).alias("concentration"), (F.count_distinct("src") == 1).alias("single_point"))
+    """Suppliers of each part and the greatest's share; supplies has one row a supplier and part, and strengths of six digits add up exactly, in any order."""
+    n, total = F.count("src"), F.sum(F.col("strength").cast("decimal(18,6)")).cast("double")
+    return v.supplies(s, d).groupBy(F.col("dst").alias("entity")).agg(n.alias("upstream"), F.round(F.max("strength") / total, 9).alias("concentration"), (n == 1).alias("single_point"))
 
 
 def a14_patterns(s, d):
