@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,39 @@ def _beside(signals: DataFrame, n: int) -> DataFrame:
     return F.broadcast(signals) if n <= FEW else signals
 
 
+LEVELS = 4
+# Edges, or a function that makes them: all of them or, of few entities (src), all that leave these.
+Edges = DataFrame | Callable[..., DataFrame]
+
+
+def _leaving(edges: Edges, made: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], DataFrame]:
+    """A function that gives, for ``n`` signals, ``made`` edges among which are all that leave their entities.
+
+    Up to FEW signals ask for theirs: ``edges`` makes them or, if it is a
+    DataFrame, a semi-join seeks them, which Spark carries below an aggregate on
+    src. So all rows are read, and those of these entities alone are shuffled.
+    For more signals, or when it is asked more than LEVELS times, all edges are
+    made once and kept.
+    """
+    asked, whole = 0, None
+
+    def of(signals: DataFrame, n: int) -> DataFrame:
+        nonlocal asked, whole
+        asked += 1
+        if whole is None and (n > FEW or asked > LEVELS):
+            whole = written(made(_every(edges)), "edges")
+        if whole is not None:
+            return whole
+        src = signals.select(F.col("entity").alias("src"))
+        return made(edges(src) if callable(edges) else edges.join(F.broadcast(src), "src", "left_semi"))
+
+    return of
+
+
+def _every(edges: Edges) -> DataFrame:
+    return edges() if callable(edges) else edges
+
+
 MOST_DELAY = 10 * 366 * 86400.0
 
 
@@ -43,20 +77,24 @@ def edge_delay(latency: Column, delay: Column, travel_time: Column, default: flo
     return F.when((first >= 0) & (first <= most), first).otherwise(F.raise_error(F.lit("a delay is outside of its bounds")).cast("double"))
 
 
-def propagate(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None, least: float = 0.01, hops: int = 32, delay_seconds: float = 0.0, variant: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
+def propagate(edges: Edges, shocks: DataFrame, keep: DataFrame | None = None, least: float = 0.01, hops: int = 32, delay_seconds: float = 0.0, variant: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
     """Signals: shock_id, entity, impairment, depth, effective_at, path.
 
     ``edges`` has src, dst, factor, valid_from, valid_to, and may have delay
     (seconds, see ``edge_delay``; else ``delay_seconds`` holds for all) and
-    kind, of which ``kinds`` are allowed (None: all). ``keep`` scales the
+    kind, of which ``kinds`` are allowed (None: all); it may be a function, as
+    ``Edges`` says. ``keep`` scales the
     impairment on arrival at an entity, at the source too. ``variant`` columns
     of shocks (and keep) are carried along, so several worlds run as one plan.
     """
     variant = variant or []
-    if kinds is not None:
-        edges = edges.where(F.col("kind").isin(kinds))
-    delay = F.col("delay") if "delay" in edges.columns else F.lit(delay_seconds)
-    edges = written(edges.select("src", "dst", "factor", "valid_from", "valid_to", F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait")), "edges")  # made once, not once a level
+
+    def made(df: DataFrame) -> DataFrame:
+        df = df if kinds is None else df.where(F.col("kind").isin(kinds))
+        delay = F.col("delay") if "delay" in df.columns else F.lit(delay_seconds)
+        return df.select("src", "dst", "factor", "valid_from", "valid_to", F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait"))
+
+    leaving = _leaving(edges, made)
     keep = None if keep is None else cut(keep)
     wait = F.col("wait")
 
@@ -69,7 +107,7 @@ def propagate(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None
     frontier = cut(damp(start).where(F.col("impairment") >= least))
     every, n = frontier, frontier.count()
     for _ in range(hops):
-        out = _beside(frontier, n).join(edges, (F.col("entity") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
+        out = _beside(frontier, n).join(leaving(frontier, n), (F.col("entity") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
         out = out.where(active_at(F.col("effective_at")) & active_at(F.col("effective_at") + wait))
         out = out.select(*variant, "shock_id", F.col("dst").alias("entity"), (F.col("impairment") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("factor")))).alias("impairment"), (F.col("depth") + 1).alias("depth"), (F.col("effective_at") + wait).alias("effective_at"), F.concat("path", F.array("dst")).alias("path"))
         frontier = cut(damp(out).where(F.col("impairment") >= least))
@@ -95,7 +133,7 @@ class Outcome:
     generated: int
 
 
-def propagate_bounded(edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None, least: float = 0.01, hops: int = 32, max_signals: int = 100_000, paths_an_entity: int = 64) -> tuple[DataFrame, Outcome]:
+def propagate_bounded(edges: Edges, shocks: DataFrame, keep: DataFrame | None = None, least: float = 0.01, hops: int = 32, max_signals: int = 100_000, paths_an_entity: int = 64) -> tuple[DataFrame, Outcome]:
     """Signals as of ``propagate``, in best-first order and within bounds, and how the run ended.
 
     Signals are processed in ORDER: by time, depth, shock, entity and path. A
@@ -112,9 +150,15 @@ def propagate_bounded(edges: DataFrame, shocks: DataFrame, keep: DataFrame | Non
     ``max_signals`` rows at most. So the result is that of one sequential
     queue, whatever the partitions.
     """
-    delay = F.col("delay") if "delay" in edges.columns else F.lit(0.0)
-    edges = written(edges.select("edge_id", "src", "dst", "factor", "valid_from", "valid_to", delay.cast("double").alias("delay"), F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait")), "edges")
-    ahead = edges.agg(F.min("delay")).first()[0] or 0.0
+
+    def made(df: DataFrame) -> DataFrame:
+        delay = F.col("delay") if "delay" in df.columns else F.lit(0.0)
+        return df.select("edge_id", "src", "dst", "factor", "valid_from", "valid_to", delay.cast("double").alias("delay"), F.make_dt_interval(secs=delay.cast("decimal(18,6)")).alias("wait"))
+
+    ahead, leaving = 0.0, _leaving(edges, made)
+    if "delay" in _every(edges).columns:  # the least delay asks for all edges, which are kept then
+        whole = written(made(_every(edges)), "edges")
+        ahead, leaving = whole.agg(F.min("delay")).first()[0] or 0.0, lambda signals, n: whole
     keep = None if keep is None else cut(keep)
 
     def damp(df: DataFrame) -> DataFrame:
@@ -158,7 +202,8 @@ def propagate_bounded(edges: DataFrame, shocks: DataFrame, keep: DataFrame | Non
             rest = frontier.join(batch.select("shock_id", "via", "path"), ["shock_id", "via", "path"], "left_anti").select(*columns)
             size = max_signals - processed
         processed += size
-        out = _beside(batch.where(F.col("depth") < hops).select(*columns, F.struct(*ORDER).alias("turn")), size).join(edges, (F.col("entity") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
+        batch = batch.where(F.col("depth") < hops).select(*columns, F.struct(*ORDER).alias("turn"))
+        out = _beside(batch, size).join(leaving(batch, size), (F.col("entity") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
         out = out.where(active_at(F.col("effective_at")) & active_at(F.col("effective_at") + F.col("wait")) & (F.col("factor") > 0))
         out = out.select("shock_id", F.col("dst").alias("entity"), (F.col("impairment") * F.least(F.lit(1.0), F.col("factor"))).alias("impairment"), (F.col("depth") + 1).alias("depth"), (F.col("effective_at") + F.col("wait")).alias("effective_at"), F.concat("path", F.array("dst")).alias("path"), F.concat("via", F.array("edge_id")).alias("via"), F.struct("turn", "edge_id").alias("turn"))
         new = cut(damp(out).where(F.col("impairment") >= least).select(*columns, "turn"))
@@ -203,7 +248,7 @@ class Rules:
         held = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
         return F.when(held < self.least_factor, 0.0).otherwise(held)
 
-    def run(self, edges: DataFrame, shocks: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    def run(self, edges: Edges, shocks: DataFrame, keep: DataFrame | None = None) -> DataFrame:
         self.check()
         return propagate(edges, shocks, keep, self.least, self.hops, self.delay_seconds, kinds=None if self.kinds is None else list(self.kinds))
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from .. import views as v
 from ..operators import propagation as p
 
 
-def edges(s, d):
-    both = v.supplies(s, d).unionByName(v.serves(s, d))
-    return both.select("src", "dst", (F.col("strength") * F.col("capacity")).alias("factor"), "valid_from", "valid_to")
+def edges(s, d, of=None):
+    """Edges of suppliers and parts: all, or those that leave the entities ``of`` (src), which are few."""
+    both = v.supplies(s, d, of).unionByName(v.serves(s, d, of))
+    return both.select(F.col("relationship_id").alias("edge_id"), "src", "dst", (F.col("strength") * F.col("capacity")).alias("factor"), "valid_from", "valid_to")
 
 
 def signals(s, d):
-    return p.propagate(edges(s, d), v.shocks(s, d))
+    return p.propagate(partial(edges, s, d), v.shocks(s, d))
 
 
 def p01_propagate(s, d):
@@ -22,8 +25,7 @@ def p01_propagate(s, d):
 
 
 def _bounded(s, d):
-    both = v.supplies(s, d).unionByName(v.serves(s, d)).select(F.col("relationship_id").alias("edge_id"), "src", "dst", (F.col("strength") * F.col("capacity")).alias("factor"), "valid_from", "valid_to")
-    return p.propagate_bounded(both, v.shocks(s, d), max_signals=40, paths_an_entity=2)
+    return p.propagate_bounded(partial(edges, s, d), v.shocks(s, d), max_signals=40, paths_an_entity=2)
 
 
 def p01_bounded(s, d):
@@ -115,7 +117,7 @@ def _worlds(s, d):
     """Two worlds, with and without the interventions, in one plan."""
     sh = v.shocks(s, d).withColumn("world", F.explode(F.array(F.lit("baseline"), F.lit("protected"))))
     keep = v.table(s, d, "part").where("p_partkey % 2 = 0").select(F.lit("protected").alias("world"), F.concat(F.lit("part:"), "p_partkey").alias("entity"), F.lit(0.5).alias("keep"))
-    return p.propagate(edges(s, d), sh, keep, variant=["world"])
+    return p.propagate(partial(edges, s, d), sh, keep, variant=["world"])
 
 
 def cf01_compare(s, d):
@@ -129,7 +131,7 @@ def cf02_run_many(s, d):
     many = s.range(5).select(F.col("id").alias("world"))
     sh = v.shocks(s, d).crossJoin(F.broadcast(many))
     keep = v.table(s, d, "part").select(F.pmod("p_partkey", F.lit(5)).cast("long").alias("world"), F.concat(F.lit("part:"), "p_partkey").alias("entity"), F.lit(0.5).alias("keep"))
-    per = p.capacities(p.propagate(edges(s, d), sh, keep, variant=["world"]), by=["world"])
+    per = p.capacities(p.propagate(partial(edges, s, d), sh, keep, variant=["world"]), by=["world"])
     base = p.capacities(signals(s, d)).select("entity", F.col("impairment").alias("base"))
     gain = base.crossJoin(F.broadcast(many)).join(per.select("world", "entity", "impairment"), ["world", "entity"], "left").groupBy("world").agg(F.round(F.sum(F.col("base") - F.coalesce("impairment", F.lit(0.0))), 6).alias("gain"))
     from pyspark.sql import Window

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.lineage import written
+
 AT = "1998-01-01 00:00:00"
 
 
@@ -30,20 +32,31 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def supplies(spark: SparkSession, sf: str) -> DataFrame:
-    """Supplier to part: open from the first ship date to a day after the last."""
+def _lines_of(lines: DataFrame, key: str, kind: str, of: DataFrame | None) -> DataFrame:
+    """Lines whose ``key`` is of an entity among ``of`` (src), which are few and go to the lines; all lines for None."""
+    if of is None:
+        return lines
+    keys = of.where(F.col("src").startswith(f"{kind}:")).select(F.substring_index("src", ":", -1).try_cast("bigint").alias(key))
+    return lines.join(F.broadcast(keys), key, "left_semi")
+
+
+def supplies(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Supplier to part: open from the first ship date to a day after the last. With ``of`` (src), which are few, what leaves these alone."""
     day = F.expr("interval 1 day")
     return (
-        table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey")
+        _lines_of(table(spark, sf, "lineitem"), "l_suppkey", "supplier", of).groupBy("l_suppkey", "l_partkey")
         .agg(F.min("l_shipdate").alias("valid_from"), (F.max("l_shipdate") + day).alias("valid_to"), F.round(1 - F.avg("l_discount"), 6).alias("strength"), F.round(F.least(F.lit(1.0), F.sum("l_quantity") / 50), 6).alias("capacity"))
         .select(F.concat(F.lit("s:"), "l_suppkey", F.lit(":"), "l_partkey").alias("relationship_id"), F.concat(F.lit("supplier:"), "l_suppkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst"), F.lit("supplies").alias("kind"), "valid_from", "valid_to", "strength", "capacity")
     )
 
 
-def serves(spark: SparkSession, sf: str) -> DataFrame:
-    """Part to customer, by the same window rule."""
+def serves(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Part to customer, by the same window rule; ``of`` as in ``supplies``."""
     day = F.expr("interval 1 day")
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = _lines_of(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_shipdate"), "l_partkey", "part", of)
+    if of is not None:
+        lines = written(lines, "lines")  # their size is known then, so that few lines go to the orders
+    lines = lines.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return (
         lines.groupBy("l_partkey", "o_custkey")
         .agg(F.min("l_shipdate").alias("valid_from"), (F.max("l_shipdate") + day).alias("valid_to"), F.round(1 - F.avg("l_discount"), 6).alias("strength"), F.round(F.least(F.lit(1.0), F.sum("l_quantity") / 50), 6).alias("capacity"))
