@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -146,7 +147,7 @@ def p05_rules(s, d):
 
 
 def p08_outcome(s, d):
-    return p.outcome(p.Rules(hops=8).run(impact.edges(s, d), v.shocks(s, d))).withColumn("impairment", F.round("impairment", 9))
+    return p.outcome(p.Rules(hops=8).run(partial(impact.edges, s, d), v.shocks(s, d))).withColumn("impairment", F.round("impairment", 9))
 
 
 def sc03_runs(s, d):
