@@ -18,10 +18,11 @@ Candidates come from posting lists, one for each coordinate-value pair:
   of it, a star, and linked members become one class. Where a pivot's members
   are still of different classes, up to NEAR of them are compared by their
   coordinates, all with all, and those that agree in ``least`` by their sets.
-  Where more than NEAR_PAIRS pairs each agree, the task counts what all pairs
-  share of their differences from the pivot, up to DENSE differences and
-  DENSE_WORK comparisons of these. More members or differences are told apart
-  by a posting: with R removed from P and A added shingles, two members have
+  Where more than NEAR_PAIRS pairs each agree, and in groups of more than NEAR,
+  tasks count what all pairs share of their differences from the pivot, block
+  by block, with DENSE_WORK comparisons of these in a task at most (see
+  ``_join_dense``). What takes more than BLOCKS blocks is told apart by a
+  posting: with R removed from P and A added shingles, two members have
   |P| - r1 - r2 + |R1 & R2| + |A1 & A2| in common, so they are similar only if
   they share at least u1 + u2 differences, where u grows with r and t = |A|.
   Pairs with u1 + u2 <= 0 both belong to P's class; all others share a
@@ -339,12 +340,12 @@ def _join_near(links: _Links, members: DataFrame) -> DataFrame:
     found = cut(known.groupBy("pivot").applyInArrow(_agreeing(links.least), NEAR_FOUND))
     links.join(_pairs(found.where("i IS NOT NULL")))
     dense = members.join(found.where("i IS NULL").select("pivot"), "pivot", "left_semi")
-    large = several(members.join(groups.where(F.col("n") > NEAR), "pivot", "left_semi")).select("pivot")
-    dense = dense.join(several(dense), "pivot", "left_semi")
-    return large.unionByName(_join_dense(links, dense))
+    large = several(members.join(groups.where(F.col("n") > NEAR), "pivot", "left_semi"))
+    dense = dense.join(several(dense), "pivot", "left_semi").unionByName(members.join(large.where(F.col("n") <= NEAR * BLOCKS), "pivot", "left_semi"))
+    return large.where(F.col("n") > NEAR * BLOCKS).select("pivot").unionByName(_join_dense(links, dense))
 
 
-DENSE, DENSE_WORK = 1 << 20, 1 << 30
+DENSE, DENSE_WORK, BLOCKS = 1 << 20, 1 << 30, 64
 APART = "pivot long, id long, size long, removed long, added long, base long, elements binary"
 
 
@@ -361,28 +362,30 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linking(percent: int, work: int) -> Callable:
-    """Links that join the classes of a pivot's similar members, by exact counts of the differences that two share; one row without ends if these are more than ``work``.
+    """Links that join the classes of similar members of a pivot, one ``inner`` and one ``outer``, by exact counts of the differences that two share; one row without ends if these are more than ``work``.
 
     |S1 & S2| = |P| - r1 - r2 + |R1 & R2| + |A1 & A2|. (No element is removed from one and added to another.)
     """
 
     def run(group: pa.Table) -> pa.Table:
-        pivot, classes, size, removed, base = (group.column(c).to_numpy() for c in ("pivot", "class", "size", "removed", "base"))
+        pivot, classes, size, removed, base, inner, outer = (group.column(c).to_numpy() for c in ("pivot", "class", "size", "removed", "base", "inner", "outer"))
         n, each = len(pivot), [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("elements").combine_chunks()]
         ends = np.cumsum([0, *map(len, each)])
         _, element = np.unique(np.concatenate(each), return_inverse=True)
-        counts = np.bincount(element)
-        if int((counts.astype(np.int64) ** 2).sum()) > work:
+        owner = np.repeat(np.arange(n), np.diff(ends))
+        held = inner[owner]
+        counts = np.bincount(element[held], minlength=element.max(initial=-1) + 1)
+        if int(counts[element[outer[owner]]].sum()) > work:
             return pa.table({"pivot": pa.array(pivot[:1]), "a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})
-        holders = np.repeat(np.arange(n), np.diff(ends))[np.argsort(element, kind="stable")]
+        holders = owner[held][np.argsort(element[held], kind="stable")]
         starts = np.cumsum(counts) - counts
         label, a, b = classes.copy(), [], []
-        for k in range(n):
+        for k in np.flatnonzero(outer).tolist():
             own = element[ends[k] : ends[k + 1]]
             many = counts[own]
             at = np.arange(many.sum()) + np.repeat(starts[own] - (np.cumsum(many) - many), many)
             common = base - removed[k] - removed + np.bincount(holders[at], minlength=n)
-            hits = np.flatnonzero((label != label[k]) & (100 * common >= percent * (size[k] + size - common)))
+            hits = np.flatnonzero(inner & (label != label[k]) & (100 * common >= percent * (size[k] + size - common)))
             for j in hits[np.unique(label[hits], return_index=True)[1]]:
                 a.append(classes[k])
                 b.append(classes[j])
@@ -393,15 +396,33 @@ def _linking(percent: int, work: int) -> Callable:
 
 
 def _join_dense(links: _Links, members: DataFrame) -> DataFrame:
-    """Join classes within groups of at most NEAR members of whom many agree, all pairs by their differences; gives the pivots of the groups whose differences are too many for one task."""
+    """Join classes within groups of whom many agree, or of more than NEAR members, all pairs by their differences; gives the pivots of the groups that take more than BLOCKS blocks.
+
+    The members of a pivot's largest class are dealt to blocks, and all others
+    to further blocks; each pair of blocks but for two of the largest class is
+    a group of its own. A block has so few members that its pairs stay under
+    DENSE_WORK, even if all members had the same differences; a pivot whose
+    members are so few has one block.
+    """
     if members.isEmpty():
         return members.select("pivot")
     apart = cut(_beside_pivots(members, links.sets).mapInArrow(_apart, APART))
-    held = apart.groupBy("pivot").agg(F.sum(F.col("removed") + F.col("added")).alias("n"))
-    known = links.classed(apart.join(held.where(F.col("n") <= DENSE), "pivot", "left_semi"))
-    found = cut(known.groupBy("pivot").applyInArrow(_linking(links.percent, DENSE_WORK), "pivot long, a long, b long"))
+    known = links.classed(apart)
+    by_class = known.groupBy("pivot", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("removed") + F.col("added")).alias("differences"))
+    of = by_class.groupBy("pivot").agg(F.sum("n").alias("n"), F.sum("differences").alias("differences"), F.max(F.struct("n", "class")).alias("major"))
+    share = F.sqrt(F.col("differences") / F.col("n") / max(1, DENSE_WORK)) * 2.4  # of a block, by each member
+    blocks = lambda rows: F.greatest(F.lit(1), F.ceil(rows * share)).cast("long")
+    one = F.col("n") * share <= 2
+    held = cut(of.select("pivot", "differences", F.col("major.class").alias("major"), F.when(one, 0).otherwise(blocks(F.col("major.n"))).alias("lower"), F.when(one, 1).otherwise(blocks(F.col("n") - F.col("major.n"))).alias("upper")))
+    fits = (F.col("differences") <= DENSE * BLOCKS) & (F.col("lower") + F.col("upper") <= BLOCKS)
+    at = F.pmod(F.xxhash64("id"), F.when((F.col("class") == F.col("major")) & (F.col("lower") > 0), F.col("lower")).otherwise(F.col("upper")))
+    dealt = known.join(held.where(fits), "pivot").withColumn("block", F.when(F.col("class") == F.col("major"), at).otherwise(F.col("lower") + at))
+    block = F.col("block")
+    partners = F.transform(F.sequence(F.lit(0).cast("long"), F.col("lower") + F.col("upper") - 1), lambda x: F.struct(F.least(x, block).alias("one"), F.greatest(x, block).alias("two"), (block <= x).alias("inner"), (block >= x).alias("outer")))
+    pairs = dealt.select("*", F.inline(F.filter(partners, lambda x: x.two >= F.col("lower")))).select("pivot", "class", "size", "removed", "base", "elements", "one", "two", "inner", "outer")
+    found = cut(pairs.groupBy("pivot", "one", "two").applyInArrow(_linking(links.percent, DENSE_WORK), "pivot long, a long, b long"))
     links.merge(found.where("a IS NOT NULL").select("a", "b").distinct())
-    return held.where(F.col("n") > DENSE).select("pivot").unionByName(found.where("a IS NULL").select("pivot"))
+    return held.where(~fits).select("pivot").unionByName(found.where("a IS NULL").select("pivot").distinct())
 
 
 SALT_ROWS = 500

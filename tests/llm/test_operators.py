@@ -843,3 +843,30 @@ def test_equal_rows_fall_in_many_chunks(spark, documents):
     rows = mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most")).collect()
     assert {r.source: r.n for r in rows} == {"hot": 3_000, "cold": 50}
     assert all(abs(r.taken - r.target) <= 5 and r.most <= 2 for r in rows)
+
+
+def test_neardup_compares_large_groups_by_blocks(documents, monkeypatch):
+    """Groups of more than NEAR texts, most of them not similar enough, post no differences but are compared block by block."""
+    posted, links = [], []
+    settle, linking = neardup._settle, neardup._join_dense
+    monkeypatch.setattr(neardup, "_settle", lambda links, rows: (posted.append(rows.count()), settle(links, rows))[1])
+    monkeypatch.setattr(neardup, "_join_dense", lambda *x: (links.append(x[1].count()), linking(*x))[1])
+    monkeypatch.setattr(neardup, "NEAR", 10)
+    rng, rows = random.Random(11), []
+    for group in range(2):
+        base = prose(rng, 100).split()
+        for i in range(40):
+            words = list(base)
+            for k in rng.sample(range(100), 1 if i % 5 == 1 else 3):
+                words[k] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * group + 2 * i, " ".join(words)))
+            if i % 4 == 0:
+                words[-1] = f"e{rng.randrange(10**6)}"
+                rows.append((100 * group + 2 * i + 1, " ".join(words)))
+    told = lambda: sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(documents(rows), 3, 85).collect())
+    want = sorted(classes(rows, 3, 85))
+    for work in (1 << 30, 8000):  # one block a pivot, and several
+        posted.clear()
+        links.clear()
+        monkeypatch.setattr(neardup, "DENSE_WORK", work)
+        assert told() == want and sum(links) > 0 and sum(posted) == 0
