@@ -278,22 +278,42 @@ def related(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return _told(easy.unionByName(_by_turn(arrangement(paired(told.where(hard).select(*PAIR), left, right), PAIR))))
 
 
+FINEST = 14
+
+
+def _finer(middle: DataFrame, width: int, most: int = 6) -> int:
+    """How often tiles of ``width`` have to be halved so that a polygon shares its tile with ``most`` of its group on average, itself included; FINEST times at most."""
+    at = middle.select("group", F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("k"), "mx", "my")
+    tile = [F.floor(F.col(c) * F.pow(F.lit(2.0), "k") / width).alias(c) for c in ("mx", "my")]
+    n = F.col("n").cast("double")
+    shares = at.groupBy("group", "k", *tile).agg(F.count("*").alias("n")).groupBy("k").agg((F.sum(n * n) / F.sum(n)).alias("mates")).collect()
+    return min((r.k for r in shares if r.mates <= most), default=FINEST if shares else 0)
+
+
 def dissolved(edges: DataFrame, levels: int = 3, size: float = 45.0) -> DataFrame:
     """Union of all polygons of a group: directed edges (group, x1, y1, x2, y2) around it; given as (group, id, edges).
 
     A tree: polygons whose middle lies in one tile are united first, then what
-    came of four tiles, and so on, so that edges inside of a tile go before
-    tiles meet, and no task sees a whole group.
+    came of sixteen tiles, and so on, so that edges inside of a tile go before
+    tiles meet, and no task sees a whole group. The first tiles are parts of
+    those of ``size`` that hold a few polygons each, so that what meets in a
+    tile does not grow with the number of polygons. Of polygons with the same
+    edges, one is taken.
     """
     width = int(size / GRID)
-    middle = edges.groupBy("group", "id").agg(F.floor((F.min("x1") + F.max("x1")) / 2 / width).alias("tx"), F.floor((F.min("y1") + F.max("y1")) / 2 / width).alias("ty"))
-    left = edges.join(middle, ["group", "id"]).select("group", "tx", "ty", F.xxhash64("id").alias("side"), *POINT)
+    same = [F.sum(F.xxhash64(*POINT, F.lit(k)).cast("decimal(38,0)")).alias(f"same{k}") for k in (0, 1)]
+    about = edges.groupBy("group", "id").agg(((F.min("x1") + F.max("x1")) / 2).alias("mx"), ((F.min("y1") + F.max("y1")) / 2).alias("my"), F.count("*").alias("corners"), *same)
+    middle = cut(about.groupBy("group", "mx", "my", "corners", "same0", "same1").agg(F.min("id").alias("id")).select("group", "id", "mx", "my"))
+    finer = _finer(middle, width)
+    tiles = middle.select("group", "id", *[F.floor(F.col(f"m{c}") * 2**finer / width).alias(f"t{c}") for c in "xy"])
+    left = edges.join(tiles, ["group", "id"]).select("group", "tx", "ty", F.xxhash64("id").alias("side"), *POINT)
     keys = ["group", "tx", "ty"]
-    for level in range(levels + 1):
-        if level == levels:
+    rounds = -(-(finer + levels) // 2)
+    for level in range(rounds + 1):
+        if level == rounds:
             left = left.withColumns({"tx": F.lit(0).cast("long"), "ty": F.lit(0).cast("long")})
         done = cut(outlines(arrangement(left, keys), keys, {"union": F.col("in_any")}).drop("kind"))
-        left = done.withColumn("side", F.xxhash64("tx", "ty")).withColumns({"tx": F.floor(F.col("tx") / 2), "ty": F.floor(F.col("ty") / 2)})
+        left = done.withColumn("side", F.xxhash64("tx", "ty")).withColumns({"tx": F.floor(F.col("tx") / 4), "ty": F.floor(F.col("ty") / 4)})
     return done.drop("tx", "ty")
 
 

@@ -141,6 +141,18 @@ def test_union_of_many(spark):
         assert inside(found["board",], k % 6 + 0.5, k // 6 + 0.5) == (k not in (14, 21))
 
 
+def test_union_starts_in_small_tiles(spark, monkeypatch):
+    """Boxes of whole corners that overlap in one large tile, one of them forty times: few meet in a first tile, and copies are taken once."""
+    first, arrangement = [], ov.arrangement
+    monkeypatch.setattr(ov, "arrangement", lambda edges, keys: (first.append((edges.count(), edges.select(*keys).distinct().count())), arrangement(edges, keys))[1])
+    draw = random.Random(4)
+    corners = [(1, 1)] * 40 + list({(draw.randrange(12), draw.randrange(12)) for _ in range(60)} - {(1, 1)})
+    edges = ov.ring_edges(polygons(spark, [(k, box(x, y, x + 2, y + 2)) for k, (x, y) in enumerate(corners)])).withColumn("group", F.lit("g"))
+    done = ov.dissolved(edges)
+    assert done.agg(ov.area().alias("area")).first().area == pytest.approx(len({(x + i, y + j) for x, y in corners for i in (0, 1) for j in (0, 1)}))
+    assert first[0][0] == 4 * len(set(corners)) and first[0][1] > 4
+
+
 def test_repair_of_a_bow_tie(spark):
     edges = ov.ring_edges(polygons(spark, [(1, [(0, 0), (2, 2), (0, 2), (2, 0)]), (2, [(0, 0), (1, 0)]), (3, [(0, 0), (0, 0), (2, 0), (2, 2)])]))
     found = result_rings(ov.repaired(edges), ["id"])
